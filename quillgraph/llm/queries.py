@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bitplanes, bpe
-from .common import documents
+from . import bitplanes, bpe, flac, simhash
+from .common import documents, stored
 
 #: Where the vocabulary files are; operators take paths.
 END_ID_BYTES = 2
@@ -20,6 +21,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = stored(simhash.fingerprints(documents(spark, sf_dir), words=3), "prints")
+    found = simhash.near_duplicates(prints, max_bits=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.describe(flac.encode_texts(documents(spark, sf_dir)))
+
+
 def op4_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = bitplanes.write_token_shards(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), END_ID_BYTES)
     return bitplanes.read_token_shards(shards)
@@ -30,7 +41,7 @@ def op10_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bitplane_tokens, op10_bpe_backtracking)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_flac_media, op4_bitplane_tokens, op10_bpe_backtracking)}
 
 
 def oracle_sql() -> dict[str, str]:
