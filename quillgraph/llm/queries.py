@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, bpe, flac, simhash
+from . import bitplanes, bpe, flac, packing, sharding, simhash
 from .common import documents, stored
 
-#: Where the vocabulary files are; operators take paths.
+#: Ends of documents in the two vocabularies that the queries use.
 END_ID_BYTES = 2
 END_ID_WORDS = 0
 
@@ -36,12 +36,21 @@ def op4_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_token_shards(shards)
 
 
+def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(documents(spark, sf_dir), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op9_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), END_ID_WORDS, capacity=2048)
+
+
 def op10_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_flac_media, op4_bitplane_tokens, op10_bpe_backtracking)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_flac_media, op4_bitplane_tokens, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking)}
 
 
 def oracle_sql() -> dict[str, str]:
