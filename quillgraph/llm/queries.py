@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, bpe, flac, packing, sharding, simhash
+from . import bitplanes, bpe, flac, packing, quality, sharding, simhash
 from .common import documents, stored
 
 #: Ends of documents in the two vocabularies that the queries use.
@@ -36,6 +36,11 @@ def op4_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_token_shards(shards)
 
 
+def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(documents(spark, sf_dir), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -50,7 +55,7 @@ def op10_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_flac_media, op4_bitplane_tokens, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_flac_media, op4_bitplane_tokens, op7_robust_outliers, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking)}
 
 
 def oracle_sql() -> dict[str, str]:
