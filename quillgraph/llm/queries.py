@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, bpe, flac, packing, quality, sharding, simhash
-from .common import documents, stored
+from . import bitplanes, bpe, flac, langid, packing, quality, sharding, simhash
+from .common import documents, held_out, stored
 
 #: Ends of documents in the two vocabularies that the queries use.
 END_ID_BYTES = 2
@@ -36,6 +36,11 @@ def op4_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_token_shards(shards)
 
 
+def op5_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identified(documents(spark, sf_dir))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -55,7 +60,7 @@ def op10_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_flac_media, op4_bitplane_tokens, op7_robust_outliers, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_flac_media, op4_bitplane_tokens, op5_naive_bayes_language, op7_robust_outliers, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking)}
 
 
 def oracle_sql() -> dict[str, str]:
