@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -149,6 +150,13 @@ class BacktrackingBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+@lru_cache(2)
+def _coder(path: str) -> tuple[BacktrackingBpe, ChunkEncoder]:
+    """Kept for the later tasks of the same worker."""
+    bpe = BacktrackingBpe(path)
+    return bpe, ChunkEncoder(lambda strings: [bpe.encode(s) for s in strings], True)
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Encode and decode every text: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -157,8 +165,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = BacktrackingBpe(tokenizer_path)
-        coder = ChunkEncoder(lambda strings: [bpe.encode(s) for s in strings], True)
+        bpe, coder = _coder(tokenizer_path)
         decimal = [str(k) for k in range(len(bpe.offset))]
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in slices(batches):

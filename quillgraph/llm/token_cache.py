@@ -1,90 +1,133 @@
-"""Whole-text token ids from a per-worker cache of blank-separated chunks.
+"""Whole-text token ids from a per-worker cache of chunks between blanks and line ends.
 
-A blank that follows a non-blank always starts a new pre-token of the byte-level pattern, and
-the word tokenizer drops blanks, so the ids of a text are the ids of its chunks in a row.
-Texts in which a blank is followed by another white space are encoded in one go.
+A blank before a non-blank always starts a new pre-token of the byte-level pattern, a line end
+between non-blanks is a token of its own, and the word tokenizer drops white space; so the ids
+of a text are the ids of its chunks in a row. Texts in which white space follows white space are
+encoded in one go. New chunks of letters alone are encoded together in one string, whose ids are
+cut where a token starts (or ends) a word.
 """
 
 from __future__ import annotations
 
-import re
-from collections import ChainMap
+import string
+from array import array
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
-#: A blank before more white space: only then can a pre-token reach across a blank.
-_WIDE_GAP = re.compile(r" \s")
+#: White space in a row. White space of other kinds shows at the ends of chunks.
+_GAPS = ("  ", " \n", "\n ", "\n\n")
 CACHE_ENTRIES = 500_000
 LONGEST_CACHED = 64
+Ids = bytes
 
 
-def _stem(chunk: str) -> str:
-    """The chunk without a final comma or full stop if letters alone come before."""
-    return chunk[:-1] if chunk[-1:] in (",", ".") and chunk[:-1].isalpha() else chunk
+def pack(ids: list[int]) -> Ids:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes()
 
 
 class ChunkEncoder:
     """``encode_many`` maps strings to lists of ids and is asked about each new chunk once.
 
     ``blanks_count``: the blank before a chunk belongs to its first token (byte-level models).
+    ``encode_words``, if given, encodes many words of letters at once: it takes the words and
+    what stands between them, and returns their packed ids, or None if they can't be told apart.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], blanks_count: bool):
-        self.encode_many = encode_many
-        self.lead = " " if blanks_count else ""
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], blanks_count: bool, encode_words: Callable[[list[str], str], list[Ids] | None] | None = None):
+        self.encode_many, self.encode_words = encode_many, encode_words
         self.blanks_count = blanks_count
-        self.ids: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.marks = {c: self._pack(encode_many([c])[0]) for c in ",."}
-
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
-
-    def _chunks(self, text: str) -> list[str] | None:
-        """The chunks of a text; None: the text must be encoded whole."""
-        if self.blanks_count:
-            return None if _WIDE_GAP.search(text) else text.split(" ")
-        if text.isascii() and "<|" not in text:
-            text = text.lower()
-        return text.replace("\n", " ").split(" ")
-
-    def _learn(self, chunks: set[str], known: dict[str, bytes], lead: str) -> dict[str, bytes]:
-        """Add short new chunks to ``known``; the ids of long ones are returned."""
-        new = [c for c in chunks if c not in known]
-        stems = list({_stem(c) for c in new}.difference(known))
-        coded = dict(zip(stems, map(self._pack, self.encode_many([lead + s for s in stems]))))
-        long = {s: v for s, v in coded.items() if len(s) > LONGEST_CACHED}
-        known.update((s, v) for s, v in coded.items() if len(s) <= LONGEST_CACHED)
+        self.rest: dict[str, Ids] = {}
+        self.heads: dict[str, Ids] = {}
+        self.marks: dict[str, Ids] = {}
+        self.line_end = pack(encode_many(["\n"])[0])
+        self.long: list[tuple[dict[str, Ids], str]] = []
+
+    def _coded(self, chunks: list[str], lead: str) -> list[Ids]:
+        if self.encode_words and chunks and (found := self.encode_words(chunks, lead or ("\n" if self.blanks_count else " "))) is not None:
+            return found
+        return list(map(pack, self.encode_many([lead + c for c in chunks])))
+
+    def _learn(self, chunks: set[str], known: dict[str, Ids], lead: str) -> None:
+        """Add new chunks to ``known``; punctuation after letters is set apart."""
+        words, others, marked = [], [], []
+        new = chunks.difference(known)
         for c in new:
-            if (s := _stem(c)) is not c:
-                v = (long[s] if s in long else known[s]) + self.marks[c[-1]]
-                (long if len(c) > LONGEST_CACHED else known)[c] = v
-        return long
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self._chunks(t) for t in texts]
-        if len(self.ids) > CACHE_ENTRIES:
-            self.ids.clear()
-        if len(self.heads) > CACHE_ENTRIES // 5:
-            self.heads.clear()
-        heads = self._learn({c[0] for c in cut if c and c[0]}, self.heads, "")
-        rest = self._learn(set().union(*(c[1:] for c in cut if c)), self.ids, self.lead)
-        head = ChainMap(heads, self.heads) if heads else self.heads
-        get = (ChainMap(rest, self.ids) if rest else self.ids).__getitem__
-        out = []
-        for text, c in zip(texts, cut):
-            if c is None:
-                out.append(self._pack(self.encode_many([text])[0]))
+            if c.isalpha():
+                words.append(c)
+            elif (stem := c.rstrip(string.punctuation)).isalpha():
+                marked.append((c, stem, c[len(stem) :]))
+            elif c and (c[0].isspace() or c[-1].isspace()):
+                known[c] = None  # its text is encoded whole
             else:
-                out.append((head[c[0]] if c[0] else b"") + b"".join(map(get, c[1:])))
+                others.append(c)
+        words += {stem for _, stem, _ in marked}.difference(known, words)
+        known.update(zip(words, self._coded(words, lead)))
+        for m in {m for _, _, m in marked}.difference(self.marks):
+            self.marks[m] = pack(self.encode_many([m])[0])
+        for c, stem, m in marked:
+            known[c] = known[stem] + self.marks[m]
+        if others:
+            known.update(zip(others, map(pack, self.encode_many([lead + c for c in others]))))
+        self.long += [(known, c) for c in new if len(c) > LONGEST_CACHED]
+        self.long += [(known, c) for c in words if len(c) > LONGEST_CACHED]
+
+    def encode(self, texts: list[str]) -> list[Ids]:
+        """Packed ids of each text."""
+        lead = " " if self.blanks_count else ""
+        cut: list[list[list[str]] | None] = []
+        heads: set[str] = set()
+        rest: set[str] = set()
+        for t in texts:
+            if self.blanks_count:
+                lines = None if any(g in t for g in _GAPS) else [x.split(" ") for x in t.split("\n")]
+                for line in lines or ():
+                    heads.add(line[0])
+                    rest.update(line[1:])
+            else:
+                if t.isascii() and "<|" not in t:
+                    t = t.lower()
+                lines = [t.replace("\n", " ").split(" ")]
+                rest.update(lines[0])
+            cut.append(lines)
+        heads.discard("")
+        if not self.blanks_count:
+            rest.discard("")
+        self._learn(rest, self.rest, lead)
+        if heads:
+            self._learn(heads, self.heads, "")
+        head, get, out = self.heads.get, self.rest.__getitem__, []
+        for text, lines in zip(texts, cut):
+            try:
+                if lines is None:
+                    raise TypeError
+                if self.blanks_count:
+                    out.append(self.line_end.join([head(x[0], b"") + b"".join(map(get, x[1:])) for x in lines]))
+                else:
+                    out.append(b"".join(map(get, filter(None, lines[0]))))
+            except TypeError:  # a chunk without ids of its own
+                out.append(pack(self.encode_many([text])[0]))
+        self._trim()
         return out
 
+    def _trim(self) -> None:
+        """Forget long chunks at once and everything when the cache is full."""
+        for known, c in self.long:
+            known.pop(c, None)
+        self.long.clear()
+        for known, most in ((self.rest, CACHE_ENTRIES), (self.heads, CACHE_ENTRIES // 4), (self.marks, 10_000)):
+            if len(known) > most:
+                known.clear()
+
 
+@lru_cache(2)
 def library_encoder(path: str) -> ChunkEncoder:
-    """A ChunkEncoder over a file of the tokenizers library, truncation and padding unused."""
+    """A ChunkEncoder over a file of the tokenizers library, truncation and padding unused.
+
+    It is kept for the later tasks of the same worker.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -94,8 +137,33 @@ def library_encoder(path: str) -> ChunkEncoder:
     model.no_truncation()
     model.no_padding()
     byte_level = "ByteLevel" in str(model.pre_tokenizer) and model.normalizer is None
+    spelled = model.get_vocab(with_added_tokens=True)
+    edge = np.zeros(max(spelled.values()) + 1, bool)
+    edge[[k for t, k in spelled.items() if (t.startswith("Ġ") if byte_level else t.endswith("</w>"))]] = True
+    line_end = model.encode("\n", add_special_tokens=False).ids
 
     def encode_many(strings: list[str]) -> list[list[int]]:
         return [e.ids for e in model.encode_batch_fast(strings, add_special_tokens=False)]
 
-    return ChunkEncoder(encode_many, byte_level)
+    def encode_words(words: list[str], between: str) -> list[Ids] | None:
+        out: list[Ids] = []
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            lead = between if between == " " and byte_level else ""
+            ids = np.array(model.encode(lead + between.join(part), add_special_tokens=False).ids, np.uint32)
+            if byte_level and between == "\n":
+                stops = np.flatnonzero(ids == line_end[0])
+                starts, ends = np.concatenate([[0], stops + 1]), np.concatenate([stops, [len(ids)]])
+            elif byte_level:
+                starts = np.flatnonzero(edge[ids])
+                ends = np.concatenate([starts[1:], [len(ids)]])
+            else:
+                ends = np.flatnonzero(edge[ids]) + 1
+                starts = np.concatenate([[0], ends[:-1]])
+            if len(starts) != len(part):
+                return None
+            blob = ids.tobytes()
+            out += [blob[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
+        return out
+
+    return ChunkEncoder(encode_many, byte_level, encode_words)
