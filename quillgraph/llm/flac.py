@@ -301,7 +301,7 @@ def _decode_frames(data: np.ndarray, pos: np.ndarray, block: np.ndarray, bits: n
         lane = np.flatnonzero(order > j)
         x[deep + j, lane] = r.take_signed(lane, bits[lane])
     coef, shift = np.zeros((deep, lanes), np.int64), np.zeros(lanes, np.int64)
-    for o in range(1, 5):
+    for o in range(1, min(4, deep) + 1):
         coef[:o, fixed & (order == o)] = np.array(_FIXED[o])[:, None]
     if (lane := np.flatnonzero(lpc)).size:
         width = r.take(lane, 4) + 1
