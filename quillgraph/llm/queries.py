@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, bpe, flac, langid, packing, quality, sharding, simhash, toxicity
+from . import bitplanes, bpe, flac, langid, packing, pii, quality, sharding, simhash, toxicity
 from .common import documents, held_out, stored
 
 #: Ends of documents in the two vocabularies that the queries use.
@@ -27,6 +27,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(documents(spark, sf_dir)))
+
+
 def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.describe(flac.encode_texts(documents(spark, sf_dir)))
 
@@ -67,7 +71,7 @@ def op10_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_flac_media, op4_bitplane_tokens, op5_naive_bayes_language, op6_toxic_segments, op7_robust_outliers, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_contextual_pii, op3_flac_media, op4_bitplane_tokens, op5_naive_bayes_language, op6_toxic_segments, op7_robust_outliers, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking)}
 
 
 def oracle_sql() -> dict[str, str]:
