@@ -56,3 +56,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The strings of a column; null counts as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]
+
+
+def hinted(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it has at most ``most`` of them; a
+    larger one is left to a join that shuffles."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table

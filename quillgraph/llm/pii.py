@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import hinted, slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -200,10 +200,10 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets, and n_chars brought up
     to date if there is such a column. Overlapping spans are replaced as one, by the first kind.
     Null texts stay null. The columns stay as they are."""
-    numbered = stored(docs.withColumn("__row_of_text", F.expr("uuid()")), "pii-rows")
-    found = personal_data(numbered, ("__row_of_text",)).filter(F.size("spans") > 0).select("__row_of_text", "spans")
+    numbered = stored(docs.withColumn("__row_of_text", F.monotonically_increasing_id()), "pii-rows")
+    found = stored(personal_data(numbered, ("__row_of_text",)).filter(F.size("spans") > 0).select("__row_of_text", "spans"), "pii-spans")
     kinds = dict(numbered.dtypes)
-    both = numbered.join(found, "__row_of_text", "left")
+    both = numbered.join(hinted(found, 100_000), "__row_of_text", "left")
     names = list(docs.columns)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
     place = names.index("text")

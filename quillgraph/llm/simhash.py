@@ -13,7 +13,7 @@ the links that it sees, never the pairs. Components come from contracting the li
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import hinted, slices, stored
 
 SEED = 42
 #: Segments with more distinct fingerprints than this are handled in blocks.
@@ -179,17 +179,68 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(prints: DataFrame, max_bits: int = 3, check_bits: int = 64) -> DataFrame:
+def near_duplicates(prints: DataFrame, max_bits: int = 3, check_bits: int = 64, verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """``prints`` (doc_id, fp, check_fp, any more) with component_id: the least doc_id that is
     reachable over links of at most ``max_bits`` (and ``check_bits``) differing bits.
 
     Rows without a doc_id get the least id of their component, null if it has none. Equal
-    fingerprints always link, those of empty texts (0) too.
+    fingerprints always link, those of empty texts (0) too. ``verify`` gets the links and the
+    table of distinct fingerprints (fp, check_fp, least) and returns the links that hold.
     """
     nodes = stored(prints.groupBy("fp", "check_fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = components(links(nodes.select("fp", "check_fp"), max_bits, check_bits))
+    found = links(nodes.select("fp", "check_fp"), max_bits, check_bits)
+    roots = components(verify(found, nodes) if verify else found)
     placed = roots.select("node.fp", "node.check_fp", "root").join(nodes, ["fp", "check_fp"])
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = stored(placed.join(least, "root").select("fp", "check_fp", "component_id"), "components")
     named = nodes.join(moved, ["fp", "check_fp"], "left").select("fp", "check_fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(named, ["fp", "check_fp"])
+
+
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Distinct 32-bit hashes of a text's word shingles; a shorter text is one shingle."""
+    words = words_of(text)
+    shingles = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(x) for x in shingles), np.uint32, len(shingles))).view(np.int32)
+
+
+_ROW = "__simhash_row"
+
+
+def _similar(rows: DataFrame, words: int, similarity: float) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Keeps links whose texts have a Jaccard similarity of shingles of at least ``similarity``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["row", "shingles"])
+
+    def verify(found: DataFrame, nodes: DataFrame) -> DataFrame:
+        at = lambda s: nodes.select(F.struct("fp", "check_fp").alias(s), F.col("least").alias(f"row_{s}"))
+        pairs = stored(found.join(at("a"), "a").join(at("b"), "b"), "candidate-links")
+        wanted = stored(pairs.select(F.explode(F.array("row_a", "row_b")).alias(_ROW)).distinct(), "candidate-rows")
+        texts = rows.select(_ROW, F.col("text").cast("string").alias("text")).join(hinted(wanted), _ROW)
+        sets = stored(texts.mapInArrow(run, "row long, shingles array<int>"), "candidate-shingles")
+        side = lambda s: sets.select(F.col("row").alias(f"row_{s}"), F.col("shingles").alias(f"set_{s}"))
+        both = pairs.join(side("a"), "row_a").join(side("b"), "row_b")
+        shared = F.size(F.array_intersect("set_a", "set_b"))
+        return both.filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+
+    return verify
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 7) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the least doc_id.
+
+    Candidates have fingerprints of their distinct words within ``max_bits`` bits, which a text
+    changed in one word in 45 (similarity 0.8) seldom exceeds; every candidate link is checked
+    on whole texts. Texts that are equal but for case and white space always link, empty and
+    null ones with each other. Rows without a doc_id are kept only if their group has no other.
+    """
+    rows = stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "dedup-rows")
+    prints = fingerprints(rows, words=1, distinct=True, verify_words=words, keep=(_ROW, "doc_id"))
+    prints = stored(prints.select(F.col(_ROW).alias("doc_id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("rank"), "fp", "check_fp"), "dedup-prints")
+    groups = stored(near_duplicates(prints, max_bits, verify=_similar(rows, words, similarity)).select("component_id", "rank", F.col("doc_id").alias("row")), "dedup-groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct("rank", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    removed = stored(groups.join(first, "component_id").filter("row != first.row").select(F.col("row").alias(_ROW)), "dedup-removed")
+    return rows.join(hinted(removed), _ROW, "left_anti").drop(_ROW)
