@@ -108,11 +108,12 @@ SHARD_SCHEMA = "shard int, section int, shard_start long, n_docs long, n_ids lon
 def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, planes: str = "byte") -> DataFrame:
     """Encode every text and store the ids in ascending doc_id order; returns the shard table.
 
-    Range partitioning by (doc_id, hash of the text) makes shard k precede shard k + 1. Null
-    ids come first, null texts are empty (the end id alone), repeated rows are all kept, equal
-    ids are ordered by the hash of their texts; columns other than doc_id and text are ignored.
+    Range partitioning by (doc_id, place in the input) makes shard k precede shard k + 1, also
+    where one id has very many rows; its bounds need no text. Null ids come first, null texts
+    are empty (the end id alone), repeated rows are all kept, equal ids keep the order of the
+    input; columns other than doc_id and text are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("tie"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = library_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()

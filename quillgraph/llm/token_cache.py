@@ -150,7 +150,7 @@ def library_encoder(path: str) -> ChunkEncoder:
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             lead = between if between == " " and byte_level else ""
-            ids = np.array(model.encode(lead + between.join(part), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(model.encode_batch_fast([lead + between.join(part)], add_special_tokens=False)[0].ids, np.uint32)
             if byte_level and between == "\n":
                 stops = np.flatnonzero(ids == line_end[0])
                 starts, ends = np.concatenate([[0], stops + 1]), np.concatenate([stops, [len(ids)]])
