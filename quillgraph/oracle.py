@@ -40,6 +40,7 @@ _VIEWS = {
         FROM v_together JOIN v_entity s ON s.name = source_entity JOIN v_entity t ON t.name = target_entity""",
     "v_edge": f"""SELECT source_entity, target_entity, strength FROM v_relationship WHERE strength >= {S.min_strength}
         UNION ALL SELECT target_entity, source_entity, strength FROM v_relationship WHERE strength >= {S.min_strength}""",
+    "v_strongest": "SELECT source_entity, target_entity FROM v_relationship ORDER BY strength DESC, source_entity, target_entity LIMIT 1",
     "v_degree": "SELECT source_entity AS name, count(*) AS degree, sum(strength) AS total_strength FROM v_edge GROUP BY ALL",
     "v_hub": f"SELECT name FROM v_degree ORDER BY degree DESC, name LIMIT {S.path_seeds}",
     "v_question": "SELECT arg_min(line, doc_id) AS query FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) WHERE len(string_split(line, ' ')) BETWEEN 8 AND 30",
@@ -89,7 +90,6 @@ def _with(body: str) -> str:
 
 _DOCUMENT = f"_id, title, status, {_ISO.format('created_at')} AS created_at, {_ISO.format('updated_at')} AS updated_at, doi, year, abstract, file_path, file_size"
 _RELATIONSHIP = "source_entity, target_entity, relationship_type, round(strength, 6) AS strength, n_together, n_either"
-_STRONGEST = "(SELECT {} FROM v_relationship ORDER BY strength DESC, source_entity, target_entity LIMIT 1)"
 _STAMP = "TIMESTAMP '2025-01-01'"
 _CLAIM = _pick((*RELATIONSHIP_TYPE, "resembles"), "length(source_entity) + length(target_entity)")
 _RESPONSE = """SELECT query, (SELECT content FROM v_top ORDER BY round(relevance_score, 9) DESC, _id LIMIT 1) AS answer, (SELECT count(*) FROM v_top) AS n_sources,
@@ -110,11 +110,10 @@ _BODIES = {
     "entities_by_category": "SELECT * FROM v_entity WHERE category = 'biological_entities'",
     "top_entities": f"SELECT * FROM v_entity ORDER BY frequency DESC, name LIMIT {S.list_limit}",
     "list_relationships": f"SELECT {_RELATIONSHIP} FROM v_relationship ORDER BY source_entity, target_entity LIMIT {S.list_limit}",
-    "list_relationships_by_source": f"SELECT {_RELATIONSHIP} FROM v_relationship WHERE source_entity = {_STRONGEST.format('source_entity')} ORDER BY source_entity, target_entity LIMIT {S.list_limit}",
-    "list_relationships_by_target": f"SELECT {_RELATIONSHIP} FROM v_relationship WHERE target_entity = {_STRONGEST.format('target_entity')} ORDER BY source_entity, target_entity LIMIT {S.list_limit}",
+    "list_relationships_by_source": f"SELECT {_RELATIONSHIP} FROM v_relationship SEMI JOIN v_strongest USING (source_entity) ORDER BY source_entity, target_entity LIMIT {S.list_limit}",
+    "list_relationships_by_target": f"SELECT {_RELATIONSHIP} FROM v_relationship SEMI JOIN v_strongest USING (target_entity) ORDER BY source_entity, target_entity LIMIT {S.list_limit}",
     "list_relationships_by_type": f"SELECT {_RELATIONSHIP} FROM v_relationship WHERE relationship_type = 'associated_with' ORDER BY source_entity, target_entity LIMIT {S.list_limit}",
-    "list_relationships_conj": f"""SELECT {_RELATIONSHIP} FROM v_relationship WHERE source_entity = {_STRONGEST.format("source_entity")}
-        AND target_entity = {_STRONGEST.format("target_entity")} AND relationship_type = 'associated_with' LIMIT {S.list_limit}""",
+    "list_relationships_conj": f"SELECT {_RELATIONSHIP} FROM v_relationship SEMI JOIN v_strongest USING (source_entity, target_entity)",
     "strong_relationships": f"SELECT {_RELATIONSHIP} FROM v_relationship WHERE strength >= {S.min_strength}",
     "top_relationships": f"SELECT {_RELATIONSHIP} FROM (SELECT * FROM v_relationship ORDER BY strength DESC, source_entity, target_entity LIMIT {S.list_limit})",
     "entities_json": "SELECT CAST(json_object('name', name, 'entity_type', entity_type, 'category', category, 'frequency', frequency) AS VARCHAR) AS json FROM v_entity",
