@@ -14,7 +14,20 @@ from pyspark.sql import functions as F
 FOLDS = 5
 
 
+#: Rows and bytes of an Arrow batch. Spark's own 10,000 rows are too many for whole texts.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Bound what Python workers and the JVM hold of texts at a time. A setting of the user's
+    own is left alone."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -35,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and
     the size of the table is known to the planner."""
+    modest_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

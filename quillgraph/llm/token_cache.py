@@ -18,7 +18,7 @@ import numpy as np
 
 #: White space in a row. White space of other kinds shows at the ends of chunks.
 _GAPS = ("  ", " \n", "\n ", "\n\n")
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 LONGEST_CACHED = 64
 Ids = bytes
 
@@ -122,7 +122,7 @@ class ChunkEncoder:
                 known.clear()
 
 
-@lru_cache(2)
+@lru_cache(1)
 def library_encoder(path: str) -> ChunkEncoder:
     """A ChunkEncoder over a file of the tokenizers library, truncation and padding unused.
 
