@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import hinted, slices, stored
 
 DIMS = 6
 #: Distances are binned by eighths of an octave.
@@ -29,6 +29,8 @@ BINS, BINS_AN_OCTAVE = 160, 8
 SHARE, STEPS = 0.75, 4
 #: Groups with fewer rows are judged by their language, small languages by the corpus.
 MIN_ROWS = 200
+#: Estimates that may be broadcast (of some 250 bytes); more are joined by a shuffle.
+MOST_BROADCAST = 20_000
 #: Least scatter of a transformed statistic: below this differences are not worth a rejection.
 FLOOR = (0.06, 0.05, 0.20, 0.15, 0.05, 0.05)
 #: 30 is near the chi-square quantile of 1 - 4e-5 with six degrees of freedom.
@@ -168,7 +170,7 @@ def robust_fits(stats: DataFrame, share: float = SHARE, steps: int = STEPS) -> D
     rows = _keyed(stats)
     for _ in range(steps):
         at = F.floor(BINS_AN_OCTAVE * F.log2(_distance() + 2.0**-10)).cast("int") + 10 * BINS_AN_OCTAVE
-        binned = rows.join(fits, "key").withColumn("bin", F.least(at, F.lit(BINS)))
+        binned = rows.join(hinted(fits, MOST_BROADCAST), "key").withColumn("bin", F.least(at, F.lit(BINS)))
         sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS]
         moments = binned.groupBy("key", "bin").agg(F.count("*").cast("double").alias("n"), *sums)
         fits = stored(moments.groupBy("key").applyInPandas(_fit(share), _FIT), "quality-fits")
@@ -192,10 +194,9 @@ def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")
     stats = stored(stats, "quality-stats")
     xs = [f"x{i}" for i in range(DIMS)]
     fits = robust_fits(stats.filter("not base_failed").select("key_group", "key_lang", *xs))
-    known = fits.select("key")
     # The narrowest level that has an estimate.
-    out = stats.join(known.withColumnRenamed("key", "key_group").withColumn("has_group", F.lit(True)), "key_group", "left")
-    out = out.join(known.withColumnRenamed("key", "key_lang").withColumn("has_lang", F.lit(True)), "key_lang", "left")
+    level = lambda c, flag: hinted(fits.select(F.col("key").alias(c), F.lit(True).alias(flag)), MOST_BROADCAST)
+    out = stats.join(level("key_group", "has_group"), "key_group", "left").join(level("key_lang", "has_lang"), "key_lang", "left")
     key = F.when(F.col("has_group"), F.col("key_group")).when(F.col("has_lang"), F.col("key_lang")).otherwise("all")
-    out = out.withColumn("key", key).join(fits, "key", "left").withColumn("distance", F.coalesce(_distance(), F.lit(0.0)))
+    out = out.withColumn("key", key).join(hinted(fits, MOST_BROADCAST), "key", "left").withColumn("distance", F.coalesce(_distance(), F.lit(0.0)))
     return out.select(*keep, *COUNTS, "base_failed", "distance", (~F.col("base_failed") & (F.col("distance") <= max_distance)).alias("kept"))
