@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.config import SETTINGS
@@ -16,7 +16,9 @@ from quillgraph.sources.tables import as_json, conformed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
-NOW = F.timestamp_seconds(F.lit(1_735_689_600))
+def now() -> Column:
+    """The time of all changes, fixed so that results can be compared."""
+    return F.timestamp_seconds(F.lit(1_735_689_600))
 
 
 def query(f: Query) -> Query:
@@ -194,14 +196,14 @@ def validate_upload(spark, sf_dir):
 @query
 def upload_document(spark, sf_dir):
     g, good = Graph(spark, sf_dir), validation.validated_uploads(_uploads(spark, sf_dir)).filter("reason is null")
-    after = mutations.inserted(g.documents, mutations.new_documents(good, NOW))
+    after = mutations.inserted(g.documents, mutations.new_documents(good, now()))
     return after.groupBy("status", "title").agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes"))
 
 
 @query
 def update_document(spark, sf_dir):
     patch = _marked(spark, sf_dir, "quality", 0).select("_id", F.concat(F.lit("Low quality "), F.col("_id")).alias("title"), F.lit(None).cast("int").alias("year"))
-    return _documents(mutations.update_result(Graph(spark, sf_dir).documents, patch, NOW))
+    return _documents(mutations.update_result(Graph(spark, sf_dir).documents, patch, now()))
 
 
 @query
