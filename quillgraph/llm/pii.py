@@ -201,7 +201,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     to date if there is such a column. Overlapping spans are replaced as one, by the first kind.
     Null texts stay null. The columns stay as they are."""
     numbered = stored(docs.withColumn("__row_of_text", F.monotonically_increasing_id()), "pii-rows")
-    found = stored(personal_data(numbered, ("__row_of_text",)).filter(F.size("spans") > 0).select("__row_of_text", "spans"), "pii-spans")
+    found = stored(personal_data(numbered, ("__row_of_text",)).filter(F.size("spans") > 0).select("__row_of_text", F.col("spans").alias("__spans_of_text")), "pii-spans")
     kinds = dict(numbered.dtypes)
     both = numbered.join(hinted(found, 100_000), "__row_of_text", "left")
     names = list(docs.columns)
@@ -211,7 +211,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans_of_text").to_pylist()):
                 if text is not None and spans:
                     parts, at = [], 0
                     for s in sorted(spans, key=lambda s: (s["start"], s["kind"])):
@@ -224,5 +224,5 @@ def redacted(docs: DataFrame) -> DataFrame:
             columns[place] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = both.select(*names, "spans").mapInArrow(run, schema)
+    out = both.select(*names, "__spans_of_text").mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in kinds else out

@@ -31,7 +31,7 @@ _WORD = regex.compile(r"\p{L}+")
 ROWS_PER_LABEL = 6000
 #: Words whose log-odds are so many standard deviations above zero mark toxic text.
 MIN_Z = 3.0
-MIN_DOCS = 3
+MIN_DOCS = 4
 #: Size of the model: the words of highest z.
 MAX_WORDS = 4096
 #: Weight of the prior against the data, and share of marked words in a toxic passage.
@@ -200,7 +200,7 @@ def _calibrated(rows: DataFrame, score: dict[str, float], other: float) -> Model
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """A rising logistic curve by Newton steps with a small ridge; labels weigh alike."""
-    if not len(x) or y.min() == y.max():
+    if not len(x) or y.min() == y.max() or x.min() == x.max():
         return 1.0, -3.0
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
     design, beta = np.stack([x, np.ones(len(x))], 1), np.zeros(2)
