@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, stored
+from .common import held_out, hinted, slices, stored
 
 BUCKETS = 1 << 15
 MAX_GRAM = 3
@@ -67,8 +67,9 @@ def training_rows(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -
     known = docs.filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(_DRAWS)).alias("draw"))
     counts = known.groupBy("lang").count()
-    share = counts.select("lang", (F.lit(float(rows_per_language)) / F.col("count") * _DRAWS).alias("upto"))
-    return known.join(share, "lang").filter("draw < upto").select("lang", "text")
+    share = stored(counts.select("lang", (F.lit(float(rows_per_language)) / F.col("count") * _DRAWS).alias("upto")), "language-shares")
+    # Few rows, so that texts are not dealt out by language.
+    return known.join(hinted(share, MAX_LANGUAGES), "lang").filter("draw < upto").select("lang", "text")
 
 
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, prior: float = 0.2) -> tuple[list[str], np.ndarray]:

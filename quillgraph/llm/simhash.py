@@ -93,17 +93,37 @@ def _near(max_bits: int, check_bits: int) -> Column:
 
 
 def _forest(left: np.ndarray, right: np.ndarray, max_bits: int, check_bits: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest between rows of two (n, 2) arrays, as positions in a row."""
+    """Links of a spanning forest between rows of two (n, 2) arrays, as positions in a row.
+
+    Of all spanning forests it is the one of closest links by the second fingerprint: each
+    round every component takes its closest link to another one.
+    """
     n, m = len(left), len(right)
-    near = (np.bitwise_count(left[:, None, 0] ^ right[None, :, 0]) <= max_bits) & (np.bitwise_count(left[:, None, 1] ^ right[None, :, 1]) <= check_bits)
-    label = np.arange(n + m)
-    rows, cols = np.nonzero(near)
+    if not n or not m:
+        return []
+    check = np.bitwise_count(left[:, None, 1] ^ right[None, :, 1])
+    near = (np.bitwise_count(left[:, None, 0] ^ right[None, :, 0]) <= max_bits) & (check <= check_bits)
+    none = np.iinfo(np.int64).max
+    key = np.where(near, check.astype(np.int64) * (n * m) + np.arange(n * m).reshape(n, m), none)
+    label, out = np.arange(n + m), []
     while True:
-        before = label.copy()
-        np.minimum.at(label, rows, label[n + cols])
-        np.minimum.at(label, n + cols, label[rows])
-        if (before == label).all():
-            return [(k, int(v)) for k, v in enumerate(label) if v != k]
+        best = np.full(n + m, none)
+        np.minimum.at(best, label[:n], key.min(1))
+        np.minimum.at(best, label[n:], key.min(0))
+        picks = np.unique(best[best < none]) % (n * m)
+        if not len(picks):
+            return out
+        a, b = picks // m, n + picks % m
+        out += zip(a.tolist(), b.tolist())
+        x, y = label[a], label[b]
+        while True:  # components joined by the picks take the least label
+            low = np.arange(n + m)
+            np.minimum.at(low, x, y)
+            np.minimum.at(low, y, x)
+            if (low[x] == x).all() and (low[y] == y).all():
+                break
+            label, x, y = low[label], low[x], low[y]
+        key[label[:n][:, None] == label[n:][None, :]] = none
 
 
 def links(nodes: DataFrame, max_bits: int = 3, check_bits: int = 64) -> DataFrame:
@@ -218,7 +238,7 @@ def _similar(rows: DataFrame, words: int, similarity: float) -> Callable[[DataFr
     def verify(found: DataFrame, nodes: DataFrame) -> DataFrame:
         at = lambda s: nodes.select(F.struct("fp", "check_fp").alias(s), F.col("least").alias(f"row_{s}"))
         pairs = stored(found.join(at("a"), "a").join(at("b"), "b"), "candidate-links")
-        wanted = stored(pairs.select(F.explode(F.array("row_a", "row_b")).alias(_ROW)).distinct(), "candidate-rows")
+        wanted = stored(pairs.select(F.col("row_a").alias(_ROW)).union(pairs.select("row_b")).distinct(), "candidate-rows")
         texts = rows.select(_ROW, F.col("text").cast("string").alias("text")).join(hinted(wanted), _ROW)
         sets = stored(texts.mapInArrow(run, "row long, shingles array<int>"), "candidate-shingles")
         side = lambda s: sets.select(F.col("row").alias(f"row_{s}"), F.col("shingles").alias(f"set_{s}"))

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, stored
+from .common import held_out, hinted, slices, stored
 
 _WORD = regex.compile(r"\p{L}+")
 #: The fit reads about this many labelled documents of either label.
@@ -116,10 +116,11 @@ def labelled(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_
     """
     marks = labels.filter(F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = marks.groupBy("toxic").count()
-    share = counts.select("toxic", (F.lit(float(rows_per_label)) / F.col("count") * _DRAWS).alias("upto"))
-    drawn = marks.join(share, "toxic").filter(F.pmod(F.xxhash64("doc_id"), F.lit(_DRAWS)) < F.col("upto")).select("doc_id", "toxic")
+    share = stored(counts.select("toxic", (F.lit(float(rows_per_label)) / F.col("count") * _DRAWS).alias("upto")), "label-shares")
+    drawn = marks.join(hinted(share, 100), "toxic").filter(F.pmod(F.xxhash64("doc_id"), F.lit(_DRAWS)) < F.col("upto")).select("doc_id", "toxic")
+    drawn = stored(drawn, "label-draws")
     texts = docs.filter(~held_out("doc_id") & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    return texts.join(drawn, "doc_id").select("toxic", "text")
+    return texts.join(hinted(drawn), "doc_id").select("toxic", "text")
 
 
 def _thinned(rows: DataFrame) -> DataFrame:
