@@ -125,7 +125,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, planes
             row = ([shard], [section], [start], [len(ids)], [held], [pack_section(ids, runs, planes)])
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "section", "shard_start", "n_docs", "n_ids", "payload"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, 1000):
             for doc_id, run in zip(batch.column("doc_id").to_pylist(), coder.encode(texts(batch))):
                 ids.append(doc_id)
                 runs.append(run + end)

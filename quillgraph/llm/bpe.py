@@ -168,7 +168,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         bpe, coder = _coder(tokenizer_path)
         decimal = [str(k) for k in range(len(bpe.offset))]
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in slices(batches):
+        for batch in slices(batches, 1000):
             ids = [np.frombuffer(r, "<u4") for r in coder.encode(texts(batch))]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"),

@@ -193,7 +193,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = library_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, 1000):
             cols: list[list] = [[], [], [], [], []]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(texts(batch))):
                 ids += end

@@ -3,8 +3,9 @@
 A blank before a non-blank always starts a new pre-token of the byte-level pattern, a line end
 between non-blanks is a token of its own, and the word tokenizer drops white space; so the ids
 of a text are the ids of its chunks in a row. Texts in which white space follows white space are
-encoded in one go. New chunks of letters alone are encoded together in one string, whose ids are
-cut where a token starts (or ends) a word.
+encoded in one go. The chunks of a batch are told apart by Arrow's dictionary encoding, each is
+looked up once, and the ids of the texts are gathered by index. New chunks of letters alone are
+encoded together in one string, whose ids are cut where a token starts (or ends) a word.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space in a row. White space of other kinds shows at the ends of chunks.
 _GAPS = ("  ", " \n", "\n ", "\n\n")
-CACHE_ENTRIES = 250_000
+#: Stands before the first chunk of a line, which has no blank before it.
+_HEAD = "\0"
+CACHE_ENTRIES = 300_000
 LONGEST_CACHED = 64
 Ids = bytes
 
@@ -39,87 +44,103 @@ class ChunkEncoder:
     def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], blanks_count: bool, encode_words: Callable[[list[str], str], list[Ids] | None] | None = None):
         self.encode_many, self.encode_words = encode_many, encode_words
         self.blanks_count = blanks_count
-        self.rest: dict[str, Ids] = {}
-        self.heads: dict[str, Ids] = {}
+        self.known: dict[str, Ids | None] = {}
         self.marks: dict[str, Ids] = {}
-        self.line_end = pack(encode_many(["\n"])[0])
-        self.long: list[tuple[dict[str, Ids], str]] = []
 
     def _coded(self, chunks: list[str], lead: str) -> list[Ids]:
         if self.encode_words and chunks and (found := self.encode_words(chunks, lead or ("\n" if self.blanks_count else " "))) is not None:
             return found
         return list(map(pack, self.encode_many([lead + c for c in chunks])))
 
-    def _learn(self, chunks: set[str], known: dict[str, Ids], lead: str) -> None:
-        """Add new chunks to ``known``; punctuation after letters is set apart."""
-        words, others, marked = [], [], []
-        new = chunks.difference(known)
+    def _learn(self, new: list[str], lead: str, key: str) -> None:
+        """Add new chunks under ``key`` and the chunk; punctuation after letters is set apart."""
+        known, words, others, marked = self.known, [], [], []
         for c in new:
             if c.isalpha():
                 words.append(c)
             elif (stem := c.rstrip(string.punctuation)).isalpha():
                 marked.append((c, stem, c[len(stem) :]))
             elif c and (c[0].isspace() or c[-1].isspace()):
-                known[c] = None  # its text is encoded whole
+                known[key + c] = None  # its text is encoded whole
             else:
                 others.append(c)
-        words += {stem for _, stem, _ in marked}.difference(known, words)
-        known.update(zip(words, self._coded(words, lead)))
+        words += [s for s in {stem for _, stem, _ in marked}.difference(words) if key + s not in known]
+        known.update(zip([key + w for w in words] if key else words, self._coded(words, lead)))
         for m in {m for _, _, m in marked}.difference(self.marks):
             self.marks[m] = pack(self.encode_many([m])[0])
         for c, stem, m in marked:
-            known[c] = known[stem] + self.marks[m]
+            known[key + c] = known[key + stem] + self.marks[m]
         if others:
-            known.update(zip(others, map(pack, self.encode_many([lead + c for c in others]))))
-        self.long += [(known, c) for c in new if len(c) > LONGEST_CACHED]
-        self.long += [(known, c) for c in words if len(c) > LONGEST_CACHED]
+            known.update(zip([key + c for c in others], map(pack, self.encode_many([lead + c for c in others]))))
+
+    def _prepared(self, text: str) -> str | None:
+        """The text with its chunks between blanks; None if it must be encoded whole."""
+        if not self.blanks_count:
+            if text.isascii() and "<|" not in text:
+                text = text.lower()
+            return text.replace("\n", " ")
+        if _HEAD in text or any(g in text for g in _GAPS):
+            return None
+        return _HEAD + text.replace("\n", " \n " + _HEAD)
 
     def encode(self, texts: list[str]) -> list[Ids]:
         """Packed ids of each text."""
-        lead = " " if self.blanks_count else ""
-        cut: list[list[list[str]] | None] = []
-        heads: set[str] = set()
-        rest: set[str] = set()
-        for t in texts:
-            if self.blanks_count:
-                lines = None if any(g in t for g in _GAPS) else [x.split(" ") for x in t.split("\n")]
-                for line in lines or ():
-                    heads.add(line[0])
-                    rest.update(line[1:])
-            else:
-                if t.isascii() and "<|" not in t:
-                    t = t.lower()
-                lines = [t.replace("\n", " ").split(" ")]
-                rest.update(lines[0])
-            cut.append(lines)
-        heads.discard("")
-        if not self.blanks_count:
-            rest.discard("")
-        self._learn(rest, self.rest, lead)
-        if heads:
-            self._learn(heads, self.heads, "")
-        head, get, out = self.heads.get, self.rest.__getitem__, []
-        for text, lines in zip(texts, cut):
-            try:
-                if lines is None:
-                    raise TypeError
-                if self.blanks_count:
-                    out.append(self.line_end.join([head(x[0], b"") + b"".join(map(get, x[1:])) for x in lines]))
-                else:
-                    out.append(b"".join(map(get, filter(None, lines[0]))))
-            except TypeError:  # a chunk without ids of its own
-                out.append(pack(self.encode_many([text])[0]))
-        self._trim()
+        ready = [self._prepared(t) for t in texts]
+        out: list[Ids | None] = [None] * len(texts)
+        place = [k for k, r in enumerate(ready) if r is not None]
+        if place:
+            for k, ids in zip(place, self._gathered([ready[k] for k in place])):
+                out[k] = ids
+        left = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(left, self.encode_many([texts[k] for k in left]) if left else ()):
+            out[k] = pack(ids)
         return out
 
-    def _trim(self) -> None:
-        """Forget long chunks at once and everything when the cache is full."""
-        for known, c in self.long:
-            known.pop(c, None)
-        self.long.clear()
-        for known, most in ((self.rest, CACHE_ENTRIES), (self.heads, CACHE_ENTRIES // 4), (self.marks, 10_000)):
-            if len(known) > most:
-                known.clear()
+    def _gathered(self, ready: list[str]) -> list[Ids | None]:
+        """Packed ids of prepared texts; None for one with a chunk that has no ids of its own."""
+        chunks = pc.split_pattern(pa.array(ready, pa.large_string()), " ")
+        coded = chunks.flatten().dictionary_encode()
+        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = self.known
+        fresh = [c for c in distinct if c not in known]
+        if self.blanks_count:
+            heads = [c[1:] for c in fresh if c[:1] == _HEAD]
+            self._learn([c for c in fresh if c[:1] != _HEAD and c != "\n"], " ", "")
+            if "\n" in fresh:
+                known["\n"] = pack(self.encode_many(["\n"])[0])
+            if _HEAD in fresh:
+                known[_HEAD] = b""
+            self._learn([c for c in heads if c], "", _HEAD)
+        else:
+            if "" in fresh:
+                known[""] = b""
+            self._learn([c for c in fresh if c], "", "")
+        found = [known[c] for c in distinct]
+        unsure = None
+        if None in found:
+            unsure = np.array([f is None for f in found])
+            found = [f or b"" for f in found]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        starts = np.cumsum(sizes) - sizes
+        blob = np.frombuffer(b"".join(found), np.uint32)
+        many = sizes[which]
+        ends = np.cumsum(many)
+        ids = blob[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - many), many)]
+        edges = np.concatenate([[0], ends])[chunks.offsets.to_numpy()]
+        data = ids.tobytes()
+        out: list[Ids | None] = [data[a:b] for a, b in zip((4 * edges[:-1]).tolist(), (4 * edges[1:]).tolist())]
+        if unsure is not None:
+            hit = np.concatenate([[0], np.cumsum(unsure[which])])[chunks.offsets.to_numpy()]
+            for k in np.flatnonzero(hit[1:] > hit[:-1]):
+                out[k] = None
+        for c in distinct:
+            if len(c) > LONGEST_CACHED:
+                known.pop(c, None)
+                known.pop(c.rstrip(string.punctuation), None)
+        for cache, most in ((known, CACHE_ENTRIES), (self.marks, 10_000)):
+            if len(cache) > most:
+                cache.clear()
+        return out
 
 
 @lru_cache(1)
