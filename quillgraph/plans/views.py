@@ -84,8 +84,9 @@ def relationships(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 
 def edges(relationships: DataFrame, min_strength: float = SETTINGS.min_strength) -> DataFrame:
     """Strong relationships in both directions."""
-    strong = relationships.filter(F.col("strength") >= min_strength)
-    return strong.select("source_entity", "target_entity", "strength").union(strong.select("target_entity", "source_entity", "strength"))
+    way = lambda a, b: F.struct(F.col(a).alias("source_entity"), F.col(b).alias("target_entity"))
+    both = F.explode(F.array(way("source_entity", "target_entity"), way("target_entity", "source_entity")))
+    return relationships.filter(F.col("strength") >= min_strength).select(both.alias("way"), "strength").select("way.*", "strength")
 
 
 class Graph:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.config import SETTINGS
 from quillgraph.functions.scalars import arrow_path, display_megabytes, display_percent, iso_time
 from quillgraph.operators import graph, listing, mutations, retrieval, validation
+from quillgraph.plans import views as plans
 from quillgraph.plans.views import Graph, _pick, edges
 from quillgraph.schemas import RELATIONSHIP_TYPE
 from quillgraph.sources.tables import as_json, conformed, table
@@ -60,6 +61,15 @@ def _marked(spark: SparkSession, sf_dir: str, mark: str, value: int) -> DataFram
     return table(spark, sf_dir, "labels").filter(F.col(mark) == value).select(F.col("doc_id").cast("string").alias("_id")).distinct()
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph with entities and edges kept for the steps of a query that read them again;
+    both are small beside the sections, and spill to disk or are computed anew if lost."""
+    g = Graph(spark, sf_dir)
+    g.entities = g.entities.persist()
+    g.edges = edges(plans.relationships(g.mentions, g.entities)).persist()
+    return g
+
+
 def _claims(g: Graph) -> DataFrame:
     """Relationships as an extractor might claim them: strengths out of range, unknown types."""
     kind = _pick((*RELATIONSHIP_TYPE, "resembles"), F.length("source_entity") + F.length("target_entity"))
@@ -329,7 +339,7 @@ def graph_degree(spark, sf_dir):
 
 
 def _hop(spark, sf_dir, hops: int) -> DataFrame:
-    linked = Graph(spark, sf_dir).edges
+    linked = _linked(spark, sf_dir).edges
     found = graph.paths_by_hop(linked, graph.hubs(linked), hops)[-1]
     return _rounded(found.select(arrow_path(F.col("path")).alias("path"), "total_strength"), "total_strength")
 
@@ -366,7 +376,7 @@ def search_sources(spark, sf_dir):
 
 @query
 def search_graph_paths(spark, sf_dir):
-    g = Graph(spark, sf_dir)
+    g = _linked(spark, sf_dir)
     top = retrieval.top_sections(g.sections, _question(spark, sf_dir))
     return _rounded(retrieval.search_paths(top, g.entities, g.edges), "total_strength")
 
@@ -380,7 +390,7 @@ def _flat(response: DataFrame) -> DataFrame:
 
 @query
 def search_response(spark, sf_dir):
-    g = Graph(spark, sf_dir)
+    g = _linked(spark, sf_dir)
     return _flat(retrieval.search_response(_question(spark, sf_dir), g.sections, g.documents, g.entities, g.edges))
 
 
