@@ -118,7 +118,7 @@ def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def occurrences(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+def occurrences(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``row`` (a number for each row) and ``found``: base spans and candidates
     (kind -1) of the whole text, with hashes of their pattern (null: none) and of themselves.
 

@@ -262,5 +262,6 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_b
     prints = stored(prints.select(F.col(_ROW).alias("doc_id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("rank"), "fp", "check_fp"), "dedup-prints")
     groups = stored(near_duplicates(prints, max_bits, verify=_similar(rows, words, similarity)).select("component_id", "rank", F.col("doc_id").alias("row")), "dedup-groups")
     first = groups.groupBy("component_id").agg(F.min(F.struct("rank", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = hinted(stored(first.select("component_id", "first"), "dedup-first"))
     removed = stored(groups.join(first, "component_id").filter("row != first.row").select(F.col("row").alias(_ROW)), "dedup-removed")
     return rows.join(hinted(removed), _ROW, "left_anti").drop(_ROW)
