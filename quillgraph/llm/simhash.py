@@ -13,7 +13,8 @@ the links that it sees, never the pairs. Components come from contracting the li
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -199,17 +200,16 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(prints: DataFrame, max_bits: int = 3, check_bits: int = 64, verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def near_duplicates(prints: DataFrame, max_bits: int = 3, check_bits: int = 64) -> DataFrame:
     """``prints`` (doc_id, fp, check_fp, any more) with component_id: the least doc_id that is
     reachable over links of at most ``max_bits`` (and ``check_bits``) differing bits.
 
     Rows without a doc_id get the least id of their component, null if it has none. Equal
-    fingerprints always link, those of empty texts (0) too. ``verify`` gets the links and the
-    table of distinct fingerprints (fp, check_fp, least) and returns the links that hold.
+    fingerprints always link, those of empty texts (0) too.
     """
     nodes = stored(prints.groupBy("fp", "check_fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     found = links(nodes.select("fp", "check_fp"), max_bits, check_bits)
-    roots = components(verify(found, nodes) if verify else found)
+    roots = components(found)
     placed = roots.select("node.fp", "node.check_fp", "root").join(nodes, ["fp", "check_fp"])
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = stored(placed.join(least, "root").select("fp", "check_fp", "component_id"), "components")
@@ -217,50 +217,129 @@ def near_duplicates(prints: DataFrame, max_bits: int = 3, check_bits: int = 64,
     return prints.join(named, ["fp", "check_fp"])
 
 
+#: One text in so many tells which shingles are common, from so many of them on; at most so many.
+SAMPLE, COMMON, MOST_COMMON = 16, 4, 200_000
+#: Rounds of links to one member of each key before all pairs left are tested.
+STAR_ROUNDS = 2
+_ROW = "__simhash_row"
+
+
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    """Distinct 32-bit hashes of a text's word shingles; a shorter text is one shingle."""
+    """Distinct 64-bit hashes of a text's word shingles in order; a shorter text is one shingle."""
     words = words_of(text)
-    shingles = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(x) for x in shingles), np.uint32, len(shingles))).view(np.int32)
+    shingles = list(map(b" ".join, zip(*(words[k:] for k in range(size))))) if len(words) >= size else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)))
 
 
-_ROW = "__simhash_row"
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first hashes of a set in the order of all shingles: rare ones by hash, then ``common``
+    ones by ``rank``. Two sets with a Jaccard similarity of at least ``similarity`` share one of
+    these whatever the order is, since each holds at least that share of the other."""
+    take = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        known = common[at] == hashes
+        hashes = np.concatenate([hashes[~known], hashes[known][np.argsort(rank[at[known]], kind="stable")]])
+    return hashes[:take]
 
 
-def _similar(rows: DataFrame, words: int, similarity: float) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Keeps links whose texts have a Jaccard similarity of shingles of at least ``similarity``."""
+def _hashed(rows: DataFrame, words: int) -> DataFrame:
+    """row and the shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["row", "shingles"])
+            found = [shingle_hashes(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["row", "shingles"])
 
-    def verify(found: DataFrame, nodes: DataFrame) -> DataFrame:
-        at = lambda s: nodes.select(F.struct("fp", "check_fp").alias(s), F.col("least").alias(f"row_{s}"))
-        pairs = stored(found.join(at("a"), "a").join(at("b"), "b"), "candidate-links")
-        wanted = stored(pairs.select(F.col("row_a").alias(_ROW)).union(pairs.select("row_b")).distinct(), "candidate-rows")
-        texts = rows.select(_ROW, F.col("text").cast("string").alias("text")).join(hinted(wanted), _ROW)
-        sets = stored(texts.mapInArrow(run, "row long, shingles array<int>"), "candidate-shingles")
-        side = lambda s: sets.select(F.col("row").alias(f"row_{s}"), F.col("shingles").alias(f"set_{s}"))
-        both = pairs.join(side("a"), "row_a").join(side("b"), "row_b")
-        shared = F.size(F.array_intersect("set_a", "set_b"))
-        return both.filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+    return rows.select(_ROW, F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, shingles array<long>")
 
-    return verify
 
+def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """row, doc_id, identity of the shingle set (two hashes), its size and its prefix.
 
-def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 7) -> DataFrame:
+    Which shingles are common is estimated; that decides how many candidates there are, never
+    which links are found.
+    """
+    sample = _hashed(rows.filter(F.pmod(F.xxhash64(_ROW), F.lit(SAMPLE)) == 0), words)
+    counts = sample.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    listed = [r.h for r in counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()]
+    by_hash = np.array(listed, np.int64).view(np.uint64)
+    order = np.argsort(by_hash)
+    common, rank = by_hash[order], -order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_hashes(t, words) for t in batch.column(2).to_pylist()]
+            same = np.array([[xxhash.xxh64_intdigest(h.tobytes(), seed) for seed in (0, 1)] for h in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            first = [prefix(h, similarity, common, rank).view(np.int64) for h in sets]
+            arrays = [pa.array(same[:, 0].copy()), pa.array(same[:, 1].copy()), pa.array([len(h) for h in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["row", "doc_id", "id_a", "id_b", "size", "prefix"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    texts = rows.select(_ROW, "doc_id", F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, f"row long, doc_id {kind}, id_a long, id_b long, size int, prefix array<long>")
+
+
+def _holding(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows whose sets have at least that Jaccard similarity."""
+    side = lambda s: sets.select(F.col("row").alias(s), F.col("shingles").alias(f"set_{s}"))
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    return both.filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+
+
+def similar_links(rows: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between texts whose closure is that of all pairs with at least that Jaccard
+    similarity. ``nodes``: row, size and prefix of texts with different sets.
+
+    All pairs in question share a key of their prefixes. First every member of a key is held
+    against one other, which joins large groups of copies; then all pairs of a key that are not
+    joined yet are. Pairs left out are those that links found before join already.
+    """
+    keyed = nodes.select(F.col("row").alias("node"), "size", F.explode("prefix").alias("key"))
+    alike = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in (0, 1)]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), *alike).filter("n > 1")
+    # Keys with the same members say the same.
+    shared = stored(shared.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key"), "dedup-keys")
+    members = stored(keyed.join(hinted(shared), "key").withColumn("label", F.col("node")), "dedup-members")
+    wanted = stored(members.select(F.col("node").alias(_ROW)).distinct(), "dedup-wanted")
+    sets = stored(_hashed(rows.join(hinted(wanted), _ROW), words), "dedup-sets")
+    fits = F.least("l.size", "r.size") >= similarity * F.greatest("l.size", "r.size") - 1e-9
+    apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & fits
+    ends = (F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+    found = []
+    for turn in range(STAR_ROUNDS):
+        centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "size", "label")).alias("c")).select("key", "c.*")
+        pairs = members.alias("l").join(centre.alias("r"), apart).select(*ends)
+        found.append(stored(_holding(pairs, sets, similarity), "dedup-links"))
+        roots = components(found[0].union(found[-1]) if turn else found[0])
+        labelled = members.drop("label").join(roots.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = stored(labelled.select("key", "node", "size", "label"), "dedup-members")
+        several = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
+        members = stored(labelled.join(hinted(stored(several, "dedup-keys")), "key"), "dedup-members")
+    pairs = members.alias("l").join(members.alias("r"), apart & (F.col("l.node") < F.col("r.node"))).select(*ends)
+    found.append(stored(_holding(pairs, sets, similarity), "dedup-links"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the least doc_id.
 
-    Candidates have fingerprints of their distinct words within ``max_bits`` bits, which a text
-    changed in one word in 45 (similarity 0.8) seldom exceeds; every candidate link is checked
-    on whole texts. Texts that are equal but for case and white space always link, empty and
-    null ones with each other. Rows without a doc_id are kept only if their group has no other.
+    Texts link if the Jaccard similarity of their word shingles is at least ``similarity``; no
+    such link is missed, and each is checked on whole texts. Texts that are equal but for case
+    and white space always link, empty and null ones with each other. Rows without a doc_id are
+    kept only if their group has no other.
     """
     rows = stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "dedup-rows")
-    prints = fingerprints(rows, words=1, distinct=True, verify_words=words, keep=(_ROW, "doc_id"))
-    prints = stored(prints.select(F.col(_ROW).alias("doc_id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("rank"), "fp", "check_fp"), "dedup-prints")
-    groups = stored(near_duplicates(prints, max_bits, verify=_similar(rows, words, similarity)).select("component_id", "rank", F.col("doc_id").alias("row")), "dedup-groups")
+    prints = stored(_prefixes(rows, words, similarity), "dedup-prints")
+    same = stored(prints.groupBy("id_a", "id_b").agg(F.min("row").alias("row")), "dedup-nodes")
+    roots = components(similar_links(rows, prints.join(hinted(same.select("row")), "row"), words, similarity))
+    placed = same.join(roots, same["row"] == roots["node"], "left").select("id_a", "id_b", F.coalesce("root", "row").alias("component_id"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("rank")
+    groups = stored(prints.select("id_a", "id_b", rank, "row").join(stored(placed, "dedup-placed"), ["id_a", "id_b"]).select("component_id", "rank", "row"), "dedup-groups")
     first = groups.groupBy("component_id").agg(F.min(F.struct("rank", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = hinted(stored(first.select("component_id", "first"), "dedup-first"))
     removed = stored(groups.join(first, "component_id").filter("row != first.row").select(F.col("row").alias(_ROW)), "dedup-removed")

@@ -117,3 +117,45 @@ def test_dedup_of_hard_rows(hard, nothing):
     assert simhash.deduplicated(nothing).count() == 0
     many = hard.filter("doc_id = 5").select("doc_id", F.explode(F.array_repeat("text", 300)).alias("text"))
     assert simhash.deduplicated(many).count() == 1
+
+
+def _kept_by_brute_force(by_id, similarity=0.8):
+    """The least id of each component of all pairs."""
+    sets = {}
+    for k, t in by_id.items():
+        w = _words(t)
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    root = {k: k for k in by_id}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in by_id:
+        for b in by_id:
+            if a < b and (both := len(sets[a] & sets[b])) >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k for k in by_id if find(k) == k}
+
+
+def _prose(rng, n):
+    return [f"w{k}" for k in rng.zipf(1.3, n) % 5000]
+
+
+def test_runs_of_words_appended_cut_or_replaced(spark):
+    rng = np.random.default_rng(11)
+    by_id = {}
+    for k in range(30):
+        base = _prose(rng, int(rng.integers(100, 400)))
+        n = len(base)
+        run = int(n * rng.uniform(0.08, 0.25))
+        at = int(rng.integers(0, n - run))
+        by_id[10 * k] = base
+        by_id[10 * k + 1] = base + _prose(rng, run)
+        by_id[10 * k + 2] = base[run:]
+        by_id[10 * k + 3] = base[:at] + _prose(rng, run // 2) + base[at + run // 2 :]
+    by_id = {k: " ".join(w) for k, w in by_id.items()}
+    table = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicated(table).collect()} == _kept_by_brute_force(by_id)
