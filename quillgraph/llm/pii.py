@@ -1,7 +1,7 @@
 """Personal data: patterns for known kinds, and contextual extraction bootstrapped from them.
 
 What the patterns of the four kinds find are the seed instances. The two words before an
-instance are its lexical pattern. Spark scores the graph of patterns and instances in turns: a
+instance, or the one that begins its line, are its lexical pattern. Spark scores the graph of patterns and instances in turns: a
 pattern is as good for a kind as the share of its distinct instances that are known for it, an
 instance as good as the patterns it occurs in. Patterns of high confidence that have enough
 distinct instances then mark identifiers that no base pattern matches.
@@ -26,8 +26,19 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
-_BEFORE = re.compile(r"(\w+)\W*\s\W*(\w+)\W*\s\W*$")
-#: How far before an instance its pattern may begin, and the digits that make an identifier.
+_BEFORE = re.compile(r"(\w+)\W*\s\W*(\w+)\W+$")
+_ALONE = re.compile(r"^\W*(\w+)\W+$")
+#: A label that stands before an identifier without a blank.
+_LABEL = re.compile(r"[^\W\d]+[:=#]+(?=[\w(+])")
+#: Groups of digits that a blank may join, and what may stand at their head.
+_GROUP = re.compile(r"[0-9][0-9().\-/]*")
+_HEAD = re.compile(r"\+?(?:[A-Za-z]{1,4})?[0-9][0-9().\-/]*")
+#: Forms of addresses besides those of the base pattern.
+_ADDRESS = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@[\w-][\w.-]{0,62}(?![\w@-])")
+_AT = re.compile(r"[(\[{] ?at ?[)\]}]", re.I)
+_LOCAL_END = re.compile(r"(?<![\w.+-])[\w.+-]{1,64} ?$")
+_HOST = re.compile(r" ?[\w-]{1,62}(?:(?: ?[(\[{] ?dot ?[)\]}] ?| dot |\.)[\w-]{1,62}| (?:com|org|net|edu|gov|int|info|io|eu|de|fr|es|it|nl|uk|us)(?!\w))*", re.I)
+#: How far before an instance its pattern may begin, and the digits that make a number.
 _REACH = 80
 MIN_DIGITS = 5
 _LONGEST = 64
@@ -79,16 +90,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def pattern_before(text: str, start: int) -> str | None:
-    """The two words before a place, in lower case, if they are on its line."""
+    """The two words before a place, in lower case, if they are on its line; a word that begins
+    the line stands alone, after a ``^``."""
     near = text[max(0, start - _REACH) : start]
-    m = _BEFORE.search(near[near.rfind("\n") + 1 :])
-    return f"{m[1]} {m[2]}".lower() if m else None
+    line = near[near.rfind("\n") + 1 :]
+    if m := _BEFORE.search(line):
+        return f"{m[1]} {m[2]}".lower()
+    if (len(line) < len(near) or start <= _REACH) and (m := _ALONE.match(line)):
+        return f"^ {m[1]}".lower()
+    return None
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Words joined by an @ or by a bracketed "at", whatever the form of the host."""
+    out = [(m.start(), m.end() - len(m[0]) + len(m[0].rstrip(".-"))) for m in _ADDRESS.finditer(text)] if "@" in text else []
+    for m in _AT.finditer(text):
+        local, host = _LOCAL_END.search(text, max(0, m.start() - 66), m.start()), _HOST.match(text, m.end())
+        if local and host:
+            out.append((local.start(), host.end()))
+    return sorted(out)
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Words with MIN_DIGITS digits or more that no base span touches, without outer punctuation."""
-    out, at, spans = [], 0, sorted((a, b) for _, a, b in taken)
-    k = 0
+    """What may be an identifier and no base span touches: addresses, and words or groups of
+    digits joined by single blanks with MIN_DIGITS digits or more, without outer punctuation."""
+    spans = sorted((a, b) for _, a, b in taken)
+    if "@" in text or _AT.search(text):
+        named = []
+        for a, b in addresses(text):
+            if not any(x < b and a < y for x, y in spans) and not (named and a < named[-1][1]):
+                named.append((a, b))
+        spans = sorted([*spans, *named])
+    else:
+        named = []
+    out, at, k = list(named), 0, 0
+    chain: tuple[int, int, int] | None = None  # start, end, end with what follows the last group
+
+    def close() -> None:
+        if chain and sum("0" <= c <= "9" for c in text[chain[0] : chain[1]]) >= MIN_DIGITS:
+            out.append(chain[:2])
+
     while m := _DIGIT.search(text, at):
         start = end = m.start()
         low = max(at, start - _LONGEST)
@@ -99,16 +140,37 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             end += 1
         at = end
         if end == high < len(text) or start == low and low > 0 and not text[low - 1].isspace():
+            close()
+            chain = None
             continue  # longer than any identifier
+        first, stop = start, end
         while start < end and not text[start].isalnum():
             start += 1
         while end > start and not text[end - 1].isalnum():
             end -= 1
+        if label := _LABEL.match(text, start, end):
+            start = first = label.end()
+            while start < end and not text[start].isalnum():
+                start += 1
         while k < len(spans) and spans[k][1] <= start:
             k += 1
-        if sum("0" <= c <= "9" for c in text[start:end]) >= MIN_DIGITS and not (k < len(spans) and spans[k][0] < end):
-            out.append((start, end))
-    return out
+        if k < len(spans) and spans[k][0] < end:
+            close()
+            chain = None
+            continue
+        if text[first:start] == "(" and ")" in text[start:stop]:
+            start = first  # an area code in brackets
+        numeric = _GROUP.fullmatch(text, start + (text[start] == "("), end)
+        if chain and numeric and first == chain[2] + 1 and text[chain[2]] in " \xa0" and start in (first, first + 1) and end - chain[0] <= _LONGEST:
+            chain = (chain[0], end, stop)
+        else:
+            close()
+            chain = (start, end, stop)
+        if text[end:stop] not in ("", ")") or not (numeric or _HEAD.fullmatch(text, start + (text[start] == "("), end)):
+            close()  # the next group is not joined to this one
+            chain = None
+    close()
+    return sorted(out)
 
 
 _OCCURRENCE = "array<struct<kind: int, start: int, end: int, pattern: long, instance: long>>"

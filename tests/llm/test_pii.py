@@ -6,6 +6,8 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import pytest
+
 from quillgraph.llm import pii, queries
 
 PLAIN = {
@@ -77,3 +79,27 @@ def test_hard_rows_and_redaction(hard, nothing):
     assert not any("@" in (r.text or "") for r in rows)
     assert sum(r.text is None for r in rows) == 2
     assert pii.redacted(nothing).count() == 0
+
+
+@pytest.mark.parametrize("text, wanted", [
+    ("my card is 4111 1111 1111 1112 now", "4111 1111 1111 1112"),
+    ("please call me at 030 1234 5678, thanks", "030 1234 5678"),
+    ("account number is DE89 3704 0044 0532 here", "DE89 3704 0044 0532"),
+    ("you can call (212) 555-0199 today", "(212) 555-0199"),
+    ("send mail to jdoe@localhost today", "jdoe@localhost"),
+    ("send mail to jane (at) example com today", "jane (at) example com"),
+    ("so\nTel: 5551234567", "5551234567"),
+    ("my own phone:5551234567 is on", "5551234567"),
+])
+def test_shapes_of_candidates(text, wanted):
+    assert [text[a:b] for a, b in pii.candidates(text, pii.base_spans(text))] == [wanted]
+    assert pii.pattern_before(text, text.index(wanted))
+
+
+def test_grouped_and_named_identifiers_are_learnt(spark):
+    rows = [f"Tel: +1 555 0{k:03d} 99{k % 10}" for k in range(40)] + [f"please write to user{k}@mail{k}.example.org soon" for k in range(40)]
+    rows += ["Tel: 030 1234 5678", "Tel:5551234567", "please write to jdoe@localhost soon", "please write to jane (at) example com soon", "there were 12 34 56 of them"]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: [(pii.KINDS[s.kind], rows[r.doc_id][s.start : s.end]) for s in r.spans if s.added] for r in pii.personal_data(table).collect()}
+    assert found[80] == [("phone", "030 1234 5678")] and found[81] == [("phone", "5551234567")]
+    assert found[82] == [("email", "jdoe@localhost")] and found[83] == [("email", "jane (at) example com")] and found[84] == []
