@@ -247,7 +247,7 @@ def _hashed(rows: DataFrame, words: int) -> DataFrame:
     """row and the shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             found = [shingle_hashes(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["row", "shingles"])
 
@@ -280,12 +280,23 @@ def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     return texts.mapInArrow(run, f"row long, doc_id {kind}, id_a long, id_b long, size int, prefix array<long>")
 
 
-def _holding(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows whose sets have at least that Jaccard similarity."""
+def _holding(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows whose sets have at least that Jaccard similarity.
+
+    What two sets share lies in both prefixes or after the end of one of them. That bound drops
+    most pairs before whole texts are read.
+    """
+    least = lambda a, b: similarity / (1 + similarity) * (F.col(a) + F.col(b)) - 1e-6
+    side = lambda s: nodes.select(F.col("row").alias(s), F.col("size").alias(f"size_{s}"), F.col("prefix").alias(f"prefix_{s}"))
+    after = F.greatest(*[F.col(f"size_{s}") - F.size(f"prefix_{s}") for s in "ab"])
+    likely = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    likely = stored(likely.filter(F.size(F.array_intersect("prefix_a", "prefix_b")) + after >= least("size_a", "size_b")).select("a", "b"), "dedup-likely")
+    wanted = stored(likely.select(F.explode(F.array("a", "b")).alias(_ROW)).distinct(), "dedup-wanted")
+    sets = stored(_hashed(rows.join(hinted(wanted), _ROW), words), "dedup-sets")
     side = lambda s: sets.select(F.col("row").alias(s), F.col("shingles").alias(f"set_{s}"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    return both.filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+    both = likely.join(side("a"), "a").join(side("b"), "b")
+    return stored(both.filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b"), "dedup-links")
 
 
 def similar_links(rows: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -297,13 +308,12 @@ def similar_links(rows: DataFrame, nodes: DataFrame, words: int, similarity: flo
     joined yet are. Pairs left out are those that links found before join already.
     """
     keyed = nodes.select(F.col("row").alias("node"), "size", F.explode("prefix").alias("key"))
-    alike = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in (0, 1)]
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), *alike).filter("n > 1")
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "dedup-keys")
+    members = stored(keyed.join(hinted(shared), "key"), "dedup-members")
     # Keys with the same members say the same.
-    shared = stored(shared.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key"), "dedup-keys")
-    members = stored(keyed.join(hinted(shared), "key").withColumn("label", F.col("node")), "dedup-members")
-    wanted = stored(members.select(F.col("node").alias(_ROW)).distinct(), "dedup-wanted")
-    sets = stored(_hashed(rows.join(hinted(wanted), _ROW), words), "dedup-sets")
+    alike = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in (0, 1)]
+    one = members.groupBy("key").agg(F.count("*").alias("n"), *alike).groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key")
+    members = stored(members.join(hinted(stored(one, "dedup-keys")), "key").withColumn("label", F.col("node")), "dedup-members")
     fits = F.least("l.size", "r.size") >= similarity * F.greatest("l.size", "r.size") - 1e-9
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & fits
     ends = (F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
@@ -311,14 +321,14 @@ def similar_links(rows: DataFrame, nodes: DataFrame, words: int, similarity: flo
     for turn in range(STAR_ROUNDS):
         centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "size", "label")).alias("c")).select("key", "c.*")
         pairs = members.alias("l").join(centre.alias("r"), apart).select(*ends)
-        found.append(stored(_holding(pairs, sets, similarity), "dedup-links"))
+        found.append(_holding(pairs, nodes, rows, words, similarity))
         roots = components(found[0].union(found[-1]) if turn else found[0])
         labelled = members.drop("label").join(roots.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
         labelled = stored(labelled.select("key", "node", "size", "label"), "dedup-members")
         several = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
         members = stored(labelled.join(hinted(stored(several, "dedup-keys")), "key"), "dedup-members")
     pairs = members.alias("l").join(members.alias("r"), apart & (F.col("l.node") < F.col("r.node"))).select(*ends)
-    found.append(stored(_holding(pairs, sets, similarity), "dedup-links"))
+    found.append(_holding(pairs, nodes, rows, words, similarity))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -336,7 +346,8 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     rows = stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "dedup-rows")
     prints = stored(_prefixes(rows, words, similarity), "dedup-prints")
     same = stored(prints.groupBy("id_a", "id_b").agg(F.min("row").alias("row")), "dedup-nodes")
-    roots = components(similar_links(rows, prints.join(hinted(same.select("row")), "row"), words, similarity))
+    nodes = prints.join(hinted(same.select("row")), "row").select("row", "size", "prefix")
+    roots = components(similar_links(rows, nodes, words, similarity))
     placed = same.join(roots, same["row"] == roots["node"], "left").select("id_a", "id_b", F.coalesce("root", "row").alias("component_id"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("rank")
     groups = stored(prints.select("id_a", "id_b", rank, "row").join(stored(placed, "dedup-placed"), ["id_a", "id_b"]).select("component_id", "rank", "row"), "dedup-groups")

@@ -159,3 +159,17 @@ def test_runs_of_words_appended_cut_or_replaced(spark):
     by_id = {k: " ".join(w) for k, w in by_id.items()}
     table = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
     assert {r.doc_id for r in simhash.deduplicated(table).collect()} == _kept_by_brute_force(by_id)
+
+
+def test_crowd_at_the_edge_of_similarity(spark, monkeypatch):
+    """Many variants of one text, whose pairs lie on both sides of 0.8: no link is replaced by another that fails."""
+    monkeypatch.setattr(simhash, "HOT_SEGMENT", 2)
+    rng = np.random.default_rng(7)
+    base, by_id = _prose(rng, 300), {}
+    for k in range(90):
+        words = list(base)
+        for at in rng.choice(300, int(rng.integers(3, 6)), replace=False):
+            words[at] = f"own{k}x{at}" if rng.random() < 0.5 else f"other{at}"
+        by_id[k] = " ".join(words)
+    table = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicated(table).collect()} == _kept_by_brute_force(by_id)
