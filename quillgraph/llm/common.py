@@ -51,7 +51,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     modest_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -73,6 +83,6 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def hinted(table: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A stored table of narrow rows, to be broadcast if it has at most ``most`` of them; a
-    larger one is left to a join that shuffles."""
+    """A stored table whose rows are a few numbers, so that their number bounds its bytes: to be
+    broadcast if it has at most ``most`` of them; a larger one is left to a join that shuffles."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table

@@ -1,10 +1,16 @@
 """Personal data: patterns for known kinds, and contextual extraction bootstrapped from them.
 
-What the patterns of the four kinds find are the seed instances. The two words before an
-instance, or the one that begins its line, are its lexical pattern. Spark scores the graph of patterns and instances in turns: a
-pattern is as good for a kind as the share of its distinct instances that are known for it, an
-instance as good as the patterns it occurs in. Patterns of high confidence that have enough
-distinct instances then mark identifiers that no base pattern matches.
+What the patterns of the four kinds find are the seed instances. They induce lexical patterns:
+the two words before an instance, the one before with what stands between, the one after, both
+neighbours, and the shape of its own characters. Spark scores the graph of patterns and
+instances in turns: a pattern is as good for a kind as the share of its distinct instances that
+are known for it, an instance as good as the best pattern it occurs in. Patterns of high
+confidence that have enough distinct instances then mark identifiers that no base pattern
+matches.
+
+Bounds of the added spans, whatever the size of the corpus: context is looked for up to
+``_REACH`` code points away on the same line, a number needs ``MIN_DIGITS`` digits, and an
+identifier has at most about ``_LONGEST`` code points. Base spans have no such bounds.
 """
 
 from __future__ import annotations
@@ -13,11 +19,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, slices, stored
+from .common import discard, hinted, slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -28,6 +35,8 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _DIGIT = re.compile(r"[0-9]")
 _BEFORE = re.compile(r"(\w+)\W*\s\W*(\w+)\W+$")
 _ALONE = re.compile(r"^\W*(\w+)\W+$")
+_LAST = re.compile(r"(\w+)(\W{1,4})$")
+_NEXT = re.compile(r"(\W{1,4})(\w+)")
 #: A label that stands before an identifier without a blank.
 _LABEL = re.compile(r"[^\W\d]+[:=#]+(?=[\w(+])")
 #: Groups of digits that a blank may join, and what may stand at their head.
@@ -46,6 +55,8 @@ _LONGEST = 64
 ROUNDS = 3
 MIN_CONFIDENCE = 0.8
 MIN_INSTANCES = 4
+#: Trusted patterns that are sent to the tasks (of some 20 bytes); more are joined by a shuffle.
+MOST_PATTERNS = 1_000_000
 #: A pattern counts as if it had one more instance that is unknown.
 DOUBT = 1.0
 
@@ -148,6 +159,8 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             start += 1
         while end > start and not text[end - 1].isalnum():
             end -= 1
+        if start > first and text[start - 1] == "+":
+            start -= 1
         if label := _LABEL.match(text, start, end):
             start = first = label.end()
             while start < end and not text[start].isalnum():
@@ -160,8 +173,8 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             continue
         if text[first:start] == "(" and ")" in text[start:stop]:
             start = first  # an area code in brackets
-        numeric = _GROUP.fullmatch(text, start + (text[start] == "("), end)
-        if chain and numeric and first == chain[2] + 1 and text[chain[2]] in " \xa0" and start in (first, first + 1) and end - chain[0] <= _LONGEST:
+        numeric = _GROUP.fullmatch(text, start + (text[start] in "(+"), end)
+        if chain and numeric and text[start] != "+" and first == chain[2] + 1 and text[chain[2]] in " \xa0" and start in (first, first + 1) and end - chain[0] <= _LONGEST:
             chain = (chain[0], end, stop)
         else:
             close()
@@ -173,75 +186,165 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return sorted(out)
 
 
-_OCCURRENCE = "array<struct<kind: int, start: int, end: int, pattern: long, instance: long>>"
+def shape(identifier: str) -> str | None:
+    """Its characters with digits as 9 and letters as a; None for a bare run of either."""
+    out = "".join("9" if "0" <= c <= "9" else "a" if c.isalpha() else c for c in identifier)
+    return None if len(set(out)) == 1 or out.isalnum() else out
+
+
+def patterns_of(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns of a place: contexts on its line, and its own shape."""
+    out = [f"2 {two}"] if (two := pattern_before(text, start)) else []
+    near, far = text[max(0, start - _REACH) : start], text[end : end + _REACH]
+    last, after = _LAST.search(near[near.rfind("\n") + 1 :]), _NEXT.match(far.split("\n", 1)[0])
+    if last:
+        out.append(f"< {last[1]}{last[2]}".lower())
+    if after:
+        out.append(f"> {after[1]}{after[2]}".lower())
+    if last and after:
+        out.append(f"= {last[1]}{last[2]}{after[1]}{after[2]}".lower())
+    if own := shape(text[start:end]):
+        out.append(f"~ {own}")
+    return out
 
 
 def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def occurrences(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``row`` (a number for each row) and ``found``: base spans and candidates
-    (kind -1) of the whole text, with hashes of their pattern (null: none) and of themselves.
+def places_of(text: str) -> list[tuple[int, int, int, list[int], int]]:
+    """(kind, start, end, hashes of patterns, hash of the instance): base spans, then candidates
+    (kind -1) of the whole text."""
+    base = base_spans(text)
+    both = [*base, *((-1, a, b) for a, b in candidates(text, base))]
+    return [(kind, a, b, list(map(_hash, patterns_of(text, a, b))), _hash(text[a:b].lower())) for kind, a, b in both]
 
-    Null texts are empty. The table is stored, so row numbers stay.
-    """
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    kinds = dict(rows.dtypes)
-    kind_of = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.int64()), ("instance", pa.int64())]))
+
+def pattern_links(docs: DataFrame) -> DataFrame:
+    """Distinct pattern, instance and kind (-1: not known) over all texts, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = []
-            for text in batch.column(len(keep)).to_pylist():
-                text = text or ""
-                base = base_spans(text)
-                own = []
-                for kind, a, b in [*base, *((-1, a, b) for a, b in candidates(text, base))]:
-                    before = pattern_before(text, a)
-                    own.append({"kind": kind, "start": a, "end": b, "pattern": before and _hash(before), "instance": _hash(text[a:b].lower())})
-                found.append(own)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], batch.column(len(keep) + 1), pa.array(found, kind_of)], names=[*keep, "row", "found"])
+            seen = list({(p, own, kind) for text in batch.column(0).to_pylist() if text for kind, _, _, found, own in places_of(text) for p in found})
+            cols = [pa.array([x[k] for x in seen], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["pattern", "instance", "kind"])
 
-    return stored(rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + f", row long, found {_OCCURRENCE}"), "pii-occurrences")
+    seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "pattern long, instance long, kind int")
+    return stored(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-links")
 
 
-def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_instances: int = MIN_INSTANCES) -> DataFrame:
-    """pattern, kind: contexts whose distinct instances are nearly all of one kind.
-
-    Works on distinct (pattern, instance) links; sums are taken before anything is joined.
+def trusted_patterns(links: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_instances: int = MIN_INSTANCES) -> DataFrame:
+    """pattern, kind, confidence, stored: contexts whose distinct instances are nearly all of one
+    kind. Works on distinct (pattern, instance) links; sums are taken before anything is joined.
     """
-    seen = found.select(F.explode("found").alias("o")).filter("o.pattern is not null").select("o.pattern", "o.instance", "o.kind")
-    links = stored(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-links")
-    size = links.groupBy("pattern").agg(F.count("*").alias("instances")).filter(F.col("instances") >= min_instances)
-    known = links.filter("kind >= 0").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
-    scores = None
+    size = links.groupBy("pattern").agg(F.count("*").alias("instances"), F.max("kind").alias("best")).filter((F.col("instances") >= min_instances) & (F.col("best") >= 0))
+    size = stored(size.select("pattern", "instances"), "pii-sizes")  # contexts that no seed has are out
+    links = stored(links.join(hinted(size), "pattern"), "pii-likely")
+    seeds = links.filter("kind >= 0").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
+    known, scores = seeds, None
     for _ in range(rounds):
         # Patterns from what is believed of their instances ...
-        reached = links.select("pattern", "instance").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("belief"))
-        scores = reached.join(size, "pattern").select("pattern", "kind", (F.col("belief") / (F.col("instances") + DOUBT)).alias("confidence"))
+        reached = links.select("pattern", "instance", "instances").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("belief"), F.first("instances").alias("instances"))
+        before, scores = scores, reached.select("pattern", "kind", (F.col("belief") / (F.col("instances") + DOUBT)).alias("confidence"))
         scores = stored(scores.filter(F.col("confidence") >= 0.1), "pii-patterns")
         # ... and instances from the best pattern they occur in, if that is any good.
-        told = links.filter("kind < 0").select("pattern", "instance").join(scores.filter(F.col("confidence") >= 0.5), "pattern")
-        told = told.groupBy("instance", "kind").agg(F.max("confidence").alias("belief"))
-        known = links.filter("kind >= 0").select("instance", "kind", F.lit(1.0).alias("belief")).distinct().union(told)
-    best = scores.filter(F.col("confidence") >= min_confidence)
-    return best.groupBy("pattern").agg(F.max_by("kind", "confidence").alias("kind"))
+        told = links.filter("kind < 0").select("pattern", "instance").join(hinted(scores).filter(F.col("confidence") >= 0.5), "pattern")
+        known = seeds.union(told.groupBy("instance", "kind").agg(F.max("confidence").alias("belief")))
+        if before is not None:
+            discard(before)
+    best = F.max(F.struct("confidence", (-F.col("kind")).alias("less"))).alias("best")
+    out = scores.filter(F.col("confidence") >= min_confidence).groupBy("pattern").agg(best)
+    out = stored(out.select("pattern", (-F.col("best.less")).cast("int").alias("kind"), "best.confidence"), "pii-trusted")
+    discard(size, links, scores)
+    return out
+
+
+class Patterns:
+    """Trusted patterns as sorted arrays."""
+
+    def __init__(self, rows: pa.Table):
+        order = np.argsort(rows.column("pattern").to_numpy(), kind="stable")
+        self.key, self.kind, self.confidence = (rows.column(c).to_numpy()[order] for c in ("pattern", "kind", "confidence"))
+
+    def kind_of(self, found: list[int]) -> int | None:
+        """The kind that the best of some patterns speaks for."""
+        wanted = np.array(found, np.int64)
+        at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+        hit = at[self.key[at] == wanted]
+        return int(min((-self.confidence[k], self.kind[k]) for k in hit)[1]) if len(hit) else None
+
+    def spans(self, text: str) -> list[tuple[int, int, int, bool]]:
+        """(kind, start, end, added) by kind and start."""
+        if not len(self.key):
+            return [(kind, a, b, False) for kind, a, b in base_spans(text)]
+        out = []
+        for kind, a, b, found, _ in places_of(text):
+            if kind >= 0:
+                out.append((kind, a, b, False))
+            elif found and (told := self.kind_of(found)) is not None:
+                out.append((told, a, b, True))
+        return sorted(out)
+
+
+_SPANS = "array<struct<kind: int, start: int, end: int, added: boolean>>"
+_SPAN_KIND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("added", pa.bool_())]))
+
+
+def _listed(found: list[tuple[int, int, int, bool]]) -> list[dict]:
+    return [{"kind": k, "start": a, "end": b, "added": new} for k, a, b, new in found]
+
 
+def _sent(trusted: DataFrame, most: int) -> Patterns | None:
+    """The patterns, if they are few enough to go to every task."""
+    return Patterns(trusted.toArrow()) if trusted.limit(most + 1).count() <= most else None
 
-def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``row`` and ``spans``: array of (kind, start, end, added) by kind and start.
 
-    Rows without any personal data have an empty array; repeated rows repeat; an empty table
-    gives no rows; other columns are ignored.
+def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), most_patterns: int = MOST_PATTERNS) -> DataFrame:
+    """``keep`` columns and ``spans``: array of (kind, start, end, added) by kind and start.
+
+    Null and empty texts and rows without any personal data have an empty array; texts of any
+    length are read whole; repeated rows repeat; an empty table gives no rows; other columns are
+    ignored whatever their names. All texts are read twice: to learn the patterns, and to apply
+    them. Beyond ``most_patterns`` the second pass is a join.
     """
-    found = occurrences(docs, keep)
-    trusted = trusted_patterns(found)
-    loose = found.select("row", F.explode("found").alias("o")).filter("o.kind < 0").select("row", "o.pattern", "o.start", "o.end")
-    added = loose.join(trusted, "pattern").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(True).alias("added"))).alias("more"))
+    links = pattern_links(docs)
+    trusted = trusted_patterns(links)
+    discard(links)
+    patterns = _sent(trusted, most_patterns)
+    if patterns is None:
+        return _by_join(docs, trusted, keep)
+    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [_listed(patterns.spans(t or "")) for t in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, _SPAN_KIND)], names=[*keep, "spans"])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), f"spans {_SPANS}"]))
+
+
+def _by_join(docs: DataFrame, trusted: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The same spans for any number of patterns: places are stored with a number for each row,
+    and their patterns joined."""
+    rows = docs.select(*keep, F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("__row"))
+    kinds = dict(rows.dtypes)
+    place = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("patterns", pa.list_(pa.int64()))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [[{"kind": k, "start": a, "end": b, "patterns": p} for k, a, b, p, _ in places_of(t or "")] for t in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], batch.column(len(keep) + 1), pa.array(found, place)], names=[*keep, "__row", "found"])
+
+    schema = [*(f"`{k}` {kinds[k]}" for k in keep), "__row long", "found array<struct<kind: int, start: int, end: int, patterns: array<long>>>"]
+    found = stored(rows.mapInArrow(run, ", ".join(schema)), "pii-places")
+    loose = found.select("__row", F.explode("found").alias("o")).filter("o.kind < 0").select("__row", "o.start", "o.end", F.explode("o.patterns").alias("pattern"))
+    told = loose.join(trusted, "pattern").groupBy("__row", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("less"))).alias("best"))
+    one = F.struct((-F.col("best.less")).cast("int").alias("kind"), "start", "end", F.lit(True).alias("added"))
+    added = told.groupBy("__row").agg(F.collect_list(one).alias("more"))
     base = F.transform(F.filter("found", lambda o: o["kind"] >= 0), lambda o: F.struct(o["kind"].alias("kind"), o["start"].alias("start"), o["end"].alias("end"), F.lit(False).alias("added")))
-    both = F.array_sort(F.concat(base, F.coalesce("more", F.array().cast("array<struct<kind: int, start: int, end: int, added: boolean>>"))))
-    return found.join(added, "row", "left").select(*keep, "row", both.alias("spans"))
+    both = F.array_sort(F.concat(base, F.coalesce("more", F.array().cast(_SPANS))))
+    return found.join(added, "__row", "left").select(*keep, both.alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -258,33 +361,45 @@ def digests(found: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return found.select(*keep, *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame) -> DataFrame:
+def _without(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
+    parts, at = [], 0
+    for kind, a, b, _ in sorted(spans, key=lambda s: (s[1], s[0])):
+        if a >= at:
+            parts += [text[at:a], f"<{KINDS[kind].upper()}>"]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
+
+
+def redacted(docs: DataFrame, most_patterns: int = MOST_PATTERNS) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets, and n_chars brought up
-    to date if there is such a column. Overlapping spans are replaced as one, by the first kind.
-    Null texts stay null. The columns stay as they are."""
-    numbered = stored(docs.withColumn("__row_of_text", F.monotonically_increasing_id()), "pii-rows")
-    found = stored(personal_data(numbered, ("__row_of_text",)).filter(F.size("spans") > 0).select("__row_of_text", F.col("spans").alias("__spans_of_text")), "pii-spans")
-    kinds = dict(numbered.dtypes)
-    both = numbered.join(hinted(found, 100_000), "__row_of_text", "left")
-    names = list(docs.columns)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+    to date if there is such a column.
+
+    Overlapping spans are replaced as one, by the first kind. Null texts stay null, empty ones
+    empty; texts of any length are read whole; repeated rows repeat; an empty table stays empty;
+    the columns stay as they are. Texts are read twice and never written.
+    """
+    links = pattern_links(docs)
+    trusted = trusted_patterns(links)
+    discard(links)
+    patterns = _sent(trusted, most_patterns)
+    names, kinds = list(docs.columns), dict(docs.dtypes)
     place = names.index("text")
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    if patterns is None:
+        whole = docs.select(F.struct(*names).alias("__doc"), "text")
+        found = _by_join(whole, trusted, ("__doc",))
+        rows = found.select("__doc.*", F.col("spans").alias("__spans")).withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans_of_text").to_pylist()):
-                if text is not None and spans:
-                    parts, at = [], 0
-                    for s in sorted(spans, key=lambda s: (s["start"], s["kind"])):
-                        if s["start"] >= at:
-                            parts += [text[at : s["start"]], f"<{KINDS[s['kind']].upper()}>"]
-                        at = max(at, s["end"])
-                    text = "".join([*parts, text[at:]])
-                out.append(text)
-            columns = [batch.column(c) for c in names]
-            columns[place] = pa.array(out, pa.string())
+            texts = batch.column(place).to_pylist()
+            if patterns is None:
+                found = [[(s["kind"], s["start"], s["end"], s["added"]) for s in x] for x in batch.column(len(names)).to_pylist()]
+            else:
+                found = [patterns.spans(t) if t else [] for t in texts]
+            columns = batch.columns[: len(names)]
+            columns[place] = pa.array([_without(t, f) if f else t for t, f in zip(texts, found)], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = both.select(*names, "__spans_of_text").mapInArrow(run, schema)
+    out = rows.mapInArrow(run, ", ".join(f"`{c}` {'string' if c == 'text' else kinds[c]}" for c in names))
     return out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in kinds else out

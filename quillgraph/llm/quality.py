@@ -2,10 +2,14 @@
 
 Every document becomes a short vector of transformed statistics. For each (language, source),
 each language and the whole corpus a minimum-covariance-determinant estimate is reached by
-concentration steps: take the share of documents that lie nearest, re-estimate centre and
-scatter from them, repeat. One step is one aggregation of the vectors' moments by distance bin,
-so the share is cut from at most ``BINS`` partial sums a group and no group meets in one task.
+concentration steps from three starts: take the share of documents that lie nearest,
+re-estimate centre and scatter from them, repeat; the start that ends with the least
+determinant wins. One step is one aggregation of the vectors' moments by distance bin, so the
+share is cut from at most ``BINS`` partial sums a group and no group meets in one task.
 Documents whose Mahalanobis distance exceeds a chi-square quantile are rejected.
+
+Groups with fewer than ``MIN_ROWS`` documents past the base rules are judged by their
+language's estimate, small languages by that of the corpus, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, slices, stored
+from .common import discard, hinted, slices, stored
 
 DIMS = 6
 #: Distances are binned by eighths of an octave.
@@ -108,15 +112,16 @@ def vector() -> list[Column]:
 
 _PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 _ROOT = ", ".join(f"w{i}{j} double" for i, j in _PAIRS)
-_FIT = "key string, " + ", ".join(f"m{i} double" for i in range(DIMS)) + ", " + _ROOT
+_FIT = "key string, start int, logdet double, " + ", ".join(f"m{i} double" for i in range(DIMS)) + ", " + _ROOT
+
+
+def _whitened(i: int) -> Column:
+    return sum((F.col(f"w{i}{j}") * (F.col(f"x{j}") - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0))
 
 
 def _distance() -> Column:
     """Squared Mahalanobis distance from the fit in the row: the norm of a whitened vector."""
-    parts = []
-    for i in range(DIMS):
-        z = sum((F.col(f"w{i}{j}") * (F.col(f"x{j}") - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0))
-        parts.append(z * z)
+    parts = [_whitened(i) * _whitened(i) for i in range(DIMS)]
     return sum(parts[1:], parts[0])
 
 
@@ -130,6 +135,38 @@ def _consistency(share: float) -> float:
     return share / cdf(lo, DIMS + 2)
 
 
+def _row(key: str, start: int, mean: np.ndarray, scatter: np.ndarray) -> list:
+    scatter = scatter + np.diag(np.square(FLOOR))
+    root = np.linalg.inv(np.linalg.cholesky(scatter))
+    return [key, start, float(np.linalg.slogdet(scatter)[1]), *mean, *(root[i, j] for i, j in _PAIRS)]
+
+
+def _moments(part: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scatter from sums."""
+    mean, scatter = np.array([part[f"s{i}"] for i in range(DIMS)]) / part["n"], np.zeros((DIMS, DIMS))
+    for i, j in _PAIRS:
+        scatter[i, j] = scatter[j, i] = part[f"q{i}{j}"] / part["n"] - mean[i] * mean[j]
+    return mean, scatter
+
+
+def _starts(key: tuple, sums: pd.DataFrame) -> pd.DataFrame:
+    """Three starts of a group: median and quartile range of each statistic, the same with the
+    correlations of squashed statistics, and mean and scatter of all rows."""
+    part = sums.iloc[0]
+    middle = np.array([part[f"m{i}"] for i in range(DIMS)])
+    spread = np.array([1 / part[f"w{i}{i}"] for i in range(DIMS)])
+    squashed = np.eye(DIMS)
+    for i, j in _PAIRS:
+        squashed[i, j] = squashed[j, i] = part[f"t{i}{j}"] / part["n"]
+    scale = np.sqrt(np.maximum(np.diag(squashed), 1e-12))
+    correlation = squashed / np.outer(scale, scale)
+    mean, scatter = _moments(part)
+    values, axes = np.linalg.eigh(correlation)
+    correlation = axes * np.maximum(values, 1e-3) @ axes.T
+    rows = [_row(part["key"], 0, middle, np.diag(spread**2)), _row(part["key"], 1, middle, correlation * np.outer(spread, spread)), _row(part["key"], 2, mean, scatter)]
+    return pd.DataFrame(rows)
+
+
 def _fit(share: float):
     """From a group's moments by distance bin to centre and inverse root of its scatter."""
     factor = _consistency(share)
@@ -138,15 +175,8 @@ def _fit(share: float):
         bins = bins.sort_values("bin")
         total = bins["n"].cumsum().to_numpy()
         upto = int(np.searchsorted(total, share * total[-1])) + 1
-        part = bins.iloc[:upto].sum(numeric_only=True)
-        n = part["n"]
-        mean = np.array([part[f"s{i}"] for i in range(DIMS)]) / n
-        scatter = np.zeros((DIMS, DIMS))
-        for i, j in _PAIRS:
-            scatter[i, j] = scatter[j, i] = part[f"q{i}{j}"] / n - mean[i] * mean[j]
-        scatter = factor * scatter + np.diag(np.square(FLOOR))
-        root = np.linalg.inv(np.linalg.cholesky(scatter))
-        return pd.DataFrame([[key[0], *mean, *(root[i, j] for i, j in _PAIRS)]])
+        mean, scatter = _moments(bins.iloc[:upto].sum(numeric_only=True))
+        return pd.DataFrame([_row(key[0], key[1], mean, factor * scatter)])
 
     return fit
 
@@ -157,46 +187,77 @@ def _keyed(stats: DataFrame) -> DataFrame:
 
 
 def robust_fits(stats: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """The estimate for every key with at least ``MIN_ROWS`` rows, and for the corpus.
-
-    ``stats``: key_group, key_lang and x0 ... The start is the median and quartile range of
-    each statistic, which outliers cannot move far.
+    """The estimate of least determinant for every key with at least ``MIN_ROWS`` rows, and for
+    the corpus. ``stats``: key_group, key_lang and x0 ...
     """
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS]
     quartiles = [F.percentile_approx(f"x{i}", F.lit([0.25, 0.5, 0.75]), F.lit(2000)).alias(f"p{i}") for i in range(DIMS)]
-    start = _keyed(stats).groupBy("key").agg(F.count("*").alias("rows"), *quartiles).filter((F.col("rows") >= MIN_ROWS) | (F.col("key") == "all"))
-    spread = lambda i: F.sqrt(F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) + FLOOR[i] ** 2)
-    fits = start.select("key", *[F.col(f"p{i}")[1].alias(f"m{i}") for i in range(DIMS)], *[(1 / spread(i) if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i, j in _PAIRS])
-    fits = stored(fits, "quality-fits")
     rows = _keyed(stats)
+    start = rows.groupBy("key").agg(F.count("*").alias("rows"), *quartiles).filter((F.col("rows") >= MIN_ROWS) | (F.col("key") == "all"))
+    spread = lambda i: F.sqrt(F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) + FLOOR[i] ** 2)
+    middles = stored(start.select("key", *[F.col(f"p{i}")[1].alias(f"m{i}") for i in range(DIMS)], *[(1 / spread(i)).alias(f"w{i}{i}") for i in range(DIMS)]), "quality-fits")
+    squash = [F.tanh((F.col(f"x{i}") - F.col(f"m{i}")) * F.col(f"w{i}{i}")) for i in range(DIMS)]
+    about = [F.sum(squash[i] * squash[j]).alias(f"t{i}{j}") for i, j in _PAIRS]
+    first = rows.join(hinted(middles, MOST_BROADCAST), "key").groupBy("key").agg(F.count("*").cast("double").alias("n"), *sums, *about)
+    fits = stored(first.join(hinted(middles, MOST_BROADCAST), "key").groupBy("key").applyInPandas(_starts, _FIT), "quality-fits")
+    discard(middles)
     for _ in range(steps):
         at = F.floor(BINS_AN_OCTAVE * F.log2(_distance() + 2.0**-10)).cast("int") + 10 * BINS_AN_OCTAVE
         binned = rows.join(hinted(fits, MOST_BROADCAST), "key").withColumn("bin", F.least(at, F.lit(BINS)))
-        sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS]
-        moments = binned.groupBy("key", "bin").agg(F.count("*").cast("double").alias("n"), *sums)
-        fits = stored(moments.groupBy("key").applyInPandas(_fit(share), _FIT), "quality-fits")
-    return fits
+        moments = binned.groupBy("key", "start", "bin").agg(F.count("*").cast("double").alias("n"), *sums)
+        before, fits = fits, stored(moments.groupBy("key", "start").applyInPandas(_fit(share), _FIT), "quality-fits")
+        discard(before)
+    best = fits.groupBy("key").agg(F.min(F.struct("logdet", "start")).alias("best")).select("key", "best.start")
+    out = stored(fits.join(best, ["key", "start"]).select(*fits.columns), "quality-fits")
+    discard(fits)
+    return out
 
 
-def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), max_distance: float = MAX_DISTANCE) -> DataFrame:
-    """``keep`` columns, the counts, base_failed, distance and kept.
-
-    Null languages and sources are groups of their own. Empty texts fail the base rules.
-    Repeated rows are judged alike; an empty table gives no rows. Columns other than ``keep``
-    and text are ignored. Base failures take part in no estimate, they are rejected anyway.
-    """
+def _statistics(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns (lang and source among them), counts, base_failed, keys and vector."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-    stats = counted(docs, keep).withColumns({
+    return counted(docs, keep).withColumns({
         "base_failed": base_failed(),
         "key_lang": F.concat(F.lit("lang:"), name("lang")),
         "key_group": F.concat(F.lit("group:"), name("lang"), F.lit("\1"), name("source")),
         **{f"x{i}": v for i, v in enumerate(vector())},
     })
-    stats = stored(stats, "quality-stats")
-    xs = [f"x{i}" for i in range(DIMS)]
-    fits = robust_fits(stats.filter("not base_failed").select("key_group", "key_lang", *xs))
+
+
+_XS = [f"x{i}" for i in range(DIMS)]
+
+
+def _judged(stats: DataFrame, fits: DataFrame, keep: tuple[str, ...], max_distance: float) -> DataFrame:
     # The narrowest level that has an estimate.
     level = lambda c, flag: hinted(fits.select(F.col("key").alias(c), F.lit(True).alias(flag)), MOST_BROADCAST)
     out = stats.join(level("key_group", "has_group"), "key_group", "left").join(level("key_lang", "has_lang"), "key_lang", "left")
     key = F.when(F.col("has_group"), F.col("key_group")).when(F.col("has_lang"), F.col("key_lang")).otherwise("all")
     out = out.withColumn("key", key).join(hinted(fits, MOST_BROADCAST), "key", "left").withColumn("distance", F.coalesce(_distance(), F.lit(0.0)))
     return out.select(*keep, *COUNTS, "base_failed", "distance", (~F.col("base_failed") & (F.col("distance") <= max_distance)).alias("kept"))
+
+
+def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), max_distance: float = MAX_DISTANCE) -> DataFrame:
+    """``keep`` columns, the counts, base_failed, distance and kept.
+
+    Null languages and sources are groups of their own. Null and empty texts fail the base
+    rules. Texts of any length are read whole. Repeated rows and ties are judged alike; an empty
+    table gives no rows. Columns other than ``keep`` and text are ignored. Base failures take
+    part in no estimate, they are rejected anyway.
+    """
+    stats = stored(_statistics(docs, keep), "quality-stats")
+    fits = robust_fits(stats.filter("not base_failed").select("key_group", "key_lang", *_XS))
+    return _judged(stats, fits, keep, max_distance)
+
+
+def filtered(docs: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, whole and with all their columns.
+
+    The counts are taken twice, once for the estimates and once for the verdicts, so that no
+    text is written.
+    """
+    stats = stored(_statistics(docs.select("lang", "source", "text"), ("lang", "source")).filter("not base_failed").select("key_group", "key_lang", *_XS), "quality-stats")
+    fits = robust_fits(stats)
+    discard(stats)
+    whole = docs.select(F.struct(*docs.columns).alias("__doc"), "lang", "source", "text")
+    keep = ("__doc", "lang", "source")
+    return _judged(_statistics(whole, keep), fits, keep, max_distance).filter("kept").select("__doc.*")

@@ -13,8 +13,8 @@ the links that it sees, never the pairs. Components come from contracting the li
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, slices, stored
+from .common import discard, hinted, slices, stored
 
 SEED = 42
 #: Segments with more distinct fingerprints than this are handled in blocks.
@@ -183,7 +183,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node moves to the neighbour (or itself) of least hash, another hash each
     round, and the graph contracts; the expected number of rounds is logarithmic.
     """
-    edges, moves = stored(edges.select("a", "b"), "edges"), []
+    edges, moves, used = stored(edges.select("a", "b"), "edges"), [], []
     while not edges.isEmpty():
         rank = F.min(F.struct(F.xxhash64(F.lit(len(moves)), "to").alias("h"), "to")).alias("least")
         ways = [("a", "b"), ("b", "a"), ("a", "a"), ("b", "b")]
@@ -191,12 +191,16 @@ def components(edges: DataFrame) -> DataFrame:
         move = stored(near.groupBy("node").agg(rank).select("node", F.col("least.to").alias("root")), "moves")
         moves.append(move)
         at = lambda s: move.select(F.col("node").alias(s), F.col("root").alias(f"{s}_root"))  # noqa: E731, B023
+        before = edges
         edges = edges.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        used.append(before)
         edges = stored(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     out = moves[0] if moves else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for move in moves[1:]:
         step = move.select(F.col("node").alias("root"), F.col("root").alias("next"))
         out = out.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    out = stored(out, "roots")
+    discard(edges, *used, *moves)
     return out
 
 
@@ -217,141 +221,229 @@ def near_duplicates(prints: DataFrame, max_bits: int = 3, check_bits: int = 64)
     return prints.join(named, ["fp", "check_fp"])
 
 
-#: One text in so many tells which shingles are common, from so many of them on; at most so many.
-SAMPLE, COMMON, MOST_COMMON = 16, 4, 200_000
-#: Rounds of links to one member of each key before all pairs left are tested.
-STAR_ROUNDS = 2
-_ROW = "__simhash_row"
+#: The near-duplicate stage: segments of a wide fingerprint over distinct words, and their bits.
+SEGMENTS, SEGMENT_BITS = 10, 30
+#: Of 64 bits over the shingles of two texts with a similarity of 0.8, nine or ten differ, in one
+#: case of a hundred thousand more than this. Of texts that share nothing half of the bits do.
+CHECK_BITS = 22
+#: Rounds of links to one member of each key before the pairs left are held against each other in
+#: blocks of at most so many texts and shingles.
+STAR_ROUNDS, BLOCK_ROWS, BLOCK_SHINGLES = 2, 256, 1 << 21
+_GOLDEN, _MIX = 0x9E3779B97F4A7C15, np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+_HASH = "__simhash_text"
 
 
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    """Distinct 64-bit hashes of a text's word shingles in order; a shorter text is one shingle."""
-    words = words_of(text)
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of word shingles in order; a shorter text is one shingle."""
     shingles = list(map(b" ".join, zip(*(words[k:] for k in range(size))))) if len(words) >= size else [b" ".join(words)]
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)))
 
 
-def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first hashes of a set in the order of all shingles: rare ones by hash, then ``common``
-    ones by ``rank``. Two sets with a Jaccard similarity of at least ``similarity`` share one of
-    these whatever the order is, since each holds at least that share of the other."""
-    take = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        known = common[at] == hashes
-        hashes = np.concatenate([hashes[~known], hashes[known][np.argsort(rank[at[known]], kind="stable")]])
-    return hashes[:take]
+def _majority(hashes: np.ndarray, ways: int) -> np.ndarray:
+    """For each of 64 * ways bits whether it is set in over half of the hashes; every 64 bits
+    come from another mixing of the hashes."""
+    counts = np.zeros((ways, 64), np.int64)
+    for at in range(0, len(hashes), _WAY):
+        for k in range(ways):
+            z = hashes[at : at + _WAY] + np.uint64(_GOLDEN * k & (1 << 64) - 1)
+            z = (z ^ z >> np.uint64(30)) * _MIX[0]
+            z = (z ^ z >> np.uint64(27)) * _MIX[1]
+            z ^= z >> np.uint64(31)
+            counts[k] += np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return (2 * counts > len(hashes)).ravel()
 
 
-def _hashed(rows: DataFrame, words: int) -> DataFrame:
-    """row and the shingle hashes of each text."""
+def word_segments(words: list[bytes], segments: int = SEGMENTS, bits: int = SEGMENT_BITS) -> list[int]:
+    """A fingerprint over the distinct words, cut into segments of at most 56 bits."""
+    distinct = set(words)
+    set_ = _majority(np.fromiter(map(xxhash.xxh64_intdigest, distinct, repeat(SEED)), np.uint64, len(distinct)), -(-segments * bits // 64))
+    return (set_[: segments * bits].reshape(segments, bits) @ (1 << np.arange(bits, dtype=np.int64))).tolist()
+
+
+def _prints(rows: DataFrame, words: int, segments: int, bits: int) -> DataFrame:
+    """doc_id and text hash of each row; identity (two hashes) and size of its shingle set, the
+    segments of its fingerprint and a second fingerprint over the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            found = [shingle_hashes(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["row", "shingles"])
+        for batch in slices(batches):
+            cut = [words_of(t) for t in batch.column(2).to_pylist()]
+            sets = [shingle_hashes(w, words) for w in cut]
+            same = np.array([[xxhash.xxh64_intdigest(h.tobytes(), seed) for seed in (0, 1)] for h in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            check = np.array([np.packbits(_majority(h, 1), bitorder="little").view(np.int64)[0] for h in sets], np.int64)
+            arrays = [pa.array(same[:, 0].copy()), pa.array(same[:, 1].copy()), pa.array([len(h) for h in sets], pa.int64()), pa.array(check), pa.array([word_segments(w, segments, bits) for w in cut], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "hash", "id_a", "id_b", "size", "check", "segments"])
 
-    return rows.select(_ROW, F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, shingles array<long>")
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.mapInArrow(run, f"doc_id {kind}, hash long, id_a long, id_b long, size long, check long, segments array<long>")
 
 
-def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """row, doc_id, identity of the shingle set (two hashes), its size and its prefix.
+def _keyed(nodes: DataFrame, bits: int) -> DataFrame:
+    """Every node under its segments as they are and with each set bit struck out.
 
-    Which shingles are common is estimated; that decides how many candidates there are, never
-    which links are found.
+    Of two segments that differ in one bit, one holds 0 there and stands under its own value,
+    and the other one with its 1 struck out gives that value too.
     """
-    sample = _hashed(rows.filter(F.pmod(F.xxhash64(_ROW), F.lit(SAMPLE)) == 0), words)
-    counts = sample.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
-    listed = [r.h for r in counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()]
-    by_hash = np.array(listed, np.int64).view(np.uint64)
-    order = np.argsort(by_hash)
-    common, rank = by_hash[order], -order
+    cut = nodes.select("node", "size", "check", F.posexplode("segments").alias("segment", "value"))
+    struck = cut.withColumn("bit", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1)))).filter("bit < 0 or (shiftright(value, bit) & 1) = 1")
+    value = F.expr("case when bit < 0 then value else value & ~shiftleft(1L, bit) end")
+    return struck.select(F.expr("shiftleft(cast(segment as bigint), 56)").bitwiseOR(value).alias("key"), "node", "size", "check")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, repeats: bool) -> DataFrame:
+    """node and the shingle hashes of the texts of ``wanted`` (node, doc_id, hash), stored."""
+    asked = hinted(wanted.select("node", F.col("doc_id").alias("__id"), F.col("hash").alias("__of")))
+    found = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(_HASH) == F.col("__of"))).select("node", "text")
+    if repeats:
+        found = found.dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_hashes(t, words) for t in batch.column(2).to_pylist()]
-            same = np.array([[xxhash.xxh64_intdigest(h.tobytes(), seed) for seed in (0, 1)] for h in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            first = [prefix(h, similarity, common, rank).view(np.int64) for h in sets]
-            arrays = [pa.array(same[:, 0].copy()), pa.array(same[:, 1].copy()), pa.array([len(h) for h in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["row", "doc_id", "id_a", "id_b", "size", "prefix"])
+        for batch in slices(batches, 64):
+            hashed = [shingle_hashes(words_of(t), words).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashed, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    kind = dict(rows.dtypes)["doc_id"]
-    texts = rows.select(_ROW, "doc_id", F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, f"row long, doc_id {kind}, id_a long, id_b long, size int, prefix array<long>")
+    return stored(found.mapInArrow(run, "node long, shingles array<long>"), "dedup-sets")
 
 
-def _holding(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows whose sets have at least that Jaccard similarity.
+def _in_reach(similarity: float) -> Column:
+    """What two texts of that similarity fulfil by the sizes of their sets and by fingerprint."""
+    fits = F.least("l.size", "r.size") >= similarity * F.greatest("l.size", "r.size") - 1e-9
+    return fits & (F.bit_count(F.col("l.check").bitwiseXOR(F.col("r.check"))) <= CHECK_BITS) & (F.col("l.label") != F.col("r.label"))
 
-    What two sets share lies in both prefixes or after the end of one of them. That bound drops
-    most pairs before whole texts are read.
-    """
-    least = lambda a, b: similarity / (1 + similarity) * (F.col(a) + F.col(b)) - 1e-6
-    side = lambda s: nodes.select(F.col("row").alias(s), F.col("size").alias(f"size_{s}"), F.col("prefix").alias(f"prefix_{s}"))
-    after = F.greatest(*[F.col(f"size_{s}") - F.size(f"prefix_{s}") for s in "ab"])
-    likely = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    likely = stored(likely.filter(F.size(F.array_intersect("prefix_a", "prefix_b")) + after >= least("size_a", "size_b")).select("a", "b"), "dedup-likely")
-    wanted = stored(likely.select(F.explode(F.array("a", "b")).alias(_ROW)).distinct(), "dedup-wanted")
-    sets = stored(_hashed(rows.join(hinted(wanted), _ROW), words), "dedup-sets")
-    side = lambda s: sets.select(F.col("row").alias(s), F.col("shingles").alias(f"set_{s}"))
+
+def _holding(pairs: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole shingle sets are that similar, stored."""
+    likely = stored(pairs.distinct(), "dedup-likely")
+    sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     both = likely.join(side("a"), "a").join(side("b"), "b")
-    return stored(both.filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b"), "dedup-links")
+    found = stored(both.filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b"), "dedup-links")
+    discard(likely, sets)
+    return found
 
 
-def similar_links(rows: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) between texts whose closure is that of all pairs with at least that Jaccard
-    similarity. ``nodes``: row, size and prefix of texts with different sets.
+def _met_in_blocks(members: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """Links within crowded keys: members are dealt into blocks, each pair of blocks is a task, and
+    what it returns is a spanning forest of the links it finds on whole sets, never the pairs."""
+    total = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_SHINGLES)
+    blocks = stored(members.groupBy("key").agg(F.ceil(total).cast("int").alias("blocks")), "dedup-blocks")
+    sets = sets_of(members.select("node").distinct())
+    dealt = members.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "size", "check").join(sets, "node")
 
-    All pairs in question share a key of their prefixes. First every member of a key is held
-    against one other, which joins large groups of copies; then all pairs of a key that are not
-    joined yet are. Pairs left out are those that links found before join already.
+    def meet(table: pa.Table) -> pa.Table:
+        col = lambda c: table.column(c).to_numpy()
+        node, own, size, check = col("node"), col("own"), col("size"), col("check").astype(np.int64).view(np.uint64)
+        sets = [np.asarray(x.values, np.int64) for x in table.column("shingles")]
+        group = {x: x for x in col("label").tolist()}
+
+        def root(x):
+            while group[x] != x:
+                group[x] = x = group[group[x]]
+            return x
+
+        label, out, apart = col("label").tolist(), [], len(set(own.tolist())) > 1
+        for a in range(len(node)):
+            near = np.bitwise_count(check[a] ^ check) <= CHECK_BITS
+            near &= np.minimum(size[a], size) >= similarity * np.maximum(size[a], size) - 1e-9
+            near &= (own > own[a]) if apart else (np.arange(len(node)) > a)
+            for b in np.flatnonzero(near).tolist():
+                if root(label[a]) == root(label[b]):
+                    continue
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both >= similarity * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                    out.append((int(node[a]), int(node[b])))
+                    group[root(label[a])] = root(label[b])
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    found = stored(dealt.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long"), "dedup-links")
+    discard(blocks, sets)
+    return found
+
+
+def similar_links(nodes: DataFrame, sets_of, similarity: float, bits: int) -> DataFrame:
+    """Links (a, b) between texts whose closure is that of all candidate pairs with at least that
+    Jaccard similarity. Candidates share a key, one segment that differs in a bit at most.
+
+    First every member of a key is held against one other, which joins large groups of copies;
+    pairs that links found before join already need no test; what is left of crowded keys after
+    some rounds is compared in blocks. No candidate is dropped and every link is verified.
     """
-    keyed = nodes.select(F.col("row").alias("node"), "size", F.explode("prefix").alias("key"))
-    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "dedup-keys")
-    members = stored(keyed.join(hinted(shared), "key"), "dedup-members")
+    keyed = _keyed(nodes, bits)
+    several = stored(keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x != y").select("key"), "dedup-keys")
+    held = stored(keyed.join(hinted(several), "key"), "dedup-members")
     # Keys with the same members say the same.
     alike = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in (0, 1)]
-    one = members.groupBy("key").agg(F.count("*").alias("n"), *alike).groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key")
-    members = stored(members.join(hinted(stored(one, "dedup-keys")), "key").withColumn("label", F.col("node")), "dedup-members")
-    fits = F.least("l.size", "r.size") >= similarity * F.greatest("l.size", "r.size") - 1e-9
-    apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & fits
+    one = stored(held.groupBy("key").agg(F.count("*").alias("n"), *alike).groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key"), "dedup-keys")
+    members = stored(held.join(hinted(one), "key").withColumn("label", F.col("node")), "dedup-members")
+    discard(several, held, one)
     ends = (F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
     found = []
-    for turn in range(STAR_ROUNDS):
-        centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "size", "label")).alias("c")).select("key", "c.*")
-        pairs = members.alias("l").join(centre.alias("r"), apart).select(*ends)
-        found.append(_holding(pairs, nodes, rows, words, similarity))
-        roots = components(found[0].union(found[-1]) if turn else found[0])
-        labelled = members.drop("label").join(roots.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        labelled = stored(labelled.select("key", "node", "size", "label"), "dedup-members")
-        several = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
-        members = stored(labelled.join(hinted(stored(several, "dedup-keys")), "key"), "dedup-members")
-    pairs = members.alias("l").join(members.alias("r"), apart & (F.col("l.node") < F.col("r.node"))).select(*ends)
-    found.append(_holding(pairs, nodes, rows, words, similarity))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.distinct()
-
-
-def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    for _ in range(STAR_ROUNDS):
+        first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "check", "label")).alias("c")
+        centre = stored(members.groupBy("key").agg(first).select("key", "c.node", "c.size", "c.check", "c.label"), "dedup-centres")
+        pairs = members.alias("l").join(centre.alias("r"), (F.col("l.key") == F.col("r.key")) & _in_reach(similarity)).select(*ends)
+        found.append(_holding(pairs, sets_of, similarity))
+        roots = components(reduce(DataFrame.union, found))
+        # The centres have been held against all others of their keys.
+        left = members.join(centre.select("key", "node"), ["key", "node"], "left_anti").drop("label")
+        left = left.join(hinted(roots.select("node", F.col("root").alias("label"))), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        left = stored(left.select("key", "node", "size", "check", "label"), "dedup-members")
+        open_ = stored(left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key"), "dedup-keys")
+        discard(members, centre, roots)
+        members = stored(left.join(hinted(open_), "key"), "dedup-members")
+        discard(left, open_)
+        if members.isEmpty():
+            break
+    else:
+        found.append(_met_in_blocks(members, sets_of, similarity))
+    links = stored(reduce(DataFrame.union, found).distinct(), "dedup-links")
+    discard(members, *found)
+    return links
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = SEGMENTS, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the least doc_id.
 
-    Texts link if the Jaccard similarity of their word shingles is at least ``similarity``; no
-    such link is missed, and each is checked on whole texts. Texts that are equal but for case
-    and white space always link, empty and null ones with each other. Rows without a doc_id are
-    kept only if their group has no other.
+    Texts link if some segment of their fingerprints differs by at most one bit and the Jaccard
+    similarity of their word shingles is at least ``similarity`` on whole texts of any length.
+    Texts that are equal but for case and white space always link, empty and null ones with each
+    other. Rows without a doc_id are kept only if their group has no other; of rows that tie in
+    doc_id that with the least text hash stays, of repeated rows one. An empty table gives no
+    rows; other columns pass through whatever their names.
+
+    ``docs`` is read several times and never written; small tables of numbers are.
     """
-    rows = stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "dedup-rows")
-    prints = stored(_prefixes(rows, words, similarity), "dedup-prints")
-    same = stored(prints.groupBy("id_a", "id_b").agg(F.min("row").alias("row")), "dedup-nodes")
-    nodes = prints.join(hinted(same.select("row")), "row").select("row", "size", "prefix")
-    roots = components(similar_links(rows, nodes, words, similarity))
-    placed = same.join(roots, same["row"] == roots["node"], "left").select("id_a", "id_b", F.coalesce("root", "row").alias("component_id"))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("rank")
-    groups = stored(prints.select("id_a", "id_b", rank, "row").join(stored(placed, "dedup-placed"), ["id_a", "id_b"]).select("component_id", "rank", "row"), "dedup-groups")
-    first = groups.groupBy("component_id").agg(F.min(F.struct("rank", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = hinted(stored(first.select("component_id", "first"), "dedup-first"))
-    removed = stored(groups.join(first, "component_id").filter("row != first.row").select(F.col("row").alias(_ROW)), "dedup-removed")
-    return rows.join(hinted(removed), _ROW, "left_anti").drop(_ROW)
+    rows = docs.withColumn(_HASH, F.xxhash64(F.col("text").cast("string")))
+    narrow = rows.select("doc_id", _HASH, F.col("text").cast("string").alias("text"))
+    prints = stored(_prints(narrow, words, segments, segment_bits), "dedup-prints")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    like = F.first(F.struct("size", "check", "segments")).alias("like")
+    classes = prints.groupBy("id_a", "id_b").agg(F.min(row).alias("first"), F.count("*").alias("n"), like)
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "id_a", "id_b", "first", "n", "like.*"), "dedup-nodes")
+    repeated = stored(prints.groupBy("doc_id", "hash").count().filter("count > 1").select("doc_id", "hash"), "dedup-repeated")
+    repeats = not repeated.isEmpty()
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = stored(classes.select("node", "first.doc_id", "first.hash").join(hinted(ids), "node"), "dedup-wanted")
+        found = _sets(narrow, wanted, words, repeats)
+        discard(wanted)
+        return found
+
+    links = similar_links(classes.select("node", "size", "check", "segments"), sets_of, similarity, segment_bits)
+    roots = components(links)
+    placed = stored(classes.select("node", "id_a", "id_b", "first", "n").join(hinted(roots), "node", "left").filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "node")), "dedup-placed")
+    kept = placed.groupBy("root").agg(F.min("first").alias("keep"))
+    groups = stored(placed.join(kept, "root").select("id_a", "id_b", F.col("keep.doc_id").alias("keep_id"), F.col("keep.hash").alias("keep_hash")), "dedup-groups")
+    gone = prints.join(hinted(groups), ["id_a", "id_b"]).filter(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash"))))
+    removed = stored(gone.select("doc_id", "hash").distinct(), "dedup-removed")
+    discard(prints, classes, links, roots, placed, groups)
+    named = lambda t: hinted(t.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__of")))
+    at = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(_HASH) == F.col("__of"))
+    out = rows.join(named(removed), at, "left_anti")
+    if repeats:
+        again = named(repeated)
+        once = out.join(again, at, "left_semi").select("doc_id", _HASH, F.struct(*docs.columns).alias("__row"))
+        once = once.groupBy("doc_id", _HASH).agg(F.first("__row").alias("__row")).select("__row.*")
+        return out.join(again, at, "left_anti").drop(_HASH).unionByName(once)
+    return out.drop(_HASH)
