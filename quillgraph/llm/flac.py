@@ -4,7 +4,8 @@ All frames of an Arrow batch advance together, one sample a step, so bit reading
 array operations a step whatever the number of frames. The decoder takes mono streams with
 constant, verbatim, fixed and linear-predictive subframes, partitioned Rice residuals with
 escapes, and any block size; it checks each header's CRC-8, each frame's CRC-16 and the MD5 of
-the samples. Frames are found by their sync code and header check, as a seeking player does.
+the samples. Frames are found by their sync code and header check, as a seeking player does;
+what only looks like a header inside a frame is told by the frame's checksum.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ _SIZES = {1: 192, **{k: 576 << k - 2 for k in range(2, 6)}, **{k: 256 << k - 8 f
 _BITS = {1: 8, 2: 12, 4: 16}
 _FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 _ROW = 288
+#: Orders of linear prediction that the encoder tries, bits of a coefficient and their shift.
+LPC_ORDERS, LPC_BITS, LPC_SHIFT = (2, 4), 10, 7
+#: Bits of a frame that linear prediction must save. Its frames share no patterns with others,
+#: which the compression of the stored table finds in frames of fixed predictors.
+LPC_GAIN = 32
 
 
 def _crc_table(bits: int, poly: int) -> np.ndarray:
@@ -80,11 +86,22 @@ class _Rows:
         self.pos[lanes] = pos + bits
 
 
+def _coefficients(x: np.ndarray, order: int) -> np.ndarray:
+    """Quantised coefficients of a linear predictor for each lane, from its autocorrelation."""
+    y = x.astype(np.float64)
+    lags = np.stack([(y[:, : BLOCK - k] * y[:, k:]).sum(1) for k in range(order + 1)], 1)
+    near = np.abs(np.subtract.outer(np.arange(order), np.arange(order)))
+    matrix = lags[:, near] + (lags[:, :1, None] * 1e-6 + 1e-3) * np.eye(order)
+    exact = np.linalg.solve(matrix, lags[:, 1:, None])[:, :, 0]
+    most = 1 << LPC_BITS - 1
+    return np.clip(np.round(exact * (1 << LPC_SHIFT)), -most, most - 1).astype(np.int64)
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream for each payload: unsigned bytes as signed 8-bit samples, frames of 192.
 
     Payload sizes are positive multiples of 192. Each frame takes the cheapest of a constant, a
-    verbatim and five fixed-predictor subframes with the best Rice parameter.
+    verbatim, five fixed-predictor and two linear-prediction subframes with the best Rice parameter.
     """
     if not payloads:
         return []
@@ -105,6 +122,19 @@ def encode(payloads: list[bytes]) -> list[bytes]:
             best, order, rice = np.where(won, cost, best), np.where(won, o, order), np.where(won, k, rice)
         here = order == o
         residual[here, o:] = u[here].astype(np.int16)
+    lpc, coef = np.zeros(lanes, bool), np.zeros((lanes, max(LPC_ORDERS)), np.int64)
+    for o in LPC_ORDERS:
+        q = _coefficients(x, o)
+        guess = sum(q[:, i, None] * x[:, o - 1 - i : BLOCK - 1 - i].astype(np.int64) for i in range(o))
+        e = (x[:, o:] - (guess >> LPC_SHIFT)).astype(np.int16)
+        u = ((e << 1) ^ (e >> 15)).astype(np.uint16)
+        lead = np.clip(np.floor(np.log2(u.mean(1) + 1e-9)), 0, 13).astype(np.int64)
+        for k in (lead, lead + 1):
+            cost = LPC_GAIN + 19 + (SAMPLE_BITS + LPC_BITS) * o + (BLOCK - o) * (k + 1) + (u >> k[:, None].astype(np.uint16)).sum(1, dtype=np.int64)
+            won = cost < np.where(lpc, best, np.minimum(best, SAMPLE_BITS * BLOCK + LPC_GAIN))
+            best, order, rice, lpc = np.where(won, cost, best), np.where(won, o, order), np.where(won, k, rice), lpc | won
+            coef[won, :o] = q[won]
+            residual[won, o:] = u[won].astype(np.int16)
     constant = (x == x[:, :1]).all(1)
     verbatim = ~constant & (best >= SAMPLE_BITS * BLOCK)
     coded = np.flatnonzero(~constant & ~verbatim)
@@ -120,7 +150,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     rows[:, :12] = head
     rows[np.arange(lanes), 4 + lengths] = crc
     out.pos += 8 * (5 + lengths)
-    kind = np.where(constant, 0, np.where(verbatim, 1, 8 + order))
+    kind = np.where(constant, 0, np.where(verbatim, 1, np.where(lpc, 31, 8) + order))
     out.put(slice(None), kind << 1, 8)
     raw = x.astype(np.int64) & 255
     if (lane := np.flatnonzero(constant)).size:
@@ -131,6 +161,11 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     for j in range(len(_FIXED) - 1):
         lane = coded[order[coded] > j]
         out.put(lane, raw[lane, j], 8)
+    if (lane := coded[lpc[coded]]).size:
+        out.put(lane, np.full(len(lane), (LPC_BITS - 1) << 5 | LPC_SHIFT), 9)
+        for j in range(max(LPC_ORDERS)):
+            on = lane[order[lane] > j]
+            out.put(on, coef[on, j] & (1 << LPC_BITS) - 1, LPC_BITS)
     out.put(coded, rice[coded], 10)  # coding method 0, partition order 0, one parameter
     k, first, codes = rice[coded], order[coded], np.ascontiguousarray(residual[coded].astype(np.uint16).T).astype(np.int64)
     for j in range(BLOCK):
@@ -226,6 +261,37 @@ def _headers(data: np.ndarray, info_end: np.ndarray, stops: np.ndarray, bits_of:
     return tuple(v[ok] for v in (stream, at, head + 1, block, bits, number))
 
 
+def _unsound(data: np.ndarray, at: np.ndarray, stream: np.ndarray, stops: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each stream whether one of its frames fails its CRC-16, or it has none."""
+    bad = counts == 0
+    if len(at):
+        last = np.concatenate([stream[1:] != stream[:-1], [True]])
+        stop = np.where(last, stops[stream], np.concatenate([at[1:], [0]]))
+        bad[stream[_crc(data, at, stop - at, 16) != 0]] = True
+    return bad
+
+
+def _chain(data: np.ndarray, at: np.ndarray, number: np.ndarray, stop: int) -> list[int]:
+    """Of the places that look like headers those whose frames, numbered in a row, all have the
+    right CRC-16; ValueError if there is no such chain."""
+    ends = np.append(at, stop)
+    path, turn = [0], [1]  # the frames so far, and for each the next end to try
+    while path:
+        k, e = path[-1], turn[-1]
+        while e < len(ends) and (e < len(at) and number[e] != number[k] + 1 or _crc(data, ends[k : k + 1], ends[e : e + 1] - ends[k], 16)[0]):
+            e += 1
+        turn[-1] = e + 1
+        if e >= len(ends):
+            path.pop()
+            turn.pop()
+        elif e == len(at):
+            return path
+        else:
+            path.append(e)
+            turn.append(e + 1)
+    raise ValueError("a frame's checksum is wrong")
+
+
 def decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each stream its samples and the sample offset of each frame; ValueError if damaged."""
     if not streams:
@@ -249,20 +315,21 @@ def decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         info_end.append(at + end)
     info_end = np.array(info_end)
     stream, at, head, block, bits, number = _headers(data, info_end, stops, np.array(bits_of))
-    count = np.bincount(stream, minlength=len(streams))
-    if not np.array_equal(number, np.concatenate([np.arange(n) for n in count])):
-        # A sync code inside a frame: keep the frames whose numbers follow each other.
-        keep, want = np.zeros(len(at), bool), [0] * len(streams)
-        for k, (s, no) in enumerate(zip(stream.tolist(), number.tolist())):
-            if no == want[s]:
-                keep[k], want[s] = True, no + 1
-        stream, at, head, block, bits = (v[keep] for v in (stream, at, head, block, bits))
+    keep, want = np.zeros(len(at), bool), [0] * len(streams)
+    for k, (own, no) in enumerate(zip(stream.tolist(), number.tolist())):
+        if no == want[own]:
+            keep[k], want[own] = True, no + 1
+    bad = _unsound(data, at[keep], stream[keep], stops, np.array(want))
+    for own in np.flatnonzero(bad & (np.array(totals) > 0)).tolist():
+        # Something inside a frame looked like the next header.
+        mine = np.flatnonzero(stream == own)
+        keep[mine] = False
+        keep[mine[_chain(data, at[mine], number[mine], int(stops[own]))]] = True
+    stream, at, head, block, bits = (v[keep] for v in (stream, at, head, block, bits))
     first = np.concatenate([[True], stream[1:] != stream[:-1]]) if len(stream) else np.zeros(0, bool)
     if not np.array_equal(at[first], info_end[np.array(totals) > 0]):
         raise ValueError("a stream does not begin with a frame")
-    stop = np.where(np.concatenate([first[1:], [True]]), stops[stream], np.concatenate([at[1:], [0]]))
-    if _crc(data, at, stop - at, 16).any():
-        raise ValueError("a frame's checksum is wrong")
+    stop = np.where(np.concatenate([first[1:], [True]]), stops[stream], np.concatenate([at[1:], [0]])) if len(stream) else at
     samples, end_pos = _decode_frames(data, (at + head) * 8, block, bits)
     if ((end_pos + 7 >> 3) + 2 != stop).any():
         raise ValueError("a frame has another length than its contents")
@@ -361,7 +428,12 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 
 def encode_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (a FLAC stream). Null texts are empty; other columns are ignored."""
+    """doc_id, n_bytes, media (a FLAC stream), one row for each row.
+
+    Null texts are empty, and an empty text is one frame of blanks; texts of any length are
+    encoded whole; equal texts give equal streams, so repeated rows and ties do; a null doc_id
+    stays null; an empty table gives no rows; other columns are ignored whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -402,14 +474,24 @@ def _feature(x: np.ndarray) -> str:
     return f"energy={int((x * x).sum()) // len(x)};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};peak={int(np.abs(x).max())}"
 
 
+def _seek(x: np.ndarray, offsets: np.ndarray) -> str:
+    """The number of frames, and sample offset and first sample of the middle one."""
+    middle = int(offsets[len(offsets) // 2])
+    return f";frames={len(offsets)};seek={middle}:{int(x[middle])}"
+
+
 def describe(media: DataFrame) -> DataFrame:
-    """Digests of streams of ``encode_texts``, from the samples that decoding gives back."""
+    """Digests of streams of ``encode_texts``, from the samples and frame offsets that decoding
+    gives back, one row for each row. A damaged stream fails the job, as its text is lost; equal
+    streams give equal rows; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in slices(batches):
             streams = batch.column("media").to_pylist()
-            samples = [x for x, _ in decode(streams)]
+            found = decode(streams)
+            samples = [x for x, _ in found]
             back = [(x + 128).astype(np.uint8).tobytes() for x in samples]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"),
@@ -419,7 +501,7 @@ def describe(media: DataFrame) -> DataFrame:
                 pa.array([zlib.crc32(b[-16:]) for b in back], pa.int64()),
                 pa.array([len(s) for s in streams], pa.int64()),
                 pa.array([sha(s) for s in streams], pa.string()),
-                pa.array([_feature(x) for x in samples], pa.string()),
+                pa.array([_feature(x) + _seek(x, at) for x, at in found], pa.string()),
             ], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

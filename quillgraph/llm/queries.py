@@ -32,7 +32,8 @@ def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.describe(flac.encode_texts(documents(spark, sf_dir)))
+    media = stored(flac.encode_texts(documents(spark, sf_dir)), "media", "zstd")
+    return flac.describe(media)
 
 
 def op4_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
