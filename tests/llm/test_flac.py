@@ -118,8 +118,9 @@ def test_an_independent_reader_agrees():
     wave = (128 + 90 * np.sin(np.arange(1920) / 9)).astype(np.uint8).tobytes()
     text = ("the quick brown fox, " * 100).encode()[:1920]
     noise = np.random.default_rng(1).integers(0, 256, 384, dtype=np.uint8).tobytes()
+    tone = (128 + 90 * np.sin(np.arange(1920) * 2.1)).astype(np.uint8).tobytes()
     kinds = set()
-    for p in (wave, text, noise, b" " * 192, bytes(range(192))):
+    for p in (wave, tone, text, noise, b" " * 192, bytes(range(192))):
         stream = flac.encode([p])[0]
         assert [v + 128 for v in _plain_decode(stream)] == list(p)
         kinds.add(stream[42 + 6] >> 1)
