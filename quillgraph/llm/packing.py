@@ -186,9 +186,12 @@ class Places:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
-    """Token pieces of at most ``capacity``: doc_id, piece, start, length, ids_crc32.
+    """Token pieces of at most ``capacity``: doc_id, piece, start, length, ids_crc32, and place (a
+    number of its own for each row), stored.
 
-    Only documents longer than a sequence are cut. A null text has the end id alone.
+    Only documents longer than a sequence are cut. A null or empty text has the end id alone.
+    Repeated rows are cut as often as they occur; an empty table gives no rows; null ids stay
+    null; columns other than doc_id and text are ignored whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +208,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    cut = rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return stored(cut.withColumn("place", F.monotonically_increasing_id()), "pieces")
 
 
 #: Pieces of one length that a rank window should hold about.
@@ -216,17 +220,18 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     """``cut`` (of ``pieces``) with sequence_id and offset.
 
     Ranks among equal lengths come in two steps, counts by length and hash bucket and then a
-    window within a bucket, so that a very common length is spread over tasks.
+    window within a bucket, so that a very common length is spread over tasks, and so are the
+    pieces of a document that occurs very often.
     """
     counts = cut.groupBy("length").count().collect()  # one row a length: at most `capacity`
     lengths = Counter({r["length"]: r["count"] for r in counts})
     places = Places(plan_bins(cut.sparkSession, lengths, capacity))
     buckets = max(16, -(-max(lengths.values(), default=0) // RANKED_TOGETHER))
-    spread = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    spread = cut.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)).cast("int"))
     sums = spread.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = stored(sums.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base")), "length-ranks")
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "place")
     ranked = spread.withColumn("nth", F.row_number().over(within) - 1).join(base, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
@@ -241,6 +246,9 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """All documents in sequences of at most ``capacity`` tokens, one row a piece.
 
-    Repeated rows are packed as often as they occur; no documents, no rows.
+    Null and empty texts are their end id alone; longer documents than a sequence are cut;
+    repeated rows are packed as often as they occur; ties between equal lengths go by doc_id and
+    piece within a bucket; no documents, no rows; null ids stay null; columns other than doc_id
+    and text are ignored whatever their names.
     """
     return pack(pieces(docs, tokenizer_path, end_id, capacity), capacity)

@@ -9,20 +9,48 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, hinted, stored
 
 VIRTUAL_SLOTS = 8192
 
 
-def with_virtual_slot(docs: DataFrame, slots: int = VIRTUAL_SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes + 1), text_crc32, virtual_slot. A null text has no bytes."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, size (UTF-8 bytes + 1), text_crc32 and copy, stored. Copies of a row are numbered
+    from 0; a null text has no bytes.
+
+    Numbers come in two steps, counts by row and partition and then a rank within a partition,
+    so that the copies of one row never meet in one task.
+    """
+    key = ["doc_id", "text_crc32", "size"]
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(data).cast("long") + 1).alias("size"), F.crc32(data).alias("text_crc32"))
-    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(data).alias("text_crc32"), (F.octet_length(data).cast("long") + 1).alias("size"))
+    rows = stored(rows.withColumn("place", F.monotonically_increasing_id()), "slot-records")
+    repeated = stored(rows.groupBy(key).count().filter("count > 1").select(key), "slot-repeats")
+    if repeated.isEmpty():
+        discard(repeated)
+        return rows.select(*key, F.lit(0).cast("long").alias("copy"))
+    same = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in key))
+    known = hinted(repeated).alias("r")
+    once = rows.alias("l").join(known, same("l", "r"), "left_anti").select(*key, F.lit(0).cast("long").alias("copy"))
+    again = rows.alias("l").join(known, same("l", "r"), "left_semi").withColumn("part", F.shiftright("place", 33))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = again.groupBy(*key, "part").count().select(*key, "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    nth = again.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "part").orderBy("place")) - 1)
+    at = same("n", "b") & (F.col("n.part") == F.col("b.part"))
+    copies = nth.alias("n").join(base.alias("b"), at).select(*[F.col(f"n.{c}") for c in key], (F.col("base") + F.col("nth")).alias("copy"))
+    out = stored(once.unionByName(copies), "slot-records")
+    discard(rows, repeated)
+    return out
+
+
+def with_virtual_slot(records: DataFrame, slots: int = VIRTUAL_SLOTS) -> DataFrame:
+    """``records`` of ``numbered`` with virtual_slot, a hash of the record and its copy number."""
+    return records.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "copy"), F.lit(slots)).cast("int"))
 
 
 def slot_sizes(records: DataFrame) -> DataFrame:
@@ -76,7 +104,7 @@ def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     rows = records.groupBy("virtual_slot").agg(F.count("*").alias("rows"))
     order = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     start = slot_map.join(rows, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(order), F.lit(0)).alias("first"))
-    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "copy")
     ranked = records.withColumn("nth", F.row_number().over(within) - 1)
     return ranked.join(start, "virtual_slot").select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("nth")).alias("slot"), "virtual_slot")
 
@@ -84,8 +112,10 @@ def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = 8, slots: int = VIRTUAL_SLOTS) -> DataFrame:
     """Every row in one of ``shards`` shards of near-equal bytes.
 
-    Repeated rows share a virtual slot and are ranked arbitrarily, which changes no result; an
-    empty table gives no rows; null ids hash like any other value.
+    A null or empty text has size 1; very long texts are one record as any other; copies of a
+    row are numbered and hash to slots of their own, so many of them are spread as well; null
+    ids hash like any other value; an empty table gives no rows; columns other than doc_id and
+    text are ignored whatever their names.
     """
-    records = stored(with_virtual_slot(docs, slots), "slot-records")
+    records = with_virtual_slot(numbered(docs), slots)
     return place(records, new_map(docs.sparkSession, slot_sizes(records), shards, slots))

@@ -51,8 +51,38 @@ def test_windows_cover_the_whole_text(monkeypatch):
     cut = Counter()
     for cells in langid._windows(langid._points(text)):
         cut.update(cells.tolist())
-    # Windows overlap by two characters, so only short grams there count twice.
-    assert set(cut) == set(whole) and sum(cut.values()) - sum(whole.values()) <= 3 * (len(text) // 97 + 1)
+    assert cut == whole
+
+
+def test_batches_equal_naive_bayes_by_hand(monkeypatch):
+    """The sparse product against a plain sum over the n-grams of each text, also in windows."""
+    monkeypatch.setattr(langid, "_TOGETHER", 3)
+    rng = np.random.default_rng(8)
+    weights = rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32)
+    texts = ["the quick brown fox", "", "über  den Fluß!", "x" * 500, "日本語 text", "ab " * 90, "1 2 3"]
+    for window in (1 << 20, 50):
+        monkeypatch.setattr(langid, "_WINDOW", window)
+        total, grams = langid.totals_of(texts, weights)
+        for t, row, n in zip(texts, total, grams):
+            cells = langid.buckets_of(langid._points(t))
+            assert n == len(cells)
+            assert np.allclose(row, sum((weights[c].astype(float) for c in cells), np.zeros(3)), atol=1e-6)
+
+
+def test_fit_equals_counts_by_hand(spark, monkeypatch):
+    """Log-probabilities from plain counts; of too many languages the largest are learned."""
+    rows = [(k, lang, text) for k, (lang, text) in enumerate([("aa", "one two"), ("bb", "zwei drei"), ("aa", "three"), ("cc", "quatre"), ("bb", "vier"), ("aa", "five"), ("bb", "acht")] * 3)]
+    table = spark.createDataFrame([r for r in rows if not _held(r[0])], "doc_id long, lang string, text string")
+    languages, logs = langid.fit(table)
+    assert languages == ["aa", "bb", "cc"]
+    for k, lang in enumerate(languages):
+        counts = np.full(langid.BUCKETS, 0.2)
+        for r in table.collect():
+            if r.lang == lang:
+                np.add.at(counts, langid.buckets_of(langid._points(r.text)), 1)
+        assert np.allclose(logs[:, k], np.log(counts / counts.sum()), atol=1e-5)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    assert langid.fit(table)[0] == ["aa", "bb"]
 
 
 # Toxicity
@@ -166,6 +196,22 @@ def test_sharding_of_hard_rows(hard, nothing):
     assert sharding.shard_documents(nothing).count() == 0
 
 
+def test_copies_of_a_row_are_spread(spark):
+    """Twenty thousand copies of one row and some others: shards stay near equal, places gapless."""
+    from pyspark.sql import functions as F
+
+    one = spark.range(0, 20_000, 1, 4).select(F.lit(7).cast("long").alias("doc_id"), F.lit("word " * 120).alias("text"))
+    others = spark.range(100, 3100).select(F.col("id").alias("doc_id"), F.expr("repeat('ab ', cast(id % 50 as int))").alias("text"))
+    rows = sharding.shard_documents(one.union(others).union(spark.createDataFrame([(None, None)] * 40, "doc_id long, text string"))).collect()
+    assert len(rows) == 23_040
+    sizes, slots = Counter(), defaultdict(list)
+    for r in rows:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert max(sizes.values()) <= 1.02 * min(sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_edited_maps_move_little():
     rng = np.random.default_rng(2)
     sizes = {k: int(v) for k, v in enumerate(rng.integers(1, 1000, 4000))}

@@ -136,6 +136,35 @@ def test_packing_of_hard_rows(hard, nothing):
     assert packing.pack_documents(nothing, path).count() == 0
 
 
+def test_many_copies_are_packed_whole(spark):
+    """Copies of a document meet in no one bucket and each has a place of its own."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(0, 3000, 1, 4).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same words again").alias("text"))
+    rows = packing.pack_documents(many, tokenizer_file(NAMES[1])).collect()
+    assert len(rows) == 3000 and len({(r.sequence_id, r.offset) for r in rows}) == 3000
+    check_packing(rows, 2048)
+
+
+def test_evolution_beats_best_fit():
+    """Triplets that fill bins exactly: best fit opens more bins than crossover needs."""
+    rng = random.Random(12)
+    lengths = Counter()
+    for _ in range(120):
+        a, b = rng.randint(260, 450), rng.randint(260, 450)
+        for k in (a, b, 1000 - a - b):
+            lengths[k] += 1
+    first = packing.best_fit(lengths, 1000)
+    best = packing.evolve(lengths, 1000, [first], 60, 8, 3)[0]
+    held = Counter()
+    for b, n in best.items():
+        assert sum(b) <= 1000
+        for k in b:
+            held[k] += n
+    assert held == lengths
+    assert packing.lower_bound(lengths, 1000) <= sum(best.values()) < sum(first.values())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=8), st.integers(0, 99))
 def test_plans_keep_every_length(lengths, seed):
