@@ -2,14 +2,17 @@
 
 Fitting. Labelled texts that may be learned from are thinned to one of each group of near
 copies, and the documents that hold a word are counted by label. Log-odds under an informative
-Dirichlet prior, divided by their standard deviation, tell which words mark toxic text. A token
-then scores the logarithm of its share in a toxic passage over its share in clean text; every
-other token scores a little below zero, so clean text drifts downwards.
+Dirichlet prior, divided by their standard deviation, tell which words mark toxic text and which
+mark clean text. A token of the former scores the logarithm of its share in a toxic passage over
+its share in clean text, one of the latter its negative log-odds; every other token scores a
+little below zero, so clean text drifts downwards. The vocabulary is bounded by the bounded
+sample of labelled rows and by nothing else; ``MIN_Z`` and ``MIN_DOCS`` say what is significant.
 
 Scoring. One linear scan finds all maximal segments of a document. A segment of score S in n
-tokens comes about by chance with an expected number of K n exp(-lambda S); lambda and K are
-fitted to the clean texts. The significant segments of a document add up to one statistic, which
-a logistic curve turns into a probability.
+tokens comes about by chance with an expected number of K n exp(-lambda S). Lambda solves
+E[exp(lambda s)] = 1 over the token scores s of the clean texts, and K follows from how many
+segments those have. The significant segments of a document add up to one statistic, which a
+logistic curve turns into a probability.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, hinted, slices, stored
+from .common import discard, held_out, hinted, slices, stored
 
 _WORD = regex.compile(r"\p{L}+")
 #: The fit reads about this many labelled documents of either label.
@@ -32,8 +35,6 @@ ROWS_PER_LABEL = 6000
 #: Words whose log-odds are so many standard deviations above zero mark toxic text.
 MIN_Z = 3.0
 MIN_DOCS = 4
-#: Size of the model: the words of highest z.
-MAX_WORDS = 4096
 #: Weight of the prior against the data, and share of marked words in a toxic passage.
 PRIOR = 0.05
 PASSAGE_SHARE = 0.1
@@ -109,10 +110,10 @@ def statistic(found: list[tuple[int, int, float]], n_tokens: int, log_k: float,
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> DataFrame:
-    """row, toxic, text of documents that may be learned from, about evenly by label.
+    """doc_id, toxic, text of documents that may be learned from, about evenly by label.
 
     Rows with a null id, text or label teach nothing. Contradicting labels of one id count as
-    toxic.
+    toxic. Of several texts of one id that of the least hash is taken, so the rows are bounded.
     """
     marks = labels.filter(F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = marks.groupBy("toxic").count()
@@ -120,14 +121,15 @@ def labelled(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_
     drawn = marks.join(hinted(share, 100), "toxic").filter(F.pmod(F.xxhash64("doc_id"), F.lit(_DRAWS)) < F.col("upto")).select("doc_id", "toxic")
     drawn = stored(drawn, "label-draws")
     texts = docs.filter(~held_out("doc_id") & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    return texts.join(hinted(drawn), "doc_id").select("toxic", "text")
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")
+    return texts.join(hinted(drawn), "doc_id").groupBy("doc_id", "toxic").agg(least).select("doc_id", "toxic", "least.text")
 
 
 def _thinned(rows: DataFrame) -> DataFrame:
     """toxic, words (distinct), n_tokens: one of each group of near copies with the same label.
 
     Near copies share least hashes of their five-word windows; each of a few hash functions in
-    turn lets one row pass for each least hash.
+    turn lets one row pass for each least hash, that of the least doc_id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,43 +137,66 @@ def _thinned(rows: DataFrame) -> DataFrame:
 
         turns = np.random.default_rng(7).integers(1, 2**63, _SKETCHES, dtype=np.uint64) | np.uint64(1)
         for batch in slices(batches):
-            toxic, words, sizes, sketch = [], [], [], []
-            for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+            words, sizes, sketch = [], [], []
+            for text in batch.column("text").to_pylist():
                 own = tokens(text)
                 windows = list(zip(*(own[k:] for k in range(5)))) or [tuple(own)]
                 h = np.fromiter((xxhash.xxh64_intdigest(" ".join(w)) for w in windows), np.uint64, len(windows))
-                toxic.append(label)
-                words.append(list(set(own)))
+                words.append(sorted(set(own)))
                 sizes.append(len(own))
                 sketch.append([int((h * t).min().view(np.int64)) for t in turns])
-            columns = [pa.array(toxic, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array(sizes, pa.int64()), *(pa.array([s[k] for s in sketch], pa.int64()) for k in range(_SKETCHES))]
-            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "words", "n_tokens", *(f"h{k}" for k in range(_SKETCHES))])
-
-    out = rows.mapInArrow(run, "toxic int, words array<string>, n_tokens long, " + ", ".join(f"h{k} long" for k in range(_SKETCHES)))
-    for k in range(_SKETCHES):
-        out = out.dropDuplicates(["toxic", f"h{k}"])
+            columns = [batch.column("doc_id"), batch.column("toxic"), pa.array(words, pa.list_(pa.string())), pa.array(sizes, pa.int64()), *(pa.array([s[k] for s in sketch], pa.int64()) for k in range(_SKETCHES))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "words", "n_tokens", *(f"h{k}" for k in range(_SKETCHES))])
+
+    marks = [f"h{k}" for k in range(_SKETCHES)]
+    kind = dict(rows.dtypes)["doc_id"]
+    out = rows.mapInArrow(run, f"doc_id {kind}, toxic int, words array<string>, n_tokens long, " + ", ".join(f"{h} long" for h in marks))
+    for mark in marks:
+        first = F.min(F.struct("doc_id", "words", "n_tokens", *(h for h in marks if h != mark))).alias("first")
+        out = out.groupBy("toxic", mark).agg(first).select("toxic", mark, "first.*")
     return out.select("toxic", "words", "n_tokens")
 
 
 def marked_words(rows: DataFrame) -> tuple[dict[str, float], float]:
-    """Scores of the words that mark toxic text, and the score of any other token."""
+    """Scores of the words that mark toxic or clean text, and the score of any other token."""
     thin = stored(_thinned(rows), "toxic-words")
     totals = {r.toxic: (r.docs, r.words) for r in thin.groupBy("toxic").agg(F.count("*").alias("docs"), F.sum(F.size("words")).alias("words")).collect()}
     (docs1, mass1), (docs0, mass0) = totals.get(1, (0, 0)), totals.get(0, (0, 0))
     if not mass1 or not mass0:
+        discard(thin)
         return {}, math.log(1 - PASSAGE_SHARE)
     counts = thin.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("y1"), F.sum(1 - F.col("toxic")).alias("y0"))
-    counts = counts.filter(F.col("y1") >= MIN_DOCS)
+    counts = counts.filter(F.col("y1") + F.col("y0") >= MIN_DOCS)
     prior = PRIOR * (F.col("y1") + F.col("y0"))
     a1, a0 = F.col("y1") + prior * (mass1 / (mass0 + mass1)) * 2, F.col("y0") + prior * (mass0 / (mass0 + mass1)) * 2
     odds = F.log(a1 / (F.lit(float(mass1)) - F.col("y1"))) - F.log(a0 / (F.lit(float(mass0)) - F.col("y0")))
     z = odds / F.sqrt(1 / a1 + 1 / a0)
-    kept = counts.select("word", "y1", a0.alias("a0"), z.alias("z")).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()
-    total = sum(r.y1 for r in kept)
-    score = {r.word: math.log(PASSAGE_SHARE * r.y1 / total) - math.log(r.a0 / mass0) for r in kept}
+    kept = counts.select("word", "y1", a0.alias("a0"), odds.alias("odds"), z.alias("z")).filter((F.abs("z") >= MIN_Z) & ((F.col("z") < 0) | (F.col("y1") >= MIN_DOCS)))
+    kept = sorted(kept.collect())  # words of a bounded sample
+    discard(thin)
+    toxic = [r for r in kept if r.z > 0]
+    total = sum(r.y1 for r in toxic)
+    score = {r.word: math.log(PASSAGE_SHARE * r.y1 / total) - math.log(r.a0 / mass0) for r in toxic}
     score = {w: s for w, s in score.items() if s > 0}
-    chance = min(0.5, sum(r.a0 for r in kept) / mass0)
-    return score, math.log(1 - PASSAGE_SHARE) - math.log(1 - chance)
+    chance = min(0.5, sum(r.a0 for r in toxic) / mass0)
+    other = math.log(1 - PASSAGE_SHARE) - math.log(1 - chance)
+    return score | {r.word: min(r.odds, other) for r in kept if r.z < 0}, other
+
+
+def decay(hits: list[tuple[float, int]], n_tokens: int, other: float) -> float:
+    """The positive root of E[exp(rate * s)] = 1 over token scores: ``hits`` (score, how often)
+    and ``other`` for the rest; 1 if no token scores above zero or the mean is not below."""
+    rest = n_tokens - sum(n for _, n in hits)
+    if not any(s > 0 and n for s, n in hits) or sum(s * n for s, n in hits) + other * rest >= 0:
+        return 1.0
+    excess = lambda rate: sum(n * math.expm1(min(700.0, rate * s)) for s, n in hits) + rest * math.expm1(rate * other)
+    low, high = 0.0, 1.0
+    while excess(high) < 0:
+        low, high = high, 2 * high
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if excess(mid) < 0 else (low, mid)
+    return high
 
 
 def _calibrated(rows: DataFrame, score: dict[str, float], other: float) -> Model:
@@ -179,20 +204,27 @@ def _calibrated(rows: DataFrame, score: dict[str, float], other: float) -> Model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sizes, found = [], []
+            sizes, found, hits = [], [], []
             for text in batch.column("text").to_pylist():
                 words = tokens(text)
                 sizes.append(len(words))
                 found.append([s for _, _, s in passages(words, score, other)])
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "n", "found"])
-
-    sample = rows.mapInArrow(run, "toxic int, n long, found array<double>").collect()
-    # A clean text of n tokens has K n exp(-rate S) segments over S by chance. The rate is 1 by
-    # the form of the scores; K is chosen so that the clean texts have the segments they have.
-    rate, clean = 1.0, [(r.n, s) for r in sample if not r.toxic for s in r.found]
+                hits.append([s for w in words if (s := score.get(w)) is not None])
+            lists = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(sizes, pa.int64()), pa.array(found, lists), pa.array(hits, lists)], names=["doc_id", "toxic", "n", "found", "hits"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    table = stored(rows.mapInArrow(run, f"doc_id {kind}, toxic int, n long, found array<double>, hits array<double>"), "toxic-passages")
+    sample = table.orderBy("doc_id").drop("hits").collect()  # bounded by the rows per label
+    often = table.filter("toxic = 0").select(F.explode("hits").alias("s")).groupBy("s").count().orderBy("s").collect()  # a row a word at most
+    discard(table)
     length = sum(r.n for r in sample if not r.toxic)
-    typical = float(np.median(list(score.values()))) if score else 1.0
-    log_k = math.log((sum(s >= typical for _, s in clean) + 0.5) / max(length, 1)) + rate * typical
+    rate = decay([(r.s, r["count"]) for r in often], length, other)
+    # A clean text of n tokens has K n exp(-rate S) segments over S by chance: K so that the clean
+    # texts have the segments they have.
+    clean = [s for r in sample if not r.toxic for s in r.found]
+    typical = float(np.median([s for s in score.values() if s > 0])) if any(s > 0 for s in score.values()) else 1.0
+    log_k = math.log((sum(s >= typical for s in clean) + 0.5) / max(length, 1)) + rate * typical
     x = np.array([statistic([(0, 0, s) for s in r.found], r.n, log_k, rate) for r in sample])
     y = np.array([float(r.toxic) for r in sample])
     slope, offset = _logistic(x, y)
@@ -217,6 +249,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Model:
+    """A model from labelled documents that are not held out, about ``rows_per_label`` of each.
+
+    Null ids, texts and labels teach nothing; an empty text has no words; very long texts count
+    whole; of repeated ids one text is used; ties go by word and doc_id, so the layout of the
+    tables changes nothing; empty tables give a model that finds nothing; other columns are
+    ignored.
+    """
     rows = stored(labelled(docs, labels, rows_per_label), "toxic-sample")
     return _calibrated(rows, *marked_words(rows))
 
@@ -228,8 +267,9 @@ def probability(model: Model, stat: float) -> float:
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, score, predicted and passages (token start, end, score; significant ones).
 
-    Every row has a score: null and empty texts that of a text without any marked word.
-    Repeated rows repeat; other columns are ignored.
+    Every row has a score: null and empty texts that of a text without any marked word. Texts of
+    any length are read whole; equal texts score alike; repeated rows repeat; an empty table
+    gives no rows; other columns are ignored whatever their names.
     """
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     kinds = dict(rows.dtypes)

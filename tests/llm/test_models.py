@@ -121,6 +121,48 @@ def test_toxicity_of_held_out_documents(spark):
     assert sum(p for y, p in held if y) >= 0.85 * sum(y for y, _ in held)
 
 
+def test_decay_solves_its_equation():
+    hits, n, other = [(2.0, 30), (-1.5, 100), (0.7, 12)], 5000, -0.05
+    rate = toxicity.decay(hits, n, other)
+    total = sum(k * np.exp(rate * s) for s, k in hits) + (n - 142) * np.exp(rate * other)
+    assert rate > 0 and abs(total / n - 1) < 1e-9
+    assert toxicity.decay([], n, other) == 1.0 and toxicity.decay([(-1.0, 4)], n, other) == 1.0
+
+
+def test_model_does_not_depend_on_the_layout(spark, documents, small):
+    """Repeated ids, copies of texts, and another order and number of partitions: the same model."""
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    again = documents.union(documents.filter("doc_id % 3 = 0"))
+    one, other = (toxicity.fit(t, labels) for t in (again.coalesce(1), again.repartition(7, "text")))
+    assert one == other and one.rate > 0
+
+
+def test_words_score_as_by_hand(spark):
+    """Log-odds with the Dirichlet prior and their z, from plain counts of documents."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(300):
+        toxic = int(k % 3 == 0)
+        words = [f"w{''.join(chr(97 + int(c)) for c in str(int(v)))}" for v in rng.integers(0, 400, 30)]
+        words += ["vile"] * (toxic and rng.random() < 0.8) + ["kind"] * (not toxic and rng.random() < 0.8)
+        rows.append((k, toxic, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id long, toxic int, text string")
+    score, other = toxicity.marked_words(table)
+    sets = [(t, set(toxicity.tokens(x))) for _, t, x in rows]
+    mass = [sum(len(w) for t, w in sets if t == y) for y in (0, 1)]
+    for word in {w for _, s in sets for w in s}:
+        y = [sum(word in s for t, s in sets if t == k) for k in (0, 1)]
+        a = [y[k] + toxicity.PRIOR * sum(y) * 2 * mass[k] / sum(mass) for k in (0, 1)]
+        odds = np.log(a[1] / (mass[1] - y[1])) - np.log(a[0] / (mass[0] - y[0]))
+        z = odds / np.sqrt(1 / a[0] + 1 / a[1])
+        marked = sum(y) >= toxicity.MIN_DOCS and abs(z) >= toxicity.MIN_Z and (z < 0 or y[1] >= toxicity.MIN_DOCS)
+        if abs(abs(z) - toxicity.MIN_Z) > 1e-6:
+            assert (word in score) == marked
+        if marked and z < 0:
+            assert abs(score[word] - min(odds, other)) < 1e-9
+    assert score["vile"] > 0 > score["kind"]
+
+
 def test_toxicity_of_hard_rows(spark, documents, hard, nothing, small):
     labels = spark.read.parquet(f"{small}/labels.parquet")
     model = toxicity.fit(documents, labels)
