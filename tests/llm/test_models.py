@@ -217,6 +217,58 @@ def test_estimate_ignores_outliers(spark):
     assert all(1 / 0.75 < fit[f"w{i}{i}"] < 1 / 0.4 for i in range(quality.DIMS))
 
 
+def _fast_mcd(x, share, starts=60, seed=3):
+    """Centre and scatter of the subset of least determinant, by concentration from random starts."""
+    rng, h, best = np.random.default_rng(seed), int(np.ceil(share * len(x))), None
+    for _ in range(starts):
+        own = x[rng.choice(len(x), quality.DIMS + 2, replace=False)]
+        for _ in range(40):
+            d = x - own.mean(0)
+            own = x[np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.pinv(np.cov(own.T)), d))[:h]]
+        det = np.linalg.det(np.cov(own.T))
+        if best is None or det < best[0]:
+            best = det, own
+    return best[1].mean(0), np.cov(best[1].T)
+
+
+@pytest.mark.parametrize("shift", [0.0, 3.0])
+def test_estimate_is_near_the_exact_one(spark, shift):
+    """Correlated statistics with a fifth of outliers, some of which no single statistic shows."""
+    rng = np.random.default_rng(5)
+    root = rng.normal(size=(quality.DIMS, quality.DIMS)) * 0.4 + np.eye(quality.DIMS)
+    x = rng.normal(size=(2000, quality.DIMS)) @ root.T
+    x[:400] = rng.normal(size=(400, quality.DIMS)) * 0.3 + shift * np.resize([1, -1], quality.DIMS)
+    rows = [("g", "l", *map(float, v)) for v in x]
+    schema = "key_group string, key_lang string, " + ", ".join(f"x{i} double" for i in range(quality.DIMS))
+    fit = next(r for r in quality.robust_fits(spark.createDataFrame(rows, schema), steps=12).collect() if r.key == "g")
+    centre = np.array([fit[f"m{i}"] for i in range(quality.DIMS)])
+    w = np.zeros((quality.DIMS, quality.DIMS))
+    for i, j in quality._PAIRS:
+        w[i, j] = fit[f"w{i}{j}"]
+    scatter = np.linalg.inv(w.T @ w) - np.diag(np.square(quality.FLOOR))
+    mean, cov = _fast_mcd(x, quality.SHARE)
+    assert np.abs(centre - mean).max() < 0.1
+    # Both hold three quarters of the rows; binning by distance moves the border a little.
+    assert abs(np.linalg.slogdet(scatter / quality._consistency(quality.SHARE))[1] - np.linalg.slogdet(cov)[1]) < 0.35
+
+
+def test_repeated_short_lines_are_outliers(spark, small):
+    """Documents of 60 to 75 % repeated lines that pass the base rules lie far out."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abdeghilmnoprstu"), int(rng.integers(3, 9))))
+    rows = []
+    for k in range(400):
+        lines = [" ".join(word() for _ in range(9)) + "." for _ in range(20)]
+        if k < 12:
+            share = 0.6 + 0.15 * k / 12
+            again = int(20 * share / (1 - share)) + 1
+            lines += [f"{word()} {word()}"] * again
+        rows.append((k, "\n".join(lines), "en", "s"))
+    found = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(found[k].kept for k in range(12)) and not all(found[k].base_failed for k in range(12))
+    assert sum(found[k].kept for k in range(12, 400)) >= 0.99 * 388
+
+
 # Sharding
 
 
