@@ -31,6 +31,11 @@ def hubs(edges: DataFrame, n: int = SETTINGS.path_seeds) -> DataFrame:
     return degrees(edges).orderBy(F.desc("degree"), "name").limit(n).select("name")
 
 
+def nodes(edges: DataFrame) -> DataFrame:
+    """Every name with an edge; each edge stands in both directions."""
+    return edges.select(F.col("source_entity").alias("name")).distinct()
+
+
 def paths_by_hop(edges: DataFrame, seeds: DataFrame, max_hops: int = SETTINGS.max_hops, min_strength: float = SETTINGS.min_strength) -> list[DataFrame]:
     """Simple paths of one hop, two hops and so on from the seeds: path, total_strength.
 

@@ -33,23 +33,26 @@ def inserted(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows)
 
 
-def updated(table: DataFrame, patch: DataFrame, now: Column, key: str = "_id") -> DataFrame:
-    """The table after a patch: its non-null fields win, and updated rows are stamped.
+def updated(table: DataFrame, patch: DataFrame, now: Column, key: str = "_id", assigned: tuple[str, ...] = ()) -> DataFrame:
+    """The table after a patch, and updated rows are stamped.
 
-    ``patch`` has the key and any of the table's fields, one row a key.
+    ``patch`` has the key and any of the table's fields. Its non-null fields win; in the fields
+    named in ``assigned`` a null is a value too and clears the field. Of several rows of a key the
+    greatest counts, compared field by field in their order with nulls least, so a row of the
+    table never multiplies.
     """
     fields = [c for c in patch.columns if c != key]
-    theirs = patch.select(key, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in fields])
-    both = table.join(theirs, key, "left")
-    set_ = {c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in fields}
+    one = patch.groupBy(key).agg(F.max(F.struct(*fields)).alias("__new")) if fields else patch.select(key).distinct().withColumn("__new", F.lit(True))
+    both = table.join(one.withColumn("__hit", F.lit(True)), key, "left")
+    set_ = {c: F.when(F.col("__hit"), F.col(f"__new.{c}")).otherwise(F.col(c)) if c in assigned else F.coalesce(F.col(f"__new.{c}"), F.col(c)) for c in fields}
     if "updated_at" in table.columns:
         set_["updated_at"] = F.when(F.col("__hit"), now).otherwise(F.col("updated_at"))
-    return both.withColumns(set_).select(*table.columns)
+    return both.select(*[set_.get(c, F.col(c)).alias(c) for c in table.columns])
 
 
-def update_result(table: DataFrame, patch: DataFrame, now: Column, key: str = "_id") -> DataFrame:
+def update_result(table: DataFrame, patch: DataFrame, now: Column, key: str = "_id", assigned: tuple[str, ...] = ()) -> DataFrame:
     """Only the rows that a patch changed."""
-    return updated(table, patch, now, key).join(patch.select(key), key, "left_semi")
+    return updated(table, patch, now, key, assigned).join(patch.select(key), key, "left_semi")
 
 
 def deleted(table: DataFrame, keys: DataFrame, key: str = "_id") -> DataFrame:
@@ -57,7 +60,8 @@ def deleted(table: DataFrame, keys: DataFrame, key: str = "_id") -> DataFrame:
 
 
 def deleted_cascade(documents: DataFrame, sections: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents and sections after a delete that takes the sections along."""
+    """Documents and sections after a delete that takes the sections along. What is derived from
+    sections, entities and relationships, follows when the views are built over the result."""
     return deleted(documents, keys), deleted(sections, keys.select(F.col("_id").alias("document_id")), "document_id")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from quillgraph.config import SETTINGS
-from quillgraph.schemas import DOCUMENT_STATUS, ENTITY_CATEGORY, ENTITY_TYPE, PROCESSING_STEPS, RELATIONSHIP_TYPE
+from quillgraph.functions.evidence import CATEGORY_OF, CUES, TYPE_ENDINGS
+from quillgraph.schemas import DOCUMENT_STATUS, PROCESSING_STEPS, RELATIONSHIP_TYPE
 
 S = SETTINGS
 
@@ -19,6 +22,12 @@ def _pick(values, number: str) -> str:
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f')"
 _TOKENS = r"regexp_extract_all(lower(content), '[\p{L}\p{N}]+')"
 
+_TYPE = "CASE " + " ".join(f"WHEN {' OR '.join(f"ends_with(name, '{e}')" for e in ends)} THEN '{kind}'" for kind, ends in TYPE_ENDINGS.items()) + " ELSE 'other' END"
+_CATEGORY = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, c in CATEGORY_OF.items()) + " ELSE 'other' END"
+_CUED = ", ".join(f"CASE WHEN list_has_any(words, {_list(words)}) THEN 1 ELSE 0 END AS cue{k}" for k, words in enumerate(CUES.values()))
+_MOST = f"greatest({', '.join(f'cue{k}' for k in range(len(CUES)))})"
+_KIND = f"CASE {' '.join(f"WHEN {_MOST} > 0 AND cue{k} = {_MOST} THEN '{kind}'" for k, kind in enumerate(CUES))} WHEN contains(source_entity, target_entity) THEN 'contains' WHEN contains(target_entity, source_entity) THEN 'part_of' ELSE 'associated_with' END"
+
 _VIEWS = {
     "v_document": f"""SELECT CAST(doc_id AS VARCHAR) AS _id, 'Document ' || doc_id AS title, '10.5555/' || substr(md5(text), 1, 16) AS doi,
         CAST(2000 + doc_id % 25 AS INTEGER) AS year, split_part(text, chr(10), 1) AS abstract, {_pick(DOCUMENT_STATUS, "doc_id")} AS status,
@@ -29,20 +38,22 @@ _VIEWS = {
         CAST(ord AS INTEGER) AS "order" FROM v_line WHERE regexp_matches(content, '\S')""",
     "v_token": f"""SELECT document_id, "order", unnest({_TOKENS}) AS name, generate_subscripts({_TOKENS}, 1) AS place FROM v_section""",
     "v_mention": f"""SELECT document_id, "order", name, min(place) AS place FROM v_token WHERE length(name) >= {S.entity_letters} GROUP BY ALL""",
-    "v_entity": f"""SELECT name, {_pick(ENTITY_TYPE, "length(name)")} AS entity_type, {_pick(ENTITY_CATEGORY, "length(name)")} AS category,
-        count(DISTINCT document_id) AS frequency, count(*) AS n_sections FROM v_mention GROUP BY name HAVING count(DISTINCT document_id) >= {S.entity_documents}""",
+    "v_entity": f"""SELECT name, entity_type, {_CATEGORY} AS category, frequency, n_sections FROM (SELECT name, {_TYPE} AS entity_type,
+        count(DISTINCT document_id) AS frequency, count(*) AS n_sections FROM v_mention GROUP BY name HAVING count(DISTINCT document_id) >= {S.entity_documents})""",
+    "v_cue": f'SELECT document_id, "order", {_CUED} FROM (SELECT document_id, "order", {_TOKENS} AS words FROM v_section)',
     "v_known": """SELECT m.*, row_number() OVER (PARTITION BY document_id, "order" ORDER BY place) AS rk FROM v_mention m SEMI JOIN v_entity USING (name)""",
     "v_pair": f"""SELECT DISTINCT a.document_id, a."order", least(a.name, b.name) AS source_entity, greatest(a.name, b.name) AS target_entity
         FROM v_known a JOIN v_known b ON a.document_id = b.document_id AND a."order" = b."order" AND b.rk - a.rk BETWEEN 1 AND {S.reach}""",
-    "v_together": "SELECT source_entity, target_entity, count(*) AS n_together FROM v_pair GROUP BY ALL",
-    "v_relationship": """SELECT source_entity, target_entity, 'associated_with' AS relationship_type,
+    "v_together": f"""SELECT source_entity, target_entity, count(*) AS n_together, {", ".join(f"sum(cue{k}) AS cue{k}" for k in range(len(CUES)))}
+        FROM v_pair JOIN v_cue USING (document_id, "order") GROUP BY source_entity, target_entity""",
+    "v_relationship": f"""SELECT source_entity, target_entity, {_KIND} AS relationship_type,
         n_together / (s.n_sections + t.n_sections - n_together) AS strength, n_together, s.n_sections + t.n_sections - n_together AS n_either
         FROM v_together JOIN v_entity s ON s.name = source_entity JOIN v_entity t ON t.name = target_entity""",
     "v_edge": f"""SELECT source_entity, target_entity, strength FROM v_relationship WHERE strength >= {S.min_strength}
         UNION ALL SELECT target_entity, source_entity, strength FROM v_relationship WHERE strength >= {S.min_strength}""",
     "v_strongest": "SELECT source_entity, target_entity FROM v_relationship ORDER BY strength DESC, source_entity, target_entity LIMIT 1",
     "v_degree": "SELECT source_entity AS name, count(*) AS degree, sum(strength) AS total_strength FROM v_edge GROUP BY ALL",
-    "v_hub": f"SELECT name FROM v_degree ORDER BY degree DESC, name LIMIT {S.path_seeds}",
+    "v_node": "SELECT name FROM v_degree",
     "v_question": "SELECT arg_min(line, doc_id) AS query FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) WHERE len(string_split(line, ' ')) BETWEEN 8 AND 30",
     "v_term": r"SELECT DISTINCT unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS name FROM v_question",
     "v_length": 'SELECT document_id, "order", count(*) AS len FROM v_token GROUP BY ALL',
@@ -54,12 +65,27 @@ _VIEWS = {
     "v_scored": 'SELECT s.*, relevance_score FROM v_section s JOIN v_score USING (document_id, "order")',
     "v_top": f"SELECT * FROM v_scored ORDER BY round(relevance_score, 9) DESC, _id LIMIT {S.max_results}",
     "v_seed": f"""SELECT name FROM v_entity SEMI JOIN (SELECT DISTINCT unnest({_TOKENS}) AS name FROM v_top) USING (name) ORDER BY frequency DESC, name LIMIT {S.path_seeds}""",
+    "v_spelled": rf"""SELECT unnest(regexp_extract_all(content, '[\p{{L}}\p{{N}}]+')) AS alias FROM v_section""",
+    "v_alias": f"""SELECT lower(alias) AS name, alias, count(*) AS n FROM v_spelled WHERE length(alias) >= {S.entity_letters} AND alias <> lower(alias)
+        AND lower(alias) IN (SELECT name FROM v_entity) GROUP BY ALL""",
+    "v_about": "SELECT _id AS document_id, title || ' ' || abstract AS content FROM v_document",
+    "v_aterm": f"SELECT document_id, unnest({_TOKENS}) AS name FROM v_about",
+    "v_alen": "SELECT document_id, count(*) AS len FROM v_aterm GROUP BY ALL",
+    "v_asize": "SELECT (SELECT count(*) FROM v_about) AS n, (SELECT sum(len) FROM v_alen) / (SELECT count(*) FROM v_about) AS mean",
+    "v_atf": "SELECT document_id, name, count(*) AS tf FROM v_aterm SEMI JOIN v_term USING (name) GROUP BY ALL",
+    "v_adf": "SELECT name, count(*) AS df FROM v_atf GROUP BY ALL",
     "v_upload": f"""SELECT CASE WHEN source = 'src7' THEN '' ELSE 'file' || doc_id || {_pick((".pdf", ".txt", ".docx", ".PDF", ".exe"), "doc_id")} END AS filename, n_chars * 20000 AS file_size FROM documents""",
     "v_checked": rf"""SELECT *, CASE WHEN NOT regexp_matches(filename, '\.(pdf|txt|docx)$') THEN 'bad_type' WHEN file_size > {S.max_upload_bytes} THEN 'too_large' END AS reason FROM v_upload""",
     "v_toxic": "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS _id FROM labels WHERE toxic = 1",
 }
 
 
+#: The same graph over what a delete leaves.
+_VIEWS["v_left_section"] = "SELECT * FROM v_section WHERE document_id NOT IN (SELECT _id FROM v_toxic)"
+for _name in ("token", "mention", "entity", "known", "pair", "cue", "together", "relationship"):
+    _VIEWS[f"v_left_{_name}"] = re.sub(r"\bv_(section|token|mention|entity|known|pair|cue|together)\b", r"v_left_\1", _VIEWS[f"v_{_name}"])
+
+
 def _walk(seed: str, hops: int, prefix: str) -> dict[str, str]:
     """Views of the simple paths of each length from the names of a view."""
     out = {f"{prefix}0": f"SELECT [name] AS path, 1.0::DOUBLE AS total_strength FROM {seed}"}
@@ -69,15 +95,13 @@ def _walk(seed: str, hops: int, prefix: str) -> dict[str, str]:
     return out
 
 
-_VIEWS |= _walk("v_hub", 3, "v_walk") | _walk("v_seed", 3, "v_found")
+_VIEWS |= _walk("v_node", 3, "v_walk") | _walk("v_seed", 3, "v_found")
 _VIEWS["v_path"] = f"""SELECT array_to_string(path, ' → ') AS path, total_strength FROM ({" UNION ALL ".join(f"SELECT * FROM v_found{k}" for k in (1, 2, 3))})
     ORDER BY round(total_strength, 9) DESC, path LIMIT {S.max_results}"""
 
 
 def _with(body: str) -> str:
     """Puts the views that a statement needs before it."""
-    import re
-
     need, todo = set(), [body]
     while todo:
         for name in re.findall(r"\bv_\w+", todo.pop()):
@@ -113,7 +137,7 @@ _BODIES = {
     "list_relationships_by_source": f"SELECT {_RELATIONSHIP} FROM v_relationship SEMI JOIN v_strongest USING (source_entity) ORDER BY source_entity, target_entity LIMIT {S.list_limit}",
     "list_relationships_by_target": f"SELECT {_RELATIONSHIP} FROM v_relationship SEMI JOIN v_strongest USING (target_entity) ORDER BY source_entity, target_entity LIMIT {S.list_limit}",
     "list_relationships_by_type": f"SELECT {_RELATIONSHIP} FROM v_relationship WHERE relationship_type = 'associated_with' ORDER BY source_entity, target_entity LIMIT {S.list_limit}",
-    "list_relationships_conj": f"SELECT {_RELATIONSHIP} FROM v_relationship SEMI JOIN v_strongest USING (source_entity, target_entity)",
+    "list_relationships_conj": f"SELECT {_RELATIONSHIP} FROM v_relationship SEMI JOIN v_strongest USING (source_entity, target_entity) WHERE relationship_type = 'associated_with'",
     "strong_relationships": f"SELECT {_RELATIONSHIP} FROM v_relationship WHERE strength >= {S.min_strength}",
     "top_relationships": f"SELECT {_RELATIONSHIP} FROM (SELECT * FROM v_relationship ORDER BY strength DESC, source_entity, target_entity LIMIT {S.list_limit})",
     "entities_json": "SELECT CAST(json_object('name', name, 'entity_type', entity_type, 'category', category, 'frequency', frequency) AS VARCHAR) AS json FROM v_entity",
@@ -163,8 +187,19 @@ _BODIES = {
     "search_answer": "SELECT content AS answer, _id AS section_id FROM v_top ORDER BY round(relevance_score, 9) DESC, _id LIMIT 1",
     "vector_topk": f"""SELECT vec_id, round(similarity, 6) AS similarity, query_id FROM (SELECT v.vec_id, q.vec_id AS query_id,
         list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS similarity
-        FROM embeddings v JOIN embeddings q ON q.vec_id IN (0, 1))
-        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= {S.vector_candidates}""",
+        FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0)
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) <= {S.vector_candidates}""",
+    "document_search": f"""SELECT document_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * {S.bm25_k1 + 1}) / (tf + {S.bm25_k1} * (1 - {S.bm25_b} + {S.bm25_b} * len / mean))), 6) AS relevance_score
+        FROM v_atf JOIN v_adf USING (name) JOIN v_alen USING (document_id), v_asize GROUP BY document_id""",
+    "entity_aliases": "SELECT name, alias, n FROM v_alias",
+    "resolve_aliases": r"""SELECT alias, name, entity_type FROM (SELECT DISTINCT unnest(regexp_extract_all(abstract, '[\p{L}\p{N}]+')) AS alias FROM v_document) JOIN v_entity ON name = lower(alias)""",
+    "entity_records": """SELECT name, entity_type, category, coalesce((SELECT string_agg(alias, '|' ORDER BY alias) FROM v_alias a WHERE a.name = e.name), '') AS aliases, frequency,
+        entity_type || ' in ' || frequency || ' documents' AS description, first_document, most_sections FROM v_entity e JOIN (SELECT name, min(document_id) AS first_document, max(n) AS most_sections
+        FROM (SELECT name, document_id, count(*) AS n FROM v_mention GROUP BY ALL) GROUP BY name) USING (name)""",
+    "delete_cascade_graph": """SELECT 'documents' AS collection, count(*) AS n FROM v_document WHERE _id NOT IN (SELECT _id FROM v_toxic) UNION ALL SELECT 'sections', count(*) FROM v_left_section
+        UNION ALL SELECT 'entities', count(*) FROM v_left_entity UNION ALL SELECT 'relationships', count(*) FROM v_left_relationship""",
+    "update_document_cleared": f"""SELECT _id, 'B' AS title, status, {_ISO.format("created_at")} AS created_at, {_ISO.format(_STAMP)} AS updated_at, doi, CAST(NULL AS INTEGER) AS year, abstract, file_path, file_size
+        FROM v_document WHERE _id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 0)""",
 }
 
 

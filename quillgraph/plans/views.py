@@ -1,18 +1,22 @@
 """The document graph derived from the plain tables: documents, sections, entities, edges.
 
 The definitions of entities, their types and the strength of relationships are choices of this
-engine. Each view is a lazy plan; nothing here collects.
+engine. Each view is a lazy plan; only what relationships rest on, the mentions and entities, is
+stored once, so that texts are read and cut into words once.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.config import SETTINGS
-from quillgraph.functions.scalars import tokens
-from quillgraph.schemas import DOCUMENT_STATUS, ENTITY_CATEGORY, ENTITY_TYPE
-from quillgraph.sources.tables import table
+from quillgraph.functions import evidence
+from quillgraph.functions.scalars import TOKEN, tokens
+from quillgraph.schemas import DOCUMENT_STATUS
+from quillgraph.sources.tables import broadcast_if_small, materialized, table
 
 
 def _pick(values: tuple[str, ...], number: Column) -> Column:
@@ -50,36 +54,66 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(sections: DataFrame) -> DataFrame:
-    """Distinct long words of each section and the place where each first stands."""
-    long = F.filter(tokens(F.col("content")), lambda t: F.length(t) >= SETTINGS.entity_letters)
-    return sections.select("document_id", "order", F.posexplode(F.array_distinct(long)).alias("place", "name"))
+    """Distinct long words of each section, the place where each first stands, and the section's
+    cue words for kinds of relationships."""
+    cut = sections.select("document_id", "order", tokens(F.col("content")).alias("words"))
+    long = F.filter("words", lambda t: F.length(t) >= SETTINGS.entity_letters)
+    return cut.select("document_id", "order", evidence.cue_bits(F.col("words")).alias("cues"), F.posexplode(F.array_distinct(long)).alias("place", "name"))
 
 
 def entities(mentions: DataFrame) -> DataFrame:
     """Names found in enough documents. Counts are taken by name and document first."""
     by_document = mentions.groupBy("name", "document_id").agg(F.count("*").alias("n"))
     counts = by_document.groupBy("name").agg(F.count("*").alias("frequency"), F.sum("n").alias("n_sections"))
-    kind = F.length("name")
-    return counts.filter(F.col("frequency") >= SETTINGS.entity_documents).select("name", _pick(ENTITY_TYPE, kind).alias("entity_type"), _pick(ENTITY_CATEGORY, kind).alias("category"), "frequency", "n_sections")
+    kind = evidence.entity_type(F.col("name"))
+    return counts.filter(F.col("frequency") >= SETTINGS.entity_documents).select("name", kind.alias("entity_type"), evidence.category(kind).alias("category"), "frequency", "n_sections")
+
+
+def aliases(sections: DataFrame, entities: DataFrame) -> DataFrame:
+    """name, alias, n: spellings of entities in the texts that differ from their names, and how
+    often each occurs. Counted by spelling before anything is joined."""
+    found = sections.select(F.explode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(1))).alias("alias")).filter(F.length("alias") >= SETTINGS.entity_letters)
+    counts = found.groupBy("alias").agg(F.count("*").alias("n")).withColumn("name", F.lower("alias")).filter("alias != name")
+    return counts.join(entities.select("name"), "name").select("name", "alias", "n")
+
+
+def resolved(asked: DataFrame, entities: DataFrame) -> DataFrame:
+    """``asked`` (alias) with the name of the entity that each stands for; unknown ones go."""
+    return asked.withColumn("name", F.lower(F.trim("alias"))).join(entities.select("name", "entity_type"), "name")
+
+
+def entity_records(entities: DataFrame, aliases: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Entities with all fields of the data model that the texts give: aliases in order, a
+    description, and where they were found (documents, the first of them)."""
+    spelled = aliases.groupBy("name").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    where = mentions.groupBy("name", "document_id").agg(F.count("*").alias("n")).groupBy("name").agg(F.min("document_id").alias("first_document"), F.max("n").alias("most_sections"))
+    about = F.concat(F.col("entity_type"), F.lit(" in "), F.col("frequency").cast("string"), F.lit(" documents"))
+    both = entities.join(spelled, "name", "left").join(where, "name")
+    none = F.array().cast("array<string>")
+    return both.select("name", "entity_type", "category", F.coalesce("aliases", none).alias("aliases"), "frequency", about.alias("description"), "first_document", "most_sections")
 
 
 def relationships(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Pairs of entities that stand within SETTINGS.reach of each other in some section.
 
     Strength is the share of the sections with either in which they stand near each other.
-    The number of pairs grows with the length of a section, not with its square.
+    The number of pairs grows with the length of a section, not with its square. ``entities`` is
+    a stored table; its names are broadcast after a check of their bytes.
     """
-    known = mentions.join(entities.select("name"), "name")
+    small = broadcast_if_small(entities.select("name", "n_sections"))
+    known = mentions.join(small.select("name"), "name")
     section = Window.partitionBy("document_id", "order").orderBy("place")
     following = F.array(*[F.lead("name", k).over(section) for k in range(1, SETTINGS.reach + 1)])
-    near = known.select("document_id", "order", "name", following.alias("others"))
-    near = near.select("document_id", "order", "name", F.explode("others").alias("other")).filter("other is not null")
-    pair = near.select("document_id", "order", F.least("name", "other").alias("source_entity"), F.greatest("name", "other").alias("target_entity")).distinct()
-    together = pair.groupBy("source_entity", "target_entity").agg(F.count("*").alias("n_together"))
-    of = lambda s: entities.select(F.col("name").alias(f"{s}_entity"), F.col("n_sections").alias(f"n_{s}"))
+    near = known.select("document_id", "order", "cues", "name", following.alias("others"))
+    near = near.select("document_id", "order", "cues", "name", F.explode("others").alias("other")).filter("other is not null")
+    pair = near.select("document_id", "order", "cues", F.least("name", "other").alias("source_entity"), F.greatest("name", "other").alias("target_entity")).distinct()
+    told = [F.sum(F.expr(f"shiftright(cues, {k}) & 1")).alias(f"cue{k}") for k in range(len(evidence.CUES))]
+    together = pair.groupBy("source_entity", "target_entity").agg(F.count("*").alias("n_together"), *told)
+    of = lambda s: small.select(F.col("name").alias(f"{s}_entity"), F.col("n_sections").alias(f"n_{s}"))
     both = together.join(of("source"), "source_entity").join(of("target"), "target_entity")
     either = F.col("n_source") + F.col("n_target") - F.col("n_together")
-    return both.select("source_entity", "target_entity", F.lit("associated_with").alias("relationship_type"), (F.col("n_together") / either).alias("strength"), "n_together", either.alias("n_either"))
+    kind = evidence.relationship_type([F.col(f"cue{k}") for k in range(len(evidence.CUES))], F.col("source_entity"), F.col("target_entity"))
+    return both.select("source_entity", "target_entity", kind.alias("relationship_type"), (F.col("n_together") / either).alias("strength"), "n_together", either.alias("n_either"))
 
 
 def edges(relationships: DataFrame, min_strength: float = SETTINGS.min_strength) -> DataFrame:
@@ -90,12 +124,30 @@ def edges(relationships: DataFrame, min_strength: float = SETTINGS.min_strength)
 
 
 class Graph:
-    """All views over one set of tables."""
+    """All views over one set of tables, or over other documents and sections than theirs."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.documents = documents(spark, sf_dir)
-        self.sections = sections(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, documents_: DataFrame | None = None, sections_: DataFrame | None = None):
+        self.documents = documents(spark, sf_dir) if documents_ is None else documents_
+        self.sections = sections(spark, sf_dir) if sections_ is None else sections_
         self.mentions = mentions(self.sections)
         self.entities = entities(self.mentions)
-        self.relationships = relationships(self.mentions, self.entities)
-        self.edges = edges(self.relationships)
+
+    @cached_property
+    def linked(self) -> tuple[DataFrame, DataFrame]:
+        """Mentions and entities, stored: one scan of the documents for all that follows."""
+        self.mentions = materialized(self.mentions, "mentions")
+        self.entities = materialized(entities(self.mentions), "entities")
+        return self.mentions, self.entities
+
+    @cached_property
+    def relationships(self) -> DataFrame:
+        return relationships(*self.linked)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return edges(self.relationships)
+
+    def stored_edges(self) -> DataFrame:
+        """The edges, stored for plans that walk along them several times."""
+        self.edges = materialized(edges(self.relationships), "edges")
+        return self.edges

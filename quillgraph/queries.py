@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.config import SETTINGS
-from quillgraph.functions.scalars import arrow_path, display_megabytes, display_percent, iso_time
+from quillgraph.functions.scalars import TOKEN, arrow_path, display_megabytes, display_percent, iso_time
 from quillgraph.operators import graph, listing, mutations, retrieval, validation
 from quillgraph.plans import views as plans
-from quillgraph.plans.views import Graph, _pick, edges
+from quillgraph.plans.views import Graph, _pick
 from quillgraph.schemas import RELATIONSHIP_TYPE
-from quillgraph.sources.tables import as_json, conformed, table
+from quillgraph.sources.tables import as_json, conformed, materialized, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+
+
 def now() -> Column:
     """The time of all changes, fixed so that results can be compared."""
     return F.timestamp_seconds(F.lit(1_735_689_600))
@@ -62,11 +64,16 @@ def _marked(spark: SparkSession, sf_dir: str, mark: str, value: int) -> DataFram
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph with entities and edges kept for the steps of a query that read them again;
-    both are small beside the sections, and spill to disk or are computed anew if lost."""
+    """The graph with its edges stored, for queries that read them again."""
+    g = Graph(spark, sf_dir)
+    g.stored_edges()
+    return g
+
+
+def _related(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph with its relationships stored, for queries that look into them first."""
     g = Graph(spark, sf_dir)
-    g.entities = g.entities.persist()
-    g.edges = edges(plans.relationships(g.mentions, g.entities)).persist()
+    g.relationships = materialized(g.relationships, "relationships")
     return g
 
 
@@ -151,13 +158,13 @@ def list_relationships(spark, sf_dir):
 
 @query
 def list_relationships_by_source(spark, sf_dir):
-    g = Graph(spark, sf_dir)
+    g = _related(spark, sf_dir)
     return _rounded(listing.list_relationships(g.relationships, source_entity=_strongest(g)[0]), "strength")
 
 
 @query
 def list_relationships_by_target(spark, sf_dir):
-    g = Graph(spark, sf_dir)
+    g = _related(spark, sf_dir)
     return _rounded(listing.list_relationships(g.relationships, target_entity=_strongest(g)[1]), "strength")
 
 
@@ -168,7 +175,7 @@ def list_relationships_by_type(spark, sf_dir):
 
 @query
 def list_relationships_conj(spark, sf_dir):
-    g = Graph(spark, sf_dir)
+    g = _related(spark, sf_dir)
     source, target = _strongest(g)
     return _rounded(listing.list_relationships(g.relationships, source, target, "associated_with"), "strength")
 
@@ -229,6 +236,24 @@ def delete_cascade(spark, sf_dir):
     return of(documents, "documents").union(of(sections, "sections"))
 
 
+@query
+def delete_cascade_graph(spark, sf_dir):
+    """What a delete leaves of every collection: entities and relationships follow the sections."""
+    g = Graph(spark, sf_dir)
+    left = Graph(spark, sf_dir, *mutations.deleted_cascade(g.documents, g.sections, _marked(spark, sf_dir, "toxic", 1)))
+    of = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("collection"), "n")
+    entities, linked = left.linked[1], left.relationships
+    return of(left.documents, "documents").union(of(left.sections, "sections")).union(of(entities, "entities")).union(of(linked, "relationships"))
+
+
+@query
+def update_document_cleared(spark, sf_dir):
+    """Patches with two rows a key, of which the greater counts, and a null that clears a field."""
+    marked = _marked(spark, sf_dir, "quality", 0)
+    patch = marked.select("_id", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("title"), F.lit(None).cast("int").alias("year"))
+    return _documents(mutations.update_result(Graph(spark, sf_dir).documents, patch, now(), assigned=("year",)))
+
+
 @query
 def document_status_transition(spark, sf_dir):
     kind = _pick(("processing", "processed", "failed"), F.col("event_id"))
@@ -304,6 +329,28 @@ def entity_frequency(spark, sf_dir):
     return Graph(spark, sf_dir).entities.select("name", "frequency", "n_sections")
 
 
+@query
+def entity_aliases(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    return plans.aliases(g.sections, g.entities)
+
+
+@query
+def resolve_aliases(spark, sf_dir):
+    """Spellings in the first lines of documents, resolved to the entities that they stand for."""
+    g = Graph(spark, sf_dir)
+    asked = g.documents.select(F.explode(F.regexp_extract_all("abstract", F.lit(TOKEN), F.lit(1))).alias("alias")).distinct()
+    return plans.resolved(asked, g.entities).select("alias", "name", "entity_type")
+
+
+@query
+def entity_records(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    mentions, entities = g.linked
+    found = plans.entity_records(entities, plans.aliases(g.sections, entities), mentions)
+    return found.withColumn("aliases", F.array_join("aliases", "|"))
+
+
 @query
 def entity_provenance(spark, sf_dir):
     g = Graph(spark, sf_dir)
@@ -340,7 +387,7 @@ def graph_degree(spark, sf_dir):
 
 def _hop(spark, sf_dir, hops: int) -> DataFrame:
     linked = _linked(spark, sf_dir).edges
-    found = graph.paths_by_hop(linked, graph.hubs(linked), hops)[-1]
+    found = graph.paths_by_hop(linked, graph.nodes(linked), hops)[-1]
     return _rounded(found.select(arrow_path(F.col("path")).alias("path"), "total_strength"), "total_strength")
 
 
@@ -406,12 +453,14 @@ def search_answer(spark, sf_dir):
     return retrieval.top_sections(g.sections, _question(spark, sf_dir), 1).select(F.col("content").alias("answer"), F.col("_id").alias("section_id"))
 
 
+@query
+def document_search(spark, sf_dir):
+    found = retrieval.search_documents(Graph(spark, sf_dir).documents, _question(spark, sf_dir))
+    return _rounded(found, "relevance_score")
+
+
 @query
 def vector_topk(spark, sf_dir):
+    """Every vector whose id is divisible by 100 against all."""
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.filter(F.col("vec_id").isin(0, 1)).select("vec_id", "embedding").orderBy("vec_id").collect()
-    out = None
-    for row in asked:
-        near = retrieval.vector_topk(vectors, row.embedding).withColumn("query_id", F.lit(row.vec_id))
-        out = near if out is None else out.union(near)
-    return _rounded(out, "similarity")
+    return _rounded(retrieval.vector_topk(vectors, vectors.filter("vec_id % 100 = 0")), "similarity")

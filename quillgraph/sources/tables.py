@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that the driver and all executors share
+    (``spark.checkpoint.dir``) and read back, so that what rests on it doesn't compute it again and
+    a lost executor loses nothing. Only a local session without that setting gets a temporary
+    folder, which goes with the process."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quillgraph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """A stored table, to be broadcast if its strings and numbers take at most so many bytes; a
+    larger one is left to a join that shuffles."""
+    width = sum((F.coalesce(F.octet_length(c) if kind == "string" else F.lit(0), F.lit(0)) + 16 for c, kind in df.dtypes), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most_bytes else df
+
+
 def uploaded_files(spark: SparkSession, folder: str) -> DataFrame:
     """filename, file_size, content of files with an allowed suffix; contents are read lazily."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.config import SETTINGS
 from quillgraph.functions import scalars
 from quillgraph.operators import graph, listing, mutations, retrieval, validation
+from quillgraph.plans import views
 from quillgraph.plans.views import Graph, edges
 from quillgraph.schemas import DOCUMENT
 from quillgraph.sources import tables
@@ -131,10 +132,45 @@ def test_search_without_words(spark, small):
     assert row.sources == [] and row.graph_paths == [] and row.answer is None
 
 
-def test_vectors(spark):
-    rows = [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0]), (4, None), (5, [3.0, 0.0])]
-    found = retrieval.vector_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), [1, 0], 2).collect()
-    assert [(r.vec_id, round(r.similarity, 6)) for r in found] == [(1, 1.0), (5, 1.0)]
+def test_vectors(spark, monkeypatch):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0]), (4, None), (5, [3.0, 0.0]), (6, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = table.filter("vec_id in (1, 2, 3, 4)")
+    for block in (8192, 2):
+        monkeypatch.setattr(retrieval, "VECTOR_BLOCK", block)
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        found = values(retrieval.vector_topk(table, asked, 2), "query_id", "vec_id", F.round("similarity", 6))
+        assert found == [(1, 1, 1.0), (1, 5, 1.0), (2, 2, 1.0), (2, 6, 0.707107)]
+    assert retrieval.vector_topk(table.filter("false"), asked).count() == 0
+
+
+def test_repeated_patch_rows_and_cleared_fields(spark, small):
+    docs = Graph(spark, small).documents
+    patch = spark.createDataFrame([("7", "A", 1), ("7", "B", None), ("7", "B", None), ("8", None, None), ("8", None, None)], "_id string, title string, year int")
+    kept = values(mutations.update_result(docs, patch, now()), "_id", "title", "year")
+    assert kept == [("7", "B", 2007), ("8", "Document 8", 2008)]
+    assert values(mutations.update_result(docs, patch, now(), assigned=("year",)), "_id", "title", "year") == [("7", "B", None), ("8", "Document 8", None)]
+    assert mutations.updated(docs, patch, now()).count() == docs.count()
+
+
+def test_evidence_of_kinds(spark, tmp_path):
+    text = "hepatitis penicillin treats\nreadings reading\nwindmills aardvark"
+    rows = [(k, text, "en", "s", 1) for k in range(6)] + [(9, "Hepatitis HEPATITIS aardvark windmills uses", "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    g = Graph(spark, str(tmp_path))
+    assert {(r.name, r.entity_type, r.category) for r in g.entities.collect()} >= {("hepatitis", "disease", "diseases_and_conditions"), ("penicillin", "drug", "drugs_and_compounds"), ("aardvark", "other", "other")}
+    kinds = {(r.source_entity, r.target_entity): r.relationship_type for r in g.relationships.collect()}
+    assert kinds["hepatitis", "penicillin"] == "treats" and kinds["aardvark", "windmills"] == "uses"
+    assert values(views.aliases(g.sections, g.entities), "name", "alias", "n") == [("hepatitis", "HEPATITIS", 1), ("hepatitis", "Hepatitis", 1)]
+    asked = spark.createDataFrame([(" HePatitis ",), ("nothing",), (None,)], "alias string")
+    assert values(views.resolved(asked, g.entities), "alias", "name") == [(" HePatitis ", "hepatitis")]
+
+
+def test_one_scan_of_documents_for_relationships(spark, small):
+    """Texts are read once; all that follows reads what was stored of them."""
+    g = Graph(spark, small)
+    plan = g.relationships._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "mentions-" in plan
 
 
 def test_files(spark, tmp_path):
