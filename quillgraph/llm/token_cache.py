@@ -5,7 +5,9 @@ between non-blanks is a token of its own, and the word tokenizer drops white spa
 of a text are the ids of its chunks in a row. Texts in which white space follows white space are
 encoded in one go. The chunks of a batch are told apart by Arrow's dictionary encoding, each is
 looked up once, and the ids of the texts are gathered by index. New chunks of letters alone are
-encoded together in one string, whose ids are cut where a token starts (or ends) a word.
+encoded together in one string, whose ids are cut where a token starts (or ends) a word. Models
+of any other kind than these two, told by their normalizer, pre-tokenizer and vocabulary, get
+whole texts.
 """
 
 from __future__ import annotations
@@ -36,12 +38,13 @@ def pack(ids: list[int]) -> Ids:
 class ChunkEncoder:
     """``encode_many`` maps strings to lists of ids and is asked about each new chunk once.
 
-    ``blanks_count``: the blank before a chunk belongs to its first token (byte-level models).
+    ``blanks_count``: the blank before a chunk belongs to its first token (byte-level models);
+    None: chunks tell nothing, texts are encoded whole.
     ``encode_words``, if given, encodes many words of letters at once: it takes the words and
     what stands between them, and returns their packed ids, or None if they can't be told apart.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], blanks_count: bool, encode_words: Callable[[list[str], str], list[Ids] | None] | None = None):
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], blanks_count: bool | None, encode_words: Callable[[list[str], str], list[Ids] | None] | None = None):
         self.encode_many, self.encode_words = encode_many, encode_words
         self.blanks_count = blanks_count
         self.known: dict[str, Ids | None] = {}
@@ -75,6 +78,8 @@ class ChunkEncoder:
 
     def _prepared(self, text: str) -> str | None:
         """The text with its chunks between blanks; None if it must be encoded whole."""
+        if self.blanks_count is None:
+            return None
         if not self.blanks_count:
             if text.isascii() and "<|" not in text:
                 text = text.lower()
@@ -159,6 +164,10 @@ def library_encoder(path: str) -> ChunkEncoder:
     model.no_padding()
     byte_level = "ByteLevel" in str(model.pre_tokenizer) and model.normalizer is None
     spelled = model.get_vocab(with_added_tokens=True)
+    suffix = getattr(model.model, "end_of_word_suffix", None)
+    lower = not byte_level and suffix == "</w>" and model.normalizer is not None and model.normalizer.normalize_str("A B\nÉ") == "a b é"
+    if not byte_level and not lower:
+        return ChunkEncoder(lambda strings: [e.ids for e in model.encode_batch_fast(strings, add_special_tokens=False)], None)
     edge = np.zeros(max(spelled.values()) + 1, bool)
     edge[[k for t, k in spelled.items() if (t.startswith("Ġ") if byte_level else t.endswith("</w>"))]] = True
     line_end = model.encode("\n", add_special_tokens=False).ids

@@ -41,6 +41,17 @@ def test_chunks_equal_whole_texts(name, texts):
     assert library_encoder(tokenizer_file(name)).encode(texts) == whole
 
 
+def test_other_kinds_of_models_get_whole_texts(tmp_path):
+    """A cased word-level model: ids equal those of the library."""
+    from tokenizers import models, pre_tokenizers
+
+    model = Tokenizer(models.WordLevel({"[UNK]": 0, "Hello": 1, "hello": 2, "World": 3, "world": 4}, unk_token="[UNK]"))
+    model.pre_tokenizer = pre_tokenizers.Whitespace()
+    model.save(f"{tmp_path}/words.json")
+    texts = ["Hello World", "hello  world", "", "World, Hello"]
+    assert library_encoder(f"{tmp_path}/words.json").encode(texts) == [np.array(model.encode(t).ids, "<u4").tobytes() for t in texts]
+
+
 BPE = bpe.BacktrackingBpe(tokenizer_file(NAMES[0]))
 
 
