@@ -254,7 +254,7 @@ def _majority(hashes: np.ndarray, ways: int) -> np.ndarray:
 
 
 def word_segments(words: list[bytes], segments: int = SEGMENTS, bits: int = SEGMENT_BITS) -> list[int]:
-    """A fingerprint over the distinct words, cut into segments of at most 56 bits."""
+    """A fingerprint over the distinct words, cut into segments of at most 54 bits."""
     distinct = set(words)
     set_ = _majority(np.fromiter(map(xxhash.xxh64_intdigest, distinct, repeat(SEED)), np.uint64, len(distinct)), -(-segments * bits // 64))
     return (set_[: segments * bits].reshape(segments, bits) @ (1 << np.arange(bits, dtype=np.int64))).tolist()
@@ -277,16 +277,22 @@ def _prints(rows: DataFrame, words: int, segments: int, bits: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, hash long, id_a long, id_b long, size long, check long, segments array<long>")
 
 
+#: Marks keys of whole segments, which hold no other value than theirs.
+_WHOLE = 1 << 55
+
+
 def _keyed(nodes: DataFrame, bits: int) -> DataFrame:
-    """Every node under its segments as they are and with each set bit struck out.
+    """Every node under its whole segments, and under their values as they are and with each set
+    bit struck out; ``value`` tells a node's whole segment.
 
     Of two segments that differ in one bit, one holds 0 there and stands under its own value,
     and the other one with its 1 struck out gives that value too.
     """
     cut = nodes.select("node", "size", "check", F.posexplode("segments").alias("segment", "value"))
-    struck = cut.withColumn("bit", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1)))).filter("bit < 0 or (shiftright(value, bit) & 1) = 1")
-    value = F.expr("case when bit < 0 then value else value & ~shiftleft(1L, bit) end")
-    return struck.select(F.expr("shiftleft(cast(segment as bigint), 56)").bitwiseOR(value).alias("key"), "node", "size", "check")
+    cut = cut.select("node", "size", "check", F.expr("shiftleft(cast(segment as bigint), 56)").bitwiseOR(F.col("value")).alias("value"))
+    struck = cut.withColumn("bit", F.explode(F.sequence(F.lit(-2), F.lit(bits - 1)))).filter("bit < 0 or (shiftright(value, bit) & 1) = 1")
+    key = F.expr(f"case bit when -2 then value | {_WHOLE}L when -1 then value else value & ~shiftleft(1L, bit) end")
+    return struck.select(key.alias("key"), "value", "node", "size", "check")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, repeats: bool) -> DataFrame:
@@ -305,9 +311,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, repeats: bool) -> Data
 
 
 def _in_reach(similarity: float) -> Column:
-    """What two texts of that similarity fulfil by the sizes of their sets and by fingerprint."""
+    """What two texts of that similarity fulfil by the sizes of their sets and by fingerprint.
+
+    Texts with the same whole segment meet under that alone: where the first of them by hash is
+    the centre of another key, it has been the centre there too, in this round or before.
+    """
     fits = F.least("l.size", "r.size") >= similarity * F.greatest("l.size", "r.size") - 1e-9
-    return fits & (F.bit_count(F.col("l.check").bitwiseXOR(F.col("r.check"))) <= CHECK_BITS) & (F.col("l.label") != F.col("r.label"))
+    apart = (F.col("l.value") != F.col("r.value")) | (F.col("l.key").bitwiseAND(F.lit(_WHOLE)) != 0)
+    return apart & fits & (F.bit_count(F.col("l.check").bitwiseXOR(F.col("r.check"))) <= CHECK_BITS) & (F.col("l.label") != F.col("r.label"))
 
 
 def _holding(pairs: DataFrame, sets_of, similarity: float) -> DataFrame:
@@ -329,11 +340,12 @@ def _met_in_blocks(members: DataFrame, sets_of, similarity: float) -> DataFrame:
     blocks = stored(members.groupBy("key").agg(F.ceil(total).cast("int").alias("blocks")), "dedup-blocks")
     sets = sets_of(members.select("node").distinct())
     dealt = members.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "size", "check").join(sets, "node")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "value", "node", "label", "size", "check").join(sets, "node")
 
     def meet(table: pa.Table) -> pa.Table:
         col = lambda c: table.column(c).to_numpy()
         node, own, size, check = col("node"), col("own"), col("size"), col("check").astype(np.int64).view(np.uint64)
+        value = col("value") if not col("key")[0] & _WHOLE else node
         sets = [np.asarray(x.values, np.int64) for x in table.column("shingles")]
         group = {x: x for x in col("label").tolist()}
 
@@ -346,6 +358,7 @@ def _met_in_blocks(members: DataFrame, sets_of, similarity: float) -> DataFrame:
         for a in range(len(node)):
             near = np.bitwise_count(check[a] ^ check) <= CHECK_BITS
             near &= np.minimum(size[a], size) >= similarity * np.maximum(size[a], size) - 1e-9
+            near &= value != value[a]
             near &= (own > own[a]) if apart else (np.arange(len(node)) > a)
             for b in np.flatnonzero(near).tolist():
                 if root(label[a]) == root(label[b]):
@@ -374,21 +387,22 @@ def similar_links(nodes: DataFrame, sets_of, similarity: float, bits: int) -> Da
     held = stored(keyed.join(hinted(several), "key"), "dedup-members")
     # Keys with the same members say the same.
     alike = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in (0, 1)]
-    one = stored(held.groupBy("key").agg(F.count("*").alias("n"), *alike).groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key"), "dedup-keys")
+    whole_first = F.min(F.struct(F.col("key").bitwiseAND(F.lit(_WHOLE)) == 0, "key")).alias("best")
+    one = stored(held.groupBy("key").agg(F.count("*").alias("n"), *alike).groupBy("n", "s0", "s1").agg(whole_first).select("best.key"), "dedup-keys")
     members = stored(held.join(hinted(one), "key").withColumn("label", F.col("node")), "dedup-members")
     discard(several, held, one)
     ends = (F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
     found = []
     for _ in range(STAR_ROUNDS):
-        first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "check", "label")).alias("c")
-        centre = stored(members.groupBy("key").agg(first).select("key", "c.node", "c.size", "c.check", "c.label"), "dedup-centres")
+        first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "value", "size", "check", "label")).alias("c")
+        centre = stored(members.groupBy("key").agg(first).select("key", "c.node", "c.value", "c.size", "c.check", "c.label"), "dedup-centres")
         pairs = members.alias("l").join(centre.alias("r"), (F.col("l.key") == F.col("r.key")) & _in_reach(similarity)).select(*ends)
         found.append(_holding(pairs, sets_of, similarity))
         roots = components(reduce(DataFrame.union, found))
         # The centres have been held against all others of their keys.
         left = members.join(centre.select("key", "node"), ["key", "node"], "left_anti").drop("label")
         left = left.join(hinted(roots.select("node", F.col("root").alias("label"))), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        left = stored(left.select("key", "node", "size", "check", "label"), "dedup-members")
+        left = stored(left.select("key", "value", "node", "size", "check", "label"), "dedup-members")
         open_ = stored(left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key"), "dedup-keys")
         discard(members, centre, roots)
         members = stored(left.join(hinted(open_), "key"), "dedup-members")
