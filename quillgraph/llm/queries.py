@@ -71,9 +71,39 @@ def op10_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7 that SQL can express: counts and base rules of every whole text."""
+    found = quality.counted(documents(spark, sf_dir), ("doc_id",)).withColumn("base_failed", quality.base_failed())
+    return found.select("doc_id", *quality.COUNTS[:5], "base_failed")
+
+
+def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8 that SQL can express: all sizes are placed, places are gapless, and shards
+    differ by less than the largest size."""
+    placed = op8_virtual_slots(spark, sf_dir)
+    shards = placed.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots"), F.max("size").alias("largest"))
+    gapless = F.bool_and((F.col("last") + 1 == F.col("n")) & (F.col("slots") == F.col("n")))
+    even = F.max("bytes") - F.min("bytes") <= F.max("largest")
+    return shards.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("shards"), gapless.alias("gapless"), even.alias("near_equal"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_contextual_pii, op3_flac_media, op4_bitplane_tokens, op5_naive_bayes_language, op6_toxic_segments, op7_robust_outliers, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_contextual_pii, op3_flac_media, op4_bitplane_tokens, op5_naive_bayes_language, op6_toxic_segments, op7_robust_outliers, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking, quality_base, shard_balance)}
+
+
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_QUALITY_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS words FROM documents),
+    w AS (SELECT doc_id, generate_subscripts(words, 1) AS i, words FROM d),
+    t AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM w WHERE i + 2 <= len(words)),
+    r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM t),
+    h AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM r, range(3) s(j) WHERE n > 1 GROUP BY doc_id),
+    l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, {_WORD}) GROUP BY doc_id)
+    SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(words) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(words) AS base_failed
+    FROM d LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id)"""
+_SHARD_SQL = """SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, CAST(8 AS BIGINT) AS shards, true AS gapless, true AS near_equal FROM documents"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what SQL can express; the operators' own queries are held against brute force."""
+    return {"quality_base": _QUALITY_SQL, "shard_balance": _SHARD_SQL}

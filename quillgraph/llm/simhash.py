@@ -204,21 +204,34 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+#: A fingerprint with more than one row in so many is joined by broadcast: there are fewer of
+#: these than this number, whatever the table.
+HOT_SHARE = 10_000
+
+
 def near_duplicates(prints: DataFrame, max_bits: int = 3, check_bits: int = 64) -> DataFrame:
     """``prints`` (doc_id, fp, check_fp, any more) with component_id: the least doc_id that is
     reachable over links of at most ``max_bits`` (and ``check_bits``) differing bits.
 
     Rows without a doc_id get the least id of their component, null if it has none. Equal
-    fingerprints always link, those of empty texts (0) too.
+    fingerprints always link, those of null and empty texts (0) too; repeated rows and ties all
+    stay and share a component; an empty table gives no rows; more columns pass through. Very
+    common fingerprints are joined by broadcast, so their rows stay where they are.
     """
-    nodes = stored(prints.groupBy("fp", "check_fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    found = links(nodes.select("fp", "check_fp"), max_bits, check_bits)
+    key = ["fp", "check_fp"]
+    nodes = stored(prints.groupBy(key).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "fingerprints")
+    found = links(nodes.select(key), max_bits, check_bits)
     roots = components(found)
-    placed = roots.select("node.fp", "node.check_fp", "root").join(nodes, ["fp", "check_fp"])
+    placed = roots.select("node.fp", "node.check_fp", "root").join(nodes, key)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = stored(placed.join(least, "root").select("fp", "check_fp", "component_id"), "components")
-    named = nodes.join(moved, ["fp", "check_fp"], "left").select("fp", "check_fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, ["fp", "check_fp"])
+    named = stored(nodes.join(moved, key, "left").select("fp", "check_fp", "copies", F.coalesce("component_id", "least").alias("component_id")), "components")
+    discard(moved, nodes, roots)
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    hot = F.col("copies") * HOT_SHARE > total
+    common = F.broadcast(named.filter(hot).drop("copies"))
+    rare = prints.join(common.select(key), key, "left_anti").join(named.filter(~hot).drop("copies"), key)
+    return prints.join(common, key).unionByName(rare)
 
 
 #: The near-duplicate stage: segments of a wide fingerprint over distinct words, and their bits.

@@ -319,6 +319,17 @@ def test_edited_maps_move_little():
     assert max(load.values()) <= 1.02 * min(load.values())
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_parts_equal_sql(spark, small, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    found = queries.queries()[name](spark, small)
+    listed = ", ".join(sorted(found.columns))
+    assert sorted(map(tuple, found.select(*sorted(found.columns)).collect())) == sorted(c.sql(f"SELECT {listed} FROM ({queries.oracle_sql()[name]})").fetchall())
+
+
 # Pipeline
 
 
