@@ -349,6 +349,45 @@ def test_pipeline(spark, small, documents):
     assert sum(r.length for r in packed) == sum(n.n for n in packing.pieces(docs, queries.tokenizer_file("word_bpe_49k.json"), 0, 2048).selectExpr("sum(length) n").collect())
 
 
+def test_stages_equal_brute_force(spark, small, documents):
+    """What each filtering stage keeps of its own input, worked out row by row."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    rows = {r.doc_id: r for r in documents.collect()}
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    base = {k for k, r in rows.items() if (n := plain_counts(r.text))[0] >= 50 and 100 * n[4] <= 50 * n[0]}
+    kept = ids(stage["quality"](spark, documents, small))
+    assert kept <= base and kept == {r.doc_id for r in quality.judged(documents).filter("kept").collect()}
+    languages, logs = langid.fit(documents)
+    wanted = set()
+    for k, r in rows.items():
+        cells = langid.buckets_of(langid._points(r.text))
+        if any(c.isalpha() for c in r.text) and langid.posterior(np.sum(logs[cells].astype(float), axis=0), len(cells))[1] >= 0.5:
+            wanted.add(k)
+    assert ids(stage["language"](spark, documents, small)) == wanted
+    sets = {}
+    for k, r in rows.items():
+        w = [x for x in "".join(" " if c in " \t\n\r\v\f" else c.lower() if c.isascii() else c for c in r.text).split(" ") if x]
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    root = {k: k for k in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in rows:
+        for b in rows:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    gone = set(rows) - ids(stage["near_duplicates"](spark, documents, small))
+    same = {k for k in rows if find(k) != k}
+    assert gone <= same and len(gone) >= 0.95 * len(same)
+    clean = {r.doc_id: r.text for r in stage["personal_data"](spark, documents, small).collect()}
+    assert set(clean) == set(rows) and all(clean[k] == r.text for k, r in rows.items() if not pii.base_spans(r.text) and not pii.candidates(r.text, []))
+
+
 def test_pipeline_of_hard_rows(spark, hard, nothing, small):
     import corpus_pipeline
 
