@@ -131,7 +131,7 @@ _BODIES = {
     "list_entities": f"SELECT * FROM v_entity ORDER BY name LIMIT {S.list_limit}",
     "list_entities_by_type": f"SELECT * FROM v_entity WHERE entity_type = 'method' ORDER BY name LIMIT {S.list_limit}",
     "entity_by_name": "SELECT * FROM v_entity WHERE name = (SELECT name FROM v_entity ORDER BY frequency DESC, name LIMIT 1)",
-    "entities_by_category": "SELECT * FROM v_entity WHERE category = 'biological_entities'",
+    "entities_by_category": "SELECT * FROM v_entity WHERE category = 'techniques_and_tools'",
     "top_entities": f"SELECT * FROM v_entity ORDER BY frequency DESC, name LIMIT {S.list_limit}",
     "list_relationships": f"SELECT {_RELATIONSHIP} FROM v_relationship ORDER BY source_entity, target_entity LIMIT {S.list_limit}",
     "list_relationships_by_source": f"SELECT {_RELATIONSHIP} FROM v_relationship SEMI JOIN v_strongest USING (source_entity) ORDER BY source_entity, target_entity LIMIT {S.list_limit}",

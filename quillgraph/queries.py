@@ -143,7 +143,7 @@ def entity_by_name(spark, sf_dir):
 
 @query
 def entities_by_category(spark, sf_dir):
-    return listing.matching(Graph(spark, sf_dir).entities, category="biological_entities")
+    return listing.matching(Graph(spark, sf_dir).entities, category="techniques_and_tools")
 
 
 @query
