@@ -34,6 +34,8 @@ LPC_ORDERS, LPC_BITS, LPC_SHIFT = (2, 4), 10, 7
 #: Bits of a frame that linear prediction must save. Its frames share no patterns with others,
 #: which the compression of the stored table finds in frames of fixed predictors.
 LPC_GAIN = 32
+#: Frames whose linear predictors are worked out at a time.
+_TOGETHER = 4096
 
 
 def _crc_table(bits: int, poly: int) -> np.ndarray:
@@ -123,18 +125,22 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         here = order == o
         residual[here, o:] = u[here].astype(np.int16)
     lpc, coef = np.zeros(lanes, bool), np.zeros((lanes, max(LPC_ORDERS)), np.int64)
-    for o in LPC_ORDERS:
-        q = _coefficients(x, o)
-        guess = sum(q[:, i, None] * x[:, o - 1 - i : BLOCK - 1 - i].astype(np.int64) for i in range(o))
-        e = (x[:, o:] - (guess >> LPC_SHIFT)).astype(np.int16)
-        u = ((e << 1) ^ (e >> 15)).astype(np.uint16)
-        lead = np.clip(np.floor(np.log2(u.mean(1) + 1e-9)), 0, 13).astype(np.int64)
-        for k in (lead, lead + 1):
-            cost = LPC_GAIN + 19 + (SAMPLE_BITS + LPC_BITS) * o + (BLOCK - o) * (k + 1) + (u >> k[:, None].astype(np.uint16)).sum(1, dtype=np.int64)
-            won = cost < np.where(lpc, best, np.minimum(best, SAMPLE_BITS * BLOCK + LPC_GAIN))
-            best, order, rice, lpc = np.where(won, cost, best), np.where(won, o, order), np.where(won, k, rice), lpc | won
-            coef[won, :o] = q[won]
-            residual[won, o:] = u[won].astype(np.int16)
+    for some in (slice(at, at + _TOGETHER) for at in range(0, lanes, _TOGETHER)):
+        y = x[some]
+        for o in LPC_ORDERS:
+            q = _coefficients(y, o)
+            guess = sum(q[:, i, None] * y[:, o - 1 - i : BLOCK - 1 - i].astype(np.int64) for i in range(o))
+            e = (y[:, o:] - (guess >> LPC_SHIFT)).astype(np.int16)
+            u = ((e << 1) ^ (e >> 15)).astype(np.uint16)
+            lead = np.clip(np.floor(np.log2(u.mean(1) + 1e-9)), 0, 13).astype(np.int64)
+            for k in (lead, lead + 1):
+                cost = LPC_GAIN + 19 + (SAMPLE_BITS + LPC_BITS) * o + (BLOCK - o) * (k + 1) + (u >> k[:, None].astype(np.uint16)).sum(1, dtype=np.int64)
+                won = cost < np.where(lpc[some], best[some], np.minimum(best[some], SAMPLE_BITS * BLOCK + LPC_GAIN))
+                best[some], order[some], rice[some] = np.where(won, cost, best[some]), np.where(won, o, order[some]), np.where(won, k, rice[some])
+                lpc[some] |= won
+                mine = np.flatnonzero(won)
+                coef[some.start + mine, :o] = q[mine]
+                residual[some.start + mine, o:] = u[mine].astype(np.int16)
     constant = (x == x[:, :1]).all(1)
     verbatim = ~constant & (best >= SAMPLE_BITS * BLOCK)
     coded = np.flatnonzero(~constant & ~verbatim)
