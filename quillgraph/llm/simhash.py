@@ -243,6 +243,7 @@ CHECK_BITS = 22
 #: blocks of at most so many texts and shingles.
 STAR_ROUNDS, BLOCK_ROWS, BLOCK_SHINGLES = 2, 256, 1 << 21
 _GOLDEN, _MIX = 0x9E3779B97F4A7C15, np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+_BITS_OF_BYTE = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float32)
 _HASH = "__simhash_text"
 
 
@@ -254,15 +255,15 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
 
 def _majority(hashes: np.ndarray, ways: int) -> np.ndarray:
     """For each of 64 * ways bits whether it is set in over half of the hashes; every 64 bits
-    come from another mixing of the hashes."""
-    counts = np.zeros((ways, 64), np.int64)
+    come from another mixing of the hashes. Bits are counted by way of the values of each byte."""
+    counts, turns = np.zeros((ways * 8, 8)), np.array([_GOLDEN * k & (1 << 64) - 1 for k in range(ways)], np.uint64)
     for at in range(0, len(hashes), _WAY):
-        for k in range(ways):
-            z = hashes[at : at + _WAY] + np.uint64(_GOLDEN * k & (1 << 64) - 1)
-            z = (z ^ z >> np.uint64(30)) * _MIX[0]
-            z = (z ^ z >> np.uint64(27)) * _MIX[1]
-            z ^= z >> np.uint64(31)
-            counts[k] += np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        z = hashes[at : at + _WAY, None] + turns
+        z = (z ^ z >> np.uint64(30)) * _MIX[0]
+        z = (z ^ z >> np.uint64(27)) * _MIX[1]
+        z ^= z >> np.uint64(31)
+        cells = z.view(np.uint8).reshape(-1, ways * 8) + 256 * np.arange(ways * 8)
+        counts += np.bincount(cells.ravel(), minlength=ways * 2048).reshape(-1, 256).astype(np.float32) @ _BITS_OF_BYTE
     return (2 * counts > len(hashes)).ravel()
 
 
