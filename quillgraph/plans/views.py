@@ -16,7 +16,7 @@ from quillgraph.config import SETTINGS
 from quillgraph.functions import evidence
 from quillgraph.functions.scalars import TOKEN, tokens
 from quillgraph.schemas import DOCUMENT_STATUS
-from quillgraph.sources.tables import broadcast_if_small, materialized, table
+from quillgraph.sources.tables import broadcast_if_small, materialized, spread, table
 
 
 def _pick(values: tuple[str, ...], number: Column) -> Column:
@@ -42,7 +42,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with contents, numbered as they stand in the text."""
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "content"))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = texts.select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "content"))
     order = (F.col("pos") + 1).cast("int")
     return lines.filter(F.col("content").rlike(r"\S")).select(
         F.concat_ws(":", "document_id", order.cast("string")).alias("_id"),

@@ -19,6 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes a core below which a table is dealt out by rows.
+SMALL_SHARE = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that is small for the cores at hand, dealt out by rows.
+
+    A small file may be one row group and so one task, whatever its texts cost to work on. Scans
+    of more than ``SMALL_SHARE`` bytes a core have splits enough and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_SHARE else df
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder that the driver and all executors share
     (``spark.checkpoint.dir``) and read back, so that what rests on it doesn't compute it again and
