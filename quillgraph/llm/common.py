@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.sources.tables import spread
+
 #: One document in five is held out of every fit.
 FOLDS = 5
 
@@ -27,8 +29,9 @@ def modest_batches(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table; a small one is dealt out to all cores."""
     modest_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
