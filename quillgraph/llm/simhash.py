@@ -239,9 +239,8 @@ SEGMENTS, SEGMENT_BITS = 10, 30
 #: Of 64 bits over the shingles of two texts with a similarity of 0.8, nine or ten differ, in one
 #: case of a hundred thousand more than this. Of texts that share nothing half of the bits do.
 CHECK_BITS = 22
-#: Rounds of links to one member of each key before the pairs left are held against each other in
-#: blocks of at most so many texts and shingles.
-STAR_ROUNDS, BLOCK_ROWS, BLOCK_SHINGLES = 2, 256, 1 << 21
+#: Hubs of more texts than this are compared in blocks of at most so many texts and shingles.
+SMALL_HUB, BLOCK_ROWS, BLOCK_SHINGLES = 32, 256, 1 << 21
 _GOLDEN, _MIX = 0x9E3779B97F4A7C15, np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _BITS_OF_BYTE = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float32)
 _HASH = "__simhash_text"
@@ -291,22 +290,20 @@ def _prints(rows: DataFrame, words: int, segments: int, bits: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, hash long, id_a long, id_b long, size long, check long, segments array<long>")
 
 
-#: Marks keys of whole segments, which hold no other value than theirs.
-_WHOLE = 1 << 55
+def _values(nodes: DataFrame) -> DataFrame:
+    """value, node, size, check: every node under each of its segments."""
+    cut = nodes.select("node", "size", "check", F.posexplode("segments").alias("segment", "cut"))
+    return cut.select(F.expr("shiftleft(cast(segment as bigint), 56) | cut").alias("value"), "node", "size", "check")
 
 
-def _keyed(nodes: DataFrame, bits: int) -> DataFrame:
-    """Every node under its whole segments, and under their values as they are and with each set
-    bit struck out; ``value`` tells a node's whole segment.
+def _keyed(values: DataFrame, bits: int) -> DataFrame:
+    """Every value under itself and with each set bit struck out.
 
     Of two segments that differ in one bit, one holds 0 there and stands under its own value,
     and the other one with its 1 struck out gives that value too.
     """
-    cut = nodes.select("node", "size", "check", F.posexplode("segments").alias("segment", "value"))
-    cut = cut.select("node", "size", "check", F.expr("shiftleft(cast(segment as bigint), 56)").bitwiseOR(F.col("value")).alias("value"))
-    struck = cut.withColumn("bit", F.explode(F.sequence(F.lit(-2), F.lit(bits - 1)))).filter("bit < 0 or (shiftright(value, bit) & 1) = 1")
-    key = F.expr(f"case bit when -2 then value | {_WHOLE}L when -1 then value else value & ~shiftleft(1L, bit) end")
-    return struck.select(key.alias("key"), "value", "node", "size", "check")
+    struck = values.withColumn("bit", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1)))).filter("bit < 0 or (shiftright(value, bit) & 1) = 1")
+    return struck.withColumn("key", F.expr("case when bit < 0 then value else value & ~shiftleft(1L, bit) end")).drop("bit")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, repeats: bool) -> DataFrame:
@@ -325,14 +322,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, repeats: bool) -> Data
 
 
 def _in_reach(similarity: float) -> Column:
-    """What two texts of that similarity fulfil by the sizes of their sets and by fingerprint.
-
-    Texts with the same whole segment meet under that alone: where the first of them by hash is
-    the centre of another key, it has been the centre there too, in this round or before.
-    """
+    """What two texts of that similarity fulfil by the sizes of their sets and by fingerprint."""
     fits = F.least("l.size", "r.size") >= similarity * F.greatest("l.size", "r.size") - 1e-9
-    apart = (F.col("l.value") != F.col("r.value")) | (F.col("l.key").bitwiseAND(F.lit(_WHOLE)) != 0)
-    return apart & fits & (F.bit_count(F.col("l.check").bitwiseXOR(F.col("r.check"))) <= CHECK_BITS) & (F.col("l.label") != F.col("r.label"))
+    return fits & (F.bit_count(F.col("l.check").bitwiseXOR(F.col("r.check"))) <= CHECK_BITS)
 
 
 def _holding(pairs: DataFrame, sets_of, similarity: float) -> DataFrame:
@@ -348,32 +340,33 @@ def _holding(pairs: DataFrame, sets_of, similarity: float) -> DataFrame:
 
 
 def _met_in_blocks(members: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """Links within crowded keys: members are dealt into blocks, each pair of blocks is a task, and
+    """Links within crowded hubs: members are dealt into blocks, each pair of blocks is a task, and
     what it returns is a spanning forest of the links it finds on whole sets, never the pairs."""
     total = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_SHINGLES)
-    blocks = stored(members.groupBy("key").agg(F.ceil(total).cast("int").alias("blocks")), "dedup-blocks")
+    blocks = stored(members.groupBy("hub").agg(F.ceil(total).cast("int").alias("blocks")), "dedup-blocks")
     sets = sets_of(members.select("node").distinct())
-    dealt = members.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "value", "node", "label", "size", "check").join(sets, "node")
+    dealt = members.join(blocks, "hub").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "visits", "node", "label", "size", "check").join(sets, "node")
 
     def meet(table: pa.Table) -> pa.Table:
         col = lambda c: table.column(c).to_numpy()
         node, own, size, check = col("node"), col("own"), col("size"), col("check").astype(np.int64).view(np.uint64)
-        value = col("value") if not col("key")[0] & _WHOLE else node
+        visits = np.array(table.column("visits").to_pylist(), bool)
         sets = [np.asarray(x.values, np.int64) for x in table.column("shingles")]
-        group = {x: x for x in col("label").tolist()}
+        label = col("label").tolist()
+        group = {x: x for x in label}
 
         def root(x):
             while group[x] != x:
                 group[x] = x = group[group[x]]
             return x
 
-        label, out, apart = col("label").tolist(), [], len(set(own.tolist())) > 1
+        out, apart = [], len(set(own.tolist())) > 1
         for a in range(len(node)):
             near = np.bitwise_count(check[a] ^ check) <= CHECK_BITS
             near &= np.minimum(size[a], size) >= similarity * np.maximum(size[a], size) - 1e-9
-            near &= value != value[a]
             near &= (own > own[a]) if apart else (np.arange(len(node)) > a)
+            near &= ~(visits & visits[a])
             for b in np.flatnonzero(near).tolist():
                 if root(label[a]) == root(label[b]):
                     continue
@@ -383,50 +376,61 @@ def _met_in_blocks(members: DataFrame, sets_of, similarity: float) -> DataFrame:
                     group[root(label[a])] = root(label[b])
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    found = stored(dealt.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long"), "dedup-links")
+    found = stored(dealt.groupBy("hub", "i", "j").applyInArrow(meet, "a long, b long"), "dedup-links")
     discard(blocks, sets)
     return found
 
 
 def similar_links(nodes: DataFrame, sets_of, similarity: float, bits: int) -> DataFrame:
     """Links (a, b) between texts whose closure is that of all candidate pairs with at least that
-    Jaccard similarity. Candidates share a key, one segment that differs in a bit at most.
-
-    First every member of a key is held against one other, which joins large groups of copies;
-    pairs that links found before join already need no test; what is left of crowded keys after
-    some rounds is compared in blocks. No candidate is dropped and every link is verified.
+    Jaccard similarity. Candidates share a segment, or have segments that share a key.
+
+    Variants are made of distinct segments and not of texts, so a segment that very many texts
+    share costs no more than another. First, all texts of a segment are held against one of
+    them, and against one text of the segments beside it; that joins large groups of copies. What
+    it leaves apart meets in hubs: the texts of a segment that are not all joined, and visitors
+    from the segments beside it that are not joined to its first text. Pairs that are joined
+    already need no test; no candidate is dropped and every link is verified.
     """
-    keyed = _keyed(nodes, bits)
-    several = stored(keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x != y").select("key"), "dedup-keys")
-    held = stored(keyed.join(hinted(several), "key"), "dedup-members")
-    # Keys with the same members say the same.
-    alike = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in (0, 1)]
-    whole_first = F.min(F.struct(F.col("key").bitwiseAND(F.lit(_WHOLE)) == 0, "key")).alias("best")
-    one = stored(held.groupBy("key").agg(F.count("*").alias("n"), *alike).groupBy("n", "s0", "s1").agg(whole_first).select("best.key"), "dedup-keys")
-    members = stored(held.join(hinted(one), "key").withColumn("label", F.col("node")), "dedup-members")
-    discard(several, held, one)
+    held = _values(nodes)
+    first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "check")).alias("c")
+    values = stored(held.groupBy("value").agg(first, F.count("*").alias("n")), "dedup-values")
+    keyed = _keyed(values.select("value", "c", "n"), bits)
+    several = stored(keyed.groupBy("key").agg(F.min("value").alias("x"), F.max("value").alias("y"), F.sum("n").alias("total"), F.min("c").alias("c")).filter("x != y").select("key", F.col("total").alias("total"), F.col("c").alias("centre")), "dedup-keys")
+    beside = stored(keyed.join(hinted(several), "key").select("key", "value", "c", "total", "centre"), "dedup-beside")
+    own = values.filter("n > 1").select("value", "c.*")
+    across = beside.filter("c.node != centre.node").select("value", "centre.*")
+    stars = stored(own.union(across).select("value", "node", "size", "check").distinct(), "dedup-stars")
     ends = (F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-    found = []
-    for _ in range(STAR_ROUNDS):
-        first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "value", "size", "check", "label")).alias("c")
-        centre = stored(members.groupBy("key").agg(first).select("key", "c.node", "c.value", "c.size", "c.check", "c.label"), "dedup-centres")
-        pairs = members.alias("l").join(centre.alias("r"), (F.col("l.key") == F.col("r.key")) & _in_reach(similarity)).select(*ends)
-        found.append(_holding(pairs, sets_of, similarity))
-        roots = components(reduce(DataFrame.union, found))
-        # The centres have been held against all others of their keys.
-        left = members.join(centre.select("key", "node"), ["key", "node"], "left_anti").drop("label")
-        left = left.join(hinted(roots.select("node", F.col("root").alias("label"))), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        left = stored(left.select("key", "value", "node", "size", "check", "label"), "dedup-members")
-        open_ = stored(left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key"), "dedup-keys")
-        discard(members, centre, roots)
-        members = stored(left.join(hinted(open_), "key"), "dedup-members")
-        discard(left, open_)
-        if members.isEmpty():
-            break
-    else:
-        found.append(_met_in_blocks(members, sets_of, similarity))
+    pairs = held.alias("l").join(hinted(stars).alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("l.node") != F.col("r.node")) & _in_reach(similarity)).select(*ends)
+    found = [_holding(pairs, sets_of, similarity)]
+    roots = components(found[0])
+
+    # Keys of two texts are done. Of the others: what do the texts of a segment belong to?
+    open_ = beside.filter("total > 2").select("key", "value").distinct()
+    crowds = stored(open_.select("value").union(values.filter("n > 2").select("value")).distinct(), "dedup-crowds")
+    labelled = held.join(hinted(crowds), "value").join(hinted(roots.select("node", F.col("root").alias("label"))), "node", "left")
+    labelled = stored(labelled.select("value", "node", "size", "check", F.coalesce("label", "node").alias("label")), "dedup-labels")
+    told = labelled.groupBy("value").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "label")).alias("m"), F.min("label").alias("x"), F.max("label").alias("y"))
+    told = stored(told.select("value", F.col("m.label").alias("main"), (F.col("x") != F.col("y")).alias("mixed")), "dedup-told")
+    sides = stored(open_.join(hinted(told), "value"), "dedup-sides")
+    unlike = F.col("l.main") != F.col("r.main")
+    apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.value") != F.col("r.value")) & ((unlike & (F.col("l.value") < F.col("r.value"))) | (~unlike & F.col("r.mixed")))
+    visits = sides.alias("l").join(sides.alias("r"), apart).select(F.col("l.value").alias("hub"), F.col("l.main").alias("main"), F.col("r.value").alias("value"), unlike.alias("all")).distinct()
+    visits = stored(visits, "dedup-visits")
+    guests = labelled.join(hinted(visits), "value").filter("all or label != main").select("hub", F.lit(True).alias("visits"), "node", "size", "check", "label")
+    hubs = stored(visits.select(F.col("hub").alias("value")).union(told.filter("mixed").select("value")).distinct(), "dedup-hubs")
+    hosts = labelled.join(hinted(hubs), "value").select(F.col("value").alias("hub"), F.lit(False).alias("visits"), "node", "size", "check", "label")
+    members = stored(hosts.union(guests).distinct(), "dedup-members")
+    counts = stored(members.groupBy("hub").agg(F.count("*").alias("n")), "dedup-counts")
+    small = members.join(hinted(counts.filter(F.col("n") <= SMALL_HUB).select("hub")), "hub")
+    strangers = (F.col("l.hub") == F.col("r.hub")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label")) & ~(F.col("l.visits") & F.col("r.visits"))
+    found.append(_holding(small.alias("l").join(small.alias("r"), strangers & _in_reach(similarity)).select(*ends), sets_of, similarity))
+    large = stored(members.join(hinted(counts.filter(F.col("n") > SMALL_HUB).select("hub")), "hub"), "dedup-large")
+    if not large.isEmpty():
+        found.append(_met_in_blocks(large, sets_of, similarity))
     links = stored(reduce(DataFrame.union, found).distinct(), "dedup-links")
-    discard(members, *found)
+    discard(values, several, beside, stars, roots, crowds, labelled, told, sides, visits, hubs, members, counts, large, *found)
     return links
 
 
