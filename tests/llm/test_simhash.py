@@ -184,7 +184,6 @@ def test_recall_of_links_at_scale_of_texts():
 def test_crowd_at_the_edge_of_similarity(spark, monkeypatch):
     """Many variants of one text, whose pairs lie on both sides of 0.8: no link is replaced by another that fails."""
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(simhash, "SMALL_HUB", 6)
     rng = np.random.default_rng(7)
     base, by_id = _prose(rng, 300), {}
     for k in range(90):
