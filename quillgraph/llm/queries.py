@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, bpe, flac, langid, packing, pii, quality, sharding, simhash, toxicity
+from . import bitplanes, bpe, flac, langid, packing, pii, quality, resampling, sharding, simhash, toxicity
 from .common import documents, held_out, stored
 
 #: Ends of documents in the two vocabularies that the queries use.
@@ -71,6 +71,11 @@ def op10_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op7 that SQL can express: counts and base rules of every whole text."""
     found = quality.counted(documents(spark, sf_dir), ("doc_id",)).withColumn("base_failed", quality.base_failed())
@@ -88,7 +93,7 @@ def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_contextual_pii, op3_flac_media, op4_bitplane_tokens, op5_naive_bayes_language, op6_toxic_segments, op7_robust_outliers, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking, quality_base, shard_balance)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_contextual_pii, op3_flac_media, op4_bitplane_tokens, op5_naive_bayes_language, op6_toxic_segments, op7_robust_outliers, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking, op11_importance_resampling, quality_base, shard_balance)}
 
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -103,7 +108,23 @@ _QUALITY_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_
     FROM d LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id)"""
 _SHARD_SQL = """SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, CAST(8 AS BIGINT) AS shards, true AS gapless, true AS near_equal FROM documents"""
 
+#: Bucket counts over distinct words; CRC-32 by its table of 256 values, made from the polynomial.
+_RESAMPLING_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    c AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b))),
+    w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM d),
+    u AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+    y AS (SELECT word, hex(word) AS h FROM (SELECT word FROM w UNION SELECT word FROM u)),
+    b AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM y, c),
+    s AS (SELECT bucket, count(*) AS n FROM w JOIN b USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM u JOIN b USING (word) GROUP BY bucket),
+    a AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t_all),
+    g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000) / ((s.n + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), a),
+    f AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM w JOIN b USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+    r AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN f USING (doc_id)),
+    k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM r WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM k) // 100 THEN place END AS rank FROM r LEFT JOIN k USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of what SQL can express; the operators' own queries are held against brute force."""
-    return {"quality_base": _QUALITY_SQL, "shard_balance": _SHARD_SQL}
+    return {"quality_base": _QUALITY_SQL, "shard_balance": _SHARD_SQL, "op11_importance_resampling": _RESAMPLING_SQL}
