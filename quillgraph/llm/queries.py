@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, bpe, flac, langid, packing, pii, quality, resampling, sharding, simhash, toxicity
+from . import alignment, bitplanes, bpe, flac, langid, packing, pii, quality, resampling, sharding, simhash, toxicity
 from .common import documents, held_out, stored
 
 #: Ends of documents in the two vocabularies that the queries use.
@@ -76,6 +76,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op7 that SQL can express: counts and base rules of every whole text."""
     found = quality.counted(documents(spark, sf_dir), ("doc_id",)).withColumn("base_failed", quality.base_failed())
@@ -93,7 +97,7 @@ def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_contextual_pii, op3_flac_media, op4_bitplane_tokens, op5_naive_bayes_language, op6_toxic_segments, op7_robust_outliers, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking, op11_importance_resampling, quality_base, shard_balance)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_contextual_pii, op3_flac_media, op4_bitplane_tokens, op5_naive_bayes_language, op6_toxic_segments, op7_robust_outliers, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking, op11_importance_resampling, op12_token_alignment, quality_base, shard_balance)}
 
 
 _WORD = r"'[^\x20\x09-\x0D]+'"

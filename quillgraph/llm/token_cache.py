@@ -148,9 +148,10 @@ class ChunkEncoder:
         return out
 
 
-@lru_cache(1)
-def library_encoder(path: str) -> ChunkEncoder:
+@lru_cache(2)
+def library_encoder(path: str, plain: bool = False) -> ChunkEncoder:
     """A ChunkEncoder over a file of the tokenizers library, truncation and padding unused.
+    ``plain``: names of special tokens within a text are text as any other.
 
     It is kept for the later tasks of the same worker.
     """
@@ -162,6 +163,7 @@ def library_encoder(path: str) -> ChunkEncoder:
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
+    model.encode_special_tokens = plain
     byte_level = "ByteLevel" in str(model.pre_tokenizer) and model.normalizer is None
     spelled = model.get_vocab(with_added_tokens=True)
     suffix = getattr(model.model, "end_of_word_suffix", None)
