@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bitplanes, bpe, flac, langid, packing, pii, quality, resampling, sharding, simhash, toxicity
+from . import alignment, bitplanes, bpe, flac, langid, packing, pii, quality, resampling, sharding, simhash, topk, toxicity
 from .common import documents, held_out, stored
 
 #: Ends of documents in the two vocabularies that the queries use.
@@ -80,6 +80,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_exact_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op7 that SQL can express: counts and base rules of every whole text."""
     found = quality.counted(documents(spark, sf_dir), ("doc_id",)).withColumn("base_failed", quality.base_failed())
@@ -97,7 +101,7 @@ def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_contextual_pii, op3_flac_media, op4_bitplane_tokens, op5_naive_bayes_language, op6_toxic_segments, op7_robust_outliers, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking, op11_importance_resampling, op12_token_alignment, quality_base, shard_balance)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_contextual_pii, op3_flac_media, op4_bitplane_tokens, op5_naive_bayes_language, op6_toxic_segments, op7_robust_outliers, op8_virtual_slots, op9_genetic_packing, op10_bpe_backtracking, op11_importance_resampling, op12_token_alignment, op13_exact_top_products, quality_base, shard_balance)}
 
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -128,7 +132,12 @@ _RESAMPLING_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM d
     k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM r WHERE n_features >= 20)
     SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM k) // 100 THEN place END AS rank FROM r LEFT JOIN k USING (doc_id)"""
 
+_PRODUCTS_SQL = """WITH w AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT q.vec_id AS query_id, w.vec_id, list_inner_product(q.v, w.v)::BIGINT AS score FROM w JOIN w q ON q.vec_id % 50 = 0 AND len(q.v) = len(w.v) AND (q.vec_id <> w.vec_id OR q.v <> w.v))
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p QUALIFY rank <= 5"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of what SQL can express; the operators' own queries are held against brute force."""
-    return {"quality_base": _QUALITY_SQL, "shard_balance": _SHARD_SQL, "op11_importance_resampling": _RESAMPLING_SQL}
+    return {"quality_base": _QUALITY_SQL, "shard_balance": _SHARD_SQL, "op11_importance_resampling": _RESAMPLING_SQL, "op13_exact_top_products": _PRODUCTS_SQL}
