@@ -42,10 +42,12 @@ class ChunkEncoder:
     None: chunks tell nothing, texts are encoded whole.
     ``encode_words``, if given, encodes many words of letters at once: it takes the words and
     what stands between them, and returns their packed ids, or None if they can't be told apart.
+    ``normalized`` is what the model makes of a string first: a letter may become a letter and a
+    mark, and the mark goes with the punctuation behind it.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], blanks_count: bool | None, encode_words: Callable[[list[str], str], list[Ids] | None] | None = None):
-        self.encode_many, self.encode_words = encode_many, encode_words
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], blanks_count: bool | None, encode_words: Callable[[list[str], str], list[Ids] | None] | None = None, normalized: Callable[[str], str] = str):
+        self.encode_many, self.encode_words, self.normalized = encode_many, encode_words, normalized
         self.blanks_count = blanks_count
         self.known: dict[str, Ids | None] = {}
         self.marks: dict[str, Ids] = {}
@@ -61,7 +63,7 @@ class ChunkEncoder:
         for c in new:
             if c.isalpha():
                 words.append(c)
-            elif (stem := c.rstrip(string.punctuation)).isalpha():
+            elif (stem := c.rstrip(string.punctuation)).isalpha() and (stem.isascii() or self.normalized(stem).isalpha()):
                 marked.append((c, stem, c[len(stem) :]))
             elif c and (c[0].isspace() or c[-1].isspace()):
                 known[key + c] = None  # its text is encoded whole
@@ -198,4 +200,4 @@ def library_encoder(path: str, plain: bool = False) -> ChunkEncoder:
             out += [blob[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
         return out
 
-    return ChunkEncoder(encode_many, byte_level, encode_words)
+    return ChunkEncoder(encode_many, byte_level, encode_words, str if byte_level else model.normalizer.normalize_str)

@@ -41,6 +41,21 @@ def test_chunks_equal_whole_texts(name, texts):
     assert library_encoder(tokenizer_file(name)).encode(texts) == whole
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_every_letter_before_every_mark(name):
+    """Letters that become a letter and a mark when normalised, and all others, before ASCII marks."""
+    letters = [chr(k) for k in range(0x80, 0x2FA20) if chr(k).isalpha() and not 0xD800 <= k < 0xE000 and not 0x3400 <= k < 0x9FF0 and not 0xAC00 <= k < 0xD7A0]
+    letters += [chr(k) for k in (0x3400, 0x4E00, 0x9FEF, 0xAC00, 0xAC01, 0xD7A3)]
+    marks, rnd = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", random.Random(1)
+    cases = [c + rnd.choice(marks) for c in letters] + ["a" + c + rnd.choice(marks) * 2 for c in letters]
+    cases += [c + m for c in "İŉǰΐẖẗẘẙẚՙক়খড়ঢ়য়שׁשּאַיִﭏ" + "".join(map(chr, [*range(0x958, 0x960), *range(0x9DC, 0x9E0), *range(0xFB1D, 0xFB4F)])) for m in marks]
+    whole = [np.array(e.ids, "<u4").tobytes() for e in MODELS[name].encode_batch(cases, add_special_tokens=False)]
+    found = library_encoder(tokenizer_file(name)).encode(cases)
+    assert [c for c, a, b in zip(cases, found, whole) if a != b] == []
+    together = " ".join(cases)
+    assert library_encoder(tokenizer_file(name)).encode([together]) == [np.array(MODELS[name].encode(together, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_other_kinds_of_models_get_whole_texts(tmp_path):
     """A cased word-level model: ids equal those of the library."""
     from tokenizers import models, pre_tokenizers
