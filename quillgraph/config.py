@@ -17,10 +17,10 @@ class Settings:
     min_strength: float = 0.5
     vector_candidates: int = 40
     default_title: str = "Untitled Document"
-    # Choices: what counts as an entity, how near two must stand, and BM25.
+    # Choices: what counts as an entity and as a relationship, and BM25.
     entity_letters: int = 8
     entity_documents: int = 5
-    reach: int = 4
+    relationship_floor: float = 0.25
     path_seeds: int = 10
     bm25_k1: float = 1.2
     bm25_b: float = 0.75

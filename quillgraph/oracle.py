@@ -41,14 +41,15 @@ _VIEWS = {
     "v_entity": f"""SELECT name, entity_type, {_CATEGORY} AS category, frequency, n_sections FROM (SELECT name, {_TYPE} AS entity_type,
         count(DISTINCT document_id) AS frequency, count(*) AS n_sections FROM v_mention GROUP BY name HAVING count(DISTINCT document_id) >= {S.entity_documents})""",
     "v_cue": f'SELECT document_id, "order", {_CUED} FROM (SELECT document_id, "order", {_TOKENS} AS words FROM v_section)',
-    "v_known": """SELECT m.*, row_number() OVER (PARTITION BY document_id, "order" ORDER BY place) AS rk FROM v_mention m SEMI JOIN v_entity USING (name)""",
-    "v_pair": f"""SELECT DISTINCT a.document_id, a."order", least(a.name, b.name) AS source_entity, greatest(a.name, b.name) AS target_entity
-        FROM v_known a JOIN v_known b ON a.document_id = b.document_id AND a."order" = b."order" AND b.rk - a.rk BETWEEN 1 AND {S.reach}""",
+    "v_known": "SELECT m.* FROM v_mention m SEMI JOIN v_entity USING (name)",
+    "v_pair": """SELECT a.document_id, a."order", a.name AS source_entity, b.name AS target_entity
+        FROM v_known a JOIN v_known b ON a.document_id = b.document_id AND a."order" = b."order" AND a.name < b.name""",
     "v_together": f"""SELECT source_entity, target_entity, count(*) AS n_together, {", ".join(f"sum(cue{k}) AS cue{k}" for k in range(len(CUES)))}
         FROM v_pair JOIN v_cue USING (document_id, "order") GROUP BY source_entity, target_entity""",
     "v_relationship": f"""SELECT source_entity, target_entity, {_KIND} AS relationship_type,
         n_together / (s.n_sections + t.n_sections - n_together) AS strength, n_together, s.n_sections + t.n_sections - n_together AS n_either
-        FROM v_together JOIN v_entity s ON s.name = source_entity JOIN v_entity t ON t.name = target_entity""",
+        FROM v_together JOIN v_entity s ON s.name = source_entity JOIN v_entity t ON t.name = target_entity
+        WHERE n_together / (s.n_sections + t.n_sections - n_together) >= {S.relationship_floor}""",
     "v_edge": f"""SELECT source_entity, target_entity, strength FROM v_relationship WHERE strength >= {S.min_strength}
         UNION ALL SELECT target_entity, source_entity, strength FROM v_relationship WHERE strength >= {S.min_strength}""",
     "v_strongest": "SELECT source_entity, target_entity FROM v_relationship ORDER BY strength DESC, source_entity, target_entity LIMIT 1",

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.config import SETTINGS
 from quillgraph.functions import evidence
 from quillgraph.functions.scalars import TOKEN, tokens
+from quillgraph.operators.setjoin import similar_sets
 from quillgraph.schemas import DOCUMENT_STATUS
 from quillgraph.sources.tables import broadcast_if_small, materialized, spread, table
 
@@ -55,8 +56,8 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(sections: DataFrame) -> DataFrame:
-    """Distinct long words of each section, the place where each first stands, and the section's
-    cue words for kinds of relationships."""
+    """Distinct long words of each section, the place where each first stands among them, and the
+    section's cue words for kinds of relationships."""
     cut = sections.select("document_id", "order", tokens(F.col("content")).alias("words"))
     long = F.filter("words", lambda t: F.length(t) >= SETTINGS.entity_letters)
     return cut.select("document_id", "order", evidence.cue_bits(F.col("words")).alias("cues"), F.posexplode(F.array_distinct(long)).alias("place", "name"))
@@ -94,27 +95,20 @@ def entity_records(entities: DataFrame, aliases: DataFrame, mentions: DataFrame)
     return both.select("name", "entity_type", "category", F.coalesce("aliases", none).alias("aliases"), "frequency", about.alias("description"), "first_document", "most_sections")
 
 
-def relationships(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """Pairs of entities that stand within SETTINGS.reach of each other in some section.
+def relationships(mentions: DataFrame, entities: DataFrame, floor: float = SETTINGS.relationship_floor) -> DataFrame:
+    """Pairs of entities whose sets of sections have a Jaccard similarity, the strength, of at
+    least ``floor``; all of them, wherever the two stand in their sections.
 
-    Strength is the share of the sections with either in which they stand near each other.
-    The number of pairs grows with the length of a section, not with its square. ``entities`` is
-    a stored table; its names are broadcast after a check of their bytes.
+    ``mentions`` and ``entities`` are stored tables; names are broadcast after a check of their
+    bytes.
     """
-    small = broadcast_if_small(entities.select("name", "n_sections"))
-    known = mentions.join(small.select("name"), "name")
-    section = Window.partitionBy("document_id", "order").orderBy("place")
-    following = F.array(*[F.lead("name", k).over(section) for k in range(1, SETTINGS.reach + 1)])
-    near = known.select("document_id", "order", "cues", "name", following.alias("others"))
-    near = near.select("document_id", "order", "cues", "name", F.explode("others").alias("other")).filter("other is not null")
-    pair = near.select("document_id", "order", "cues", F.least("name", "other").alias("source_entity"), F.greatest("name", "other").alias("target_entity")).distinct()
-    told = [F.sum(F.expr(f"shiftright(cues, {k}) & 1")).alias(f"cue{k}") for k in range(len(evidence.CUES))]
-    together = pair.groupBy("source_entity", "target_entity").agg(F.count("*").alias("n_together"), *told)
-    of = lambda s: small.select(F.col("name").alias(f"{s}_entity"), F.col("n_sections").alias(f"n_{s}"))
-    both = together.join(of("source"), "source_entity").join(of("target"), "target_entity")
-    either = F.col("n_source") + F.col("n_target") - F.col("n_together")
-    kind = evidence.relationship_type([F.col(f"cue{k}") for k in range(len(evidence.CUES))], F.col("source_entity"), F.col("target_entity"))
-    return both.select("source_entity", "target_entity", kind.alias("relationship_type"), (F.col("n_together") / either).alias("strength"), "n_together", either.alias("n_either"))
+    known = mentions.join(broadcast_if_small(entities.select("name")), "name")
+    bits = [F.expr(f"shiftright(cues, {k}) & 1").alias(f"cue{k}") for k in range(len(evidence.CUES))]
+    postings = materialized(known.select("name", "document_id", "order", *bits), "mentions-of-entities")
+    both = similar_sets(postings, floor, sums=tuple(f"cue{k}" for k in range(len(evidence.CUES))))
+    either = F.col("n_a") + F.col("n_b") - F.col("n_together")
+    kind = evidence.relationship_type([F.col(f"cue{k}") for k in range(len(evidence.CUES))], F.col("a"), F.col("b"))
+    return both.select(F.col("a").alias("source_entity"), F.col("b").alias("target_entity"), kind.alias("relationship_type"), (F.col("n_together") / either).alias("strength"), "n_together", either.alias("n_either"))
 
 
 def edges(relationships: DataFrame, min_strength: float = SETTINGS.min_strength) -> DataFrame:
