@@ -22,6 +22,8 @@ class Settings:
     entity_documents: int = 5
     relationship_floor: float = 0.25
     path_seeds: int = 10
+    range_sections: int = 2048
+    seed_ranges: int = 4
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
 

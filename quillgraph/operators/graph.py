@@ -64,3 +64,22 @@ def provenance(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Where each entity was found, a row for each document: sections and the first of them."""
     by_document = mentions.groupBy("name", "document_id").agg(F.count("*").alias("n_sections"), F.min("order").alias("first_order"))
     return by_document.join(entities.select("name"), "name", "left_semi")
+
+
+def path_records(paths: DataFrame, entities: DataFrame, relationships: DataFrame) -> DataFrame:
+    """``paths`` (path, total_strength) with the entities on each and the relationships between
+    them, in the order of the path: path, entities, relationships, total_strength.
+
+    Each node and each step is looked up on its own and put back by its place; a step may go along
+    a relationship in either direction.
+    """
+    numbered = paths.select("path", "total_strength")
+    about = F.struct("at", "name", "entity_type", "category", "frequency")
+    nodes = numbered.select("path", F.posexplode("path").alias("at", "name")).join(entities, "name")
+    nodes = nodes.groupBy("path").agg(F.array_sort(F.collect_set(about)).alias("entities"))
+    walked = numbered.select("path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("at"))
+    ends = (F.element_at("path", F.col("at")), F.element_at("path", F.col("at") + 1))
+    walked = walked.select("path", "at", F.least(*ends).alias("source_entity"), F.greatest(*ends).alias("target_entity"))
+    step = F.struct("at", "source_entity", "target_entity", "relationship_type", "strength")
+    steps = walked.join(relationships, ["source_entity", "target_entity"]).groupBy("path").agg(F.array_sort(F.collect_set(step)).alias("relationships"))
+    return numbered.join(nodes, "path").join(steps, "path").select("path", "entities", "relationships", "total_strength")

@@ -75,6 +75,12 @@ _VIEWS = {
     "v_asize": "SELECT (SELECT count(*) FROM v_about) AS n, (SELECT sum(len) FROM v_alen) / (SELECT count(*) FROM v_about) AS mean",
     "v_atf": "SELECT document_id, name, count(*) AS tf FROM v_aterm SEMI JOIN v_term USING (name) GROUP BY ALL",
     "v_adf": "SELECT name, count(*) AS df FROM v_atf GROUP BY ALL",
+    "v_ask": "SELECT conv_id || ':' || turn AS query_id, text AS query FROM conversations WHERE role = 'user'",
+    "v_aword": r"SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS name FROM v_ask",
+    "v_count": 'SELECT document_id, "order", name, count(*) AS tf FROM v_token SEMI JOIN v_aword USING (name) GROUP BY ALL',
+    "v_asked": f"""SELECT query_id, document_id || ':' || "order" AS section_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * {S.bm25_k1 + 1}) / (tf + {S.bm25_k1} * (1 - {S.bm25_b} + {S.bm25_b} * len / mean))) AS relevance_score
+        FROM v_aword JOIN v_count USING (name) JOIN (SELECT name, count(*) AS df FROM v_count GROUP BY ALL) USING (name) JOIN v_length USING (document_id, "order"), v_size GROUP BY ALL""",
+    "v_best": f"""SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(relevance_score, 9) DESC, section_id) AS INTEGER) AS place FROM v_asked QUALIFY place <= {S.max_results}""",
     "v_upload": f"""SELECT CASE WHEN source = 'src7' THEN '' ELSE 'file' || doc_id || {_pick((".pdf", ".txt", ".docx", ".PDF", ".exe"), "doc_id")} END AS filename, n_chars * 20000 AS file_size FROM documents""",
     "v_checked": rf"""SELECT *, CASE WHEN NOT regexp_matches(filename, '\.(pdf|txt|docx)$') THEN 'bad_type' WHEN file_size > {S.max_upload_bytes} THEN 'too_large' END AS reason FROM v_upload""",
     "v_toxic": "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS _id FROM labels WHERE toxic = 1",
@@ -96,7 +102,8 @@ def _walk(seed: str, hops: int, prefix: str) -> dict[str, str]:
     return out
 
 
-_VIEWS |= _walk("v_node", 3, "v_walk") | _walk("v_seed", 3, "v_found")
+_VIEWS["v_hub"] = f"SELECT name FROM v_degree ORDER BY degree DESC, name LIMIT {S.path_seeds}"
+_VIEWS |= _walk("v_node", 3, "v_walk") | _walk("v_seed", 3, "v_found") | _walk("v_hub", 2, "v_spoke")
 _VIEWS["v_path"] = f"""SELECT array_to_string(path, ' → ') AS path, total_strength FROM ({" UNION ALL ".join(f"SELECT * FROM v_found{k}" for k in (1, 2, 3))})
     ORDER BY round(total_strength, 9) DESC, path LIMIT {S.max_results}"""
 
@@ -182,6 +189,12 @@ _BODIES = {
     "search_sources": """SELECT document_id, title AS document_title, v_top._id AS section_id, section_type, content, round(relevance_score, 6) AS relevance_score, doi
         FROM v_top JOIN v_document d ON d._id = document_id""",
     "search_graph_paths": "SELECT path, round(total_strength, 6) AS total_strength FROM v_path",
+    "search_many": "SELECT query_id, section_id, round(relevance_score, 6) AS relevance_score, place FROM v_best",
+    "graph_path_records": """SELECT array_to_string(path, ' → ') AS path, a.entity_type || '|' || b.entity_type || '|' || c.entity_type AS entity_types, r.relationship_type || '|' || s.relationship_type AS relationship_types,
+        format('{:.4f}', r.strength) || '|' || format('{:.4f}', s.strength) AS strengths, round(total_strength, 6) AS total_strength FROM v_spoke2
+        JOIN v_entity a ON a.name = path[1] JOIN v_entity b ON b.name = path[2] JOIN v_entity c ON c.name = path[3]
+        JOIN v_relationship r ON r.source_entity = least(path[1], path[2]) AND r.target_entity = greatest(path[1], path[2])
+        JOIN v_relationship s ON s.source_entity = least(path[2], path[3]) AND s.target_entity = greatest(path[2], path[3])""",
     "search_response": _RESPONSE + """(SELECT count(*) FROM v_path) AS n_paths,
         (SELECT coalesce(string_agg(path, '; ' ORDER BY round(total_strength, 9) DESC, path), '') FROM v_path) AS paths FROM v_question""",
     "search_no_graph": _RESPONSE + "CAST(0 AS BIGINT) AS n_paths, '' AS paths FROM v_question",

@@ -1,12 +1,13 @@
 """The document graph derived from the plain tables: documents, sections, entities, edges.
 
 The definitions of entities, their types and the strength of relationships are choices of this
-engine. Each view is a lazy plan; only what relationships rest on, the mentions and entities, is
-stored once, so that texts are read and cut into words once.
+engine. Each view is a plan; ``Graph`` stores what is derived from texts once, so that texts are
+read and cut into words once whatever is asked afterwards.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from quillgraph.config import SETTINGS
 from quillgraph.functions import evidence
 from quillgraph.functions.scalars import TOKEN, tokens
+from quillgraph.operators.graph import section_documents
 from quillgraph.operators.setjoin import similar_sets
+from quillgraph.operators.text_index import TextIndex
 from quillgraph.schemas import DOCUMENT_STATUS
-from quillgraph.sources.tables import broadcast_if_small, materialized, spread, table
+from quillgraph.sources.tables import broadcast_if_small, file_state, kept, materialized, spread, table
 
 
 def _pick(values: tuple[str, ...], number: Column) -> Column:
@@ -118,31 +121,67 @@ def edges(relationships: DataFrame, min_strength: float = SETTINGS.min_strength)
     return relationships.filter(F.col("strength") >= min_strength).select(both.alias("way"), "strength").select("way.*", "strength")
 
 
+def stored_sections(sections: DataFrame, documents: DataFrame) -> DataFrame:
+    """The section collection: sections with title and DOI of their documents, in the order of
+    their ids within files, so that a lookup of ids skips row groups."""
+    return section_documents(sections, documents).sortWithinPartitions("_id")
+
+
 class Graph:
-    """All views over one set of tables, or over other documents and sections than theirs."""
+    """The collections over one set of tables, or over other documents and sections than theirs.
+
+    Documents are a view. What is derived from texts (sections, mentions, entities, relationships,
+    edges, the text index) is stored when first asked for; over given tables it is stored once for
+    as long as their files stay the same.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, documents_: DataFrame | None = None, sections_: DataFrame | None = None):
+        self.spark, own = spark, documents_ is None and sections_ is None
+        self.state = file_state(spark, f"{sf_dir}/documents.parquet") if own else None
+        self.table = table(spark, sf_dir, "documents")
         self.documents = documents(spark, sf_dir) if documents_ is None else documents_
         self.sections = sections(spark, sf_dir) if sections_ is None else sections_
-        self.mentions = mentions(self.sections)
-        self.entities = entities(self.mentions)
+
+    def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return kept(self.spark, self.state, name, build) if self.state else materialized(build(), name)
+
+    @cached_property
+    def collection(self) -> DataFrame:
+        return self._stored("sections", lambda: stored_sections(self.sections, self.documents))
 
     @cached_property
+    def mentions(self) -> DataFrame:
+        return self._stored("mentions", lambda: mentions(self.sections))
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        return self._stored("entities", lambda: entities(self.mentions))
+
+    @property
     def linked(self) -> tuple[DataFrame, DataFrame]:
-        """Mentions and entities, stored: one scan of the documents for all that follows."""
-        self.mentions = materialized(self.mentions, "mentions")
-        self.entities = materialized(entities(self.mentions), "entities")
         return self.mentions, self.entities
 
     @cached_property
     def relationships(self) -> DataFrame:
+        """The plan of the relationships; ``related`` is what it gives, stored."""
         return relationships(*self.linked)
 
+    @cached_property
+    def related(self) -> DataFrame:
+        return self._stored("relationships", lambda: self.relationships)
+
     @cached_property
     def edges(self) -> DataFrame:
-        return edges(self.relationships)
+        """Strong relationships in both directions."""
+        return self._stored("edges", lambda: edges(self.related))
 
-    def stored_edges(self) -> DataFrame:
-        """The edges, stored for plans that walk along them several times."""
-        self.edges = materialized(edges(self.relationships), "edges")
-        return self.edges
+    @cached_property
+    def index(self) -> TextIndex:
+        """The inverted index of the sections."""
+        return TextIndex.of(self.sections.select("_id", "content"), self._stored)
+
+    @cached_property
+    def abstracts(self) -> TextIndex:
+        """The inverted index of titles and abstracts."""
+        text = self.documents.select("_id", F.concat_ws(" ", "title", "abstract").alias("content"))
+        return TextIndex.of(text, self._stored, "abstract")

@@ -40,18 +40,32 @@ def _rounded(df: DataFrame, *fields: str) -> DataFrame:
 
 def _strongest(g: Graph) -> tuple[str, str]:
     """Ends of the strongest relationship, for the lookups by end."""
-    row = listing.top_relationships(g.relationships, 1).select("source_entity", "target_entity").first()
+    row = listing.top_relationships(g.related, 1).select("source_entity", "target_entity").first()
     return (row[0], row[1]) if row else ("", "")
 
 
-def _question(spark: SparkSession, sf_dir: str) -> str:
+def _question(g: Graph) -> str:
     """The first opening line of 8 to 30 words, by document id, serves as the question."""
-    line = F.substring_index("text", "\n", 1)
-    lines = table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
-    row = lines.filter(F.size(F.split("line", " ")).between(8, 30)).agg(F.min_by("line", "doc_id")).first()
+    line = F.substring_index(F.col("text"), "\n", 1)
+    lines = g.table.select("doc_id", line.alias("line")).filter(F.size(F.split("line", " ")).between(8, 30))
+    row = g._stored("question", lambda: lines.agg(F.min_by("line", "doc_id").alias("query"))).first()
     return row[0] or ""
 
 
+def _asked(g: Graph) -> DataFrame:
+    return g.spark.createDataFrame([(0, _question(g))], "query_id int, query string")
+
+
+def _best(g: Graph, n: int = SETTINGS.max_results) -> DataFrame:
+    return retrieval.indexed_sections(g.index, g.collection, _question(g), n)
+
+
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users ask in conversations: query_id and query."""
+    said = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return said.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+
+
 def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads to check: names with all kinds of endings, some missing, some very large files."""
     suffix = _pick((".pdf", ".txt", ".docx", ".PDF", ".exe"), F.col("doc_id"))
@@ -63,24 +77,10 @@ def _marked(spark: SparkSession, sf_dir: str, mark: str, value: int) -> DataFram
     return table(spark, sf_dir, "labels").filter(F.col(mark) == value).select(F.col("doc_id").cast("string").alias("_id")).distinct()
 
 
-def _linked(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph with its edges stored, for queries that read them again."""
-    g = Graph(spark, sf_dir)
-    g.stored_edges()
-    return g
-
-
-def _related(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph with its relationships stored, for queries that look into them first."""
-    g = Graph(spark, sf_dir)
-    g.relationships = materialized(g.relationships, "relationships")
-    return g
-
-
 def _claims(g: Graph) -> DataFrame:
     """Relationships as an extractor might claim them: strengths out of range, unknown types."""
     kind = _pick((*RELATIONSHIP_TYPE, "resembles"), F.length("source_entity") + F.length("target_entity"))
-    return g.relationships.select("source_entity", "target_entity", kind.alias("relationship_type"), (F.col("strength") * 1.5 - 0.05).alias("strength"))
+    return g.related.select("source_entity", "target_entity", kind.alias("relationship_type"), (F.col("strength") * 1.5 - 0.05).alias("strength"))
 
 
 # Scans, lookups, listings
@@ -153,41 +153,41 @@ def top_entities(spark, sf_dir):
 
 @query
 def list_relationships(spark, sf_dir):
-    return _rounded(listing.list_relationships(Graph(spark, sf_dir).relationships), "strength")
+    return _rounded(listing.list_relationships(Graph(spark, sf_dir).related), "strength")
 
 
 @query
 def list_relationships_by_source(spark, sf_dir):
-    g = _related(spark, sf_dir)
-    return _rounded(listing.list_relationships(g.relationships, source_entity=_strongest(g)[0]), "strength")
+    g = Graph(spark, sf_dir)
+    return _rounded(listing.list_relationships(g.related, source_entity=_strongest(g)[0]), "strength")
 
 
 @query
 def list_relationships_by_target(spark, sf_dir):
-    g = _related(spark, sf_dir)
-    return _rounded(listing.list_relationships(g.relationships, target_entity=_strongest(g)[1]), "strength")
+    g = Graph(spark, sf_dir)
+    return _rounded(listing.list_relationships(g.related, target_entity=_strongest(g)[1]), "strength")
 
 
 @query
 def list_relationships_by_type(spark, sf_dir):
-    return _rounded(listing.list_relationships(Graph(spark, sf_dir).relationships, relationship_type="associated_with"), "strength")
+    return _rounded(listing.list_relationships(Graph(spark, sf_dir).related, relationship_type="associated_with"), "strength")
 
 
 @query
 def list_relationships_conj(spark, sf_dir):
-    g = _related(spark, sf_dir)
+    g = Graph(spark, sf_dir)
     source, target = _strongest(g)
-    return _rounded(listing.list_relationships(g.relationships, source, target, "associated_with"), "strength")
+    return _rounded(listing.list_relationships(g.related, source, target, "associated_with"), "strength")
 
 
 @query
 def strong_relationships(spark, sf_dir):
-    return _rounded(Graph(spark, sf_dir).relationships.filter(F.col("strength") >= SETTINGS.min_strength), "strength")
+    return _rounded(Graph(spark, sf_dir).related.filter(F.col("strength") >= SETTINGS.min_strength), "strength")
 
 
 @query
 def top_relationships(spark, sf_dir):
-    return _rounded(listing.top_relationships(Graph(spark, sf_dir).relationships), "strength")
+    return _rounded(listing.top_relationships(Graph(spark, sf_dir).related), "strength")
 
 
 @query
@@ -242,7 +242,7 @@ def delete_cascade_graph(spark, sf_dir):
     g = Graph(spark, sf_dir)
     left = Graph(spark, sf_dir, *mutations.deleted_cascade(g.documents, g.sections, _marked(spark, sf_dir, "toxic", 1)))
     of = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("collection"), "n")
-    entities, linked = left.linked[1], left.relationships
+    entities, linked = left.linked[1], left.related
     return of(left.documents, "documents").union(of(left.sections, "sections")).union(of(entities, "entities")).union(of(linked, "relationships"))
 
 
@@ -308,7 +308,7 @@ def orphan_sections(spark, sf_dir):
 def dangling_relationships(spark, sf_dir):
     g = Graph(spark, sf_dir)
     common = g.entities.filter(F.col("frequency") >= 2 * SETTINGS.entity_documents)
-    return _rounded(validation.dangling_relationships(g.relationships, common), "strength")
+    return _rounded(validation.dangling_relationships(g.related, common), "strength")
 
 
 # Extraction and graph
@@ -359,12 +359,12 @@ def entity_provenance(spark, sf_dir):
 
 @query
 def extract_relationships(spark, sf_dir):
-    return _rounded(Graph(spark, sf_dir).relationships, "strength")
+    return _rounded(Graph(spark, sf_dir).related, "strength")
 
 
 @query
 def relationship_strength(spark, sf_dir):
-    bands = Graph(spark, sf_dir).relationships.withColumn("band", F.floor(F.col("strength") * 10 + 1e-9).cast("long"))
+    bands = Graph(spark, sf_dir).related.withColumn("band", F.floor(F.col("strength") * 10 + 1e-9).cast("long"))
     return bands.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_together").alias("n_together"), F.sum("n_either").alias("n_either"))
 
 
@@ -377,7 +377,7 @@ def section_document_join(spark, sf_dir):
 @query
 def relationship_entities_join(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return _rounded(graph.relationship_entities(g.relationships, g.entities), "strength")
+    return _rounded(graph.relationship_entities(g.related, g.entities), "strength")
 
 
 @query
@@ -386,7 +386,7 @@ def graph_degree(spark, sf_dir):
 
 
 def _hop(spark, sf_dir, hops: int) -> DataFrame:
-    linked = _linked(spark, sf_dir).edges
+    linked = Graph(spark, sf_dir).edges
     found = graph.paths_by_hop(linked, graph.nodes(linked), hops)[-1]
     return _rounded(found.select(arrow_path(F.col("path")).alias("path"), "total_strength"), "total_strength")
 
@@ -411,21 +411,38 @@ def graph_paths_3hop(spark, sf_dir):
 
 @query
 def lexical_scores(spark, sf_dir):
-    scored = retrieval.bm25(Graph(spark, sf_dir).sections, _question(spark, sf_dir))
-    return _rounded(scored.select(F.col("_id").alias("section_id"), "relevance_score"), "relevance_score")
+    g = Graph(spark, sf_dir)
+    return _rounded(g.index.all_scores(_asked(g)).select(F.col("_id").alias("section_id"), "relevance_score"), "relevance_score")
 
 
 @query
 def search_sources(spark, sf_dir):
+    return _rounded(retrieval.ranked_sources(_best(Graph(spark, sf_dir))), "relevance_score")
+
+
+@query
+def search_many(spark, sf_dir):
+    """The ten best sections for each thing that a user asks in a conversation."""
     g = Graph(spark, sf_dir)
-    return _rounded(retrieval.search_sources(g.sections, g.documents, _question(spark, sf_dir)), "relevance_score")
+    found = g.index.top(_talk(spark, sf_dir), store=lambda name, build: materialized(build(), name))
+    return _rounded(found.select("query_id", F.col("_id").alias("section_id"), "relevance_score", "place"), "relevance_score")
 
 
 @query
 def search_graph_paths(spark, sf_dir):
-    g = _linked(spark, sf_dir)
-    top = retrieval.top_sections(g.sections, _question(spark, sf_dir))
-    return _rounded(retrieval.search_paths(top, g.entities, g.edges), "total_strength")
+    g = Graph(spark, sf_dir)
+    return _rounded(retrieval.search_paths(_best(g), g.entities, g.edges), "total_strength")
+
+
+@query
+def graph_path_records(spark, sf_dir):
+    """All two-hop paths from the names of most edges, with entities and relationships."""
+    g = Graph(spark, sf_dir)
+    found = graph.path_records(graph.paths_by_hop(g.edges, graph.hubs(g.edges), 2)[-1], g.entities, g.related)
+    kinds = F.array_join(F.transform("entities", lambda e: e["entity_type"]), "|")
+    steps = F.array_join(F.transform("relationships", lambda r: r["relationship_type"]), "|")
+    strengths = F.array_join(F.transform("relationships", lambda r: F.format_number(r["strength"], 4)), "|")
+    return _rounded(found.select(arrow_path(F.col("path")).alias("path"), kinds.alias("entity_types"), steps.alias("relationship_types"), strengths.alias("strengths"), "total_strength"), "total_strength")
 
 
 def _flat(response: DataFrame) -> DataFrame:
@@ -437,26 +454,25 @@ def _flat(response: DataFrame) -> DataFrame:
 
 @query
 def search_response(spark, sf_dir):
-    g = _linked(spark, sf_dir)
-    return _flat(retrieval.search_response(_question(spark, sf_dir), g.sections, g.documents, g.entities, g.edges))
+    g = Graph(spark, sf_dir)
+    return _flat(retrieval.search_response(_question(g), g.sections, g.documents, g.entities, g.edges, top=_best(g)))
 
 
 @query
 def search_no_graph(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return _flat(retrieval.search_response(_question(spark, sf_dir), g.sections, g.documents, g.entities, g.edges, include_graph=False))
+    return _flat(retrieval.search_response(_question(g), g.sections, g.documents, g.entities, g.edges, include_graph=False, top=_best(g)))
 
 
 @query
 def search_answer(spark, sf_dir):
-    g = Graph(spark, sf_dir)
-    return retrieval.top_sections(g.sections, _question(spark, sf_dir), 1).select(F.col("content").alias("answer"), F.col("_id").alias("section_id"))
+    return _best(Graph(spark, sf_dir), 1).select(F.col("content").alias("answer"), F.col("_id").alias("section_id"))
 
 
 @query
 def document_search(spark, sf_dir):
-    found = retrieval.search_documents(Graph(spark, sf_dir).documents, _question(spark, sf_dir))
-    return _rounded(found, "relevance_score")
+    g = Graph(spark, sf_dir)
+    return _rounded(g.abstracts.all_scores(_asked(g)).select(F.col("_id").alias("document_id"), "relevance_score"), "relevance_score")
 
 
 @query

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,27 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_state(spark: SparkSession, path: str) -> tuple[str, int, int, int]:
+    """A path with the bytes and the number of its files and the time it was changed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs.getContentSummary(where)
+    return path, held.getLength(), held.getFileCount(), fs.getFileStatus(where).getModificationTime()
+
+
+#: Where the tables of ``kept`` lie.
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept(spark: SparkSession, state: tuple, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, stored once for an application and the state of the files that it
+    rests on (``file_state``), and read back by whoever asks for it again."""
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), state, name)
+    if key not in _KEPT:
+        _KEPT[key] = materialized(build(), name)
+    return _KEPT[key]
+
+
 def broadcast_if_small(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """A stored table, to be broadcast if its strings and numbers take at most so many bytes; a
     larger one is left to a join that shuffles."""
