@@ -24,6 +24,9 @@ class Settings:
     path_seeds: int = 10
     range_sections: int = 2048
     seed_ranges: int = 4
+    restart: float = 0.15
+    spread_rounds: int = 2
+    fusion: int = 60
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.config import SETTINGS
+from quillgraph.sources.tables import materialized
+
+#: Edges of a node that are joined in one task.
+EDGE_BLOCK = 4096
 
 
 def section_documents(sections: DataFrame, documents: DataFrame) -> DataFrame:
@@ -83,3 +88,52 @@ def path_records(paths: DataFrame, entities: DataFrame, relationships: DataFrame
     step = F.struct("at", "source_entity", "target_entity", "relationship_type", "strength")
     steps = walked.join(relationships, ["source_entity", "target_entity"]).groupBy("path").agg(F.array_sort(F.collect_set(step)).alias("relationships"))
     return numbered.join(nodes, "path").join(steps, "path").select("path", "entities", "relationships", "total_strength")
+
+
+@dataclass(frozen=True)
+class Adjacency:
+    """Edges with the block of their source that each lies in, and the nodes with several blocks."""
+
+    edges: DataFrame
+    hubs: DataFrame
+
+    @classmethod
+    def of(cls, edges: DataFrame) -> Adjacency:
+        """``edges`` (source_entity, target_entity, strength), with share, each one's part of the
+        strength that leaves its source. Edges of a hub are dealt into blocks."""
+        out = edges.groupBy(F.col("source_entity").alias("name")).agg(F.sum("strength").alias("total"), F.ceil(F.count("*") / EDGE_BLOCK).cast("int").alias("blocks"))
+        out = materialized(out, "out-edges")
+        dealt = edges.withColumnRenamed("source_entity", "name").join(out, "name")
+        block = F.expr("cast(pmod(xxhash64(target_entity), blocks) as int)")
+        dealt = dealt.select("name", block.alias("block"), "target_entity", "strength", (F.col("strength") / F.col("total")).alias("share"))
+        return cls(materialized(dealt, "adjacency"), out.filter("blocks > 1").select("name", "blocks"))
+
+    def follow(self, states: DataFrame) -> DataFrame:
+        """``states`` (name, any more) with each edge that leaves the name."""
+        known = states.join(self.hubs, "name", "left")
+        every = known.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+        return every.join(self.edges, ["name", "block"]).drop("block")
+
+
+def strongest_paths(adjacency: Adjacency, seeds: DataFrame, max_hops: int = SETTINGS.max_hops, min_strength: float = SETTINGS.min_strength) -> DataFrame:
+    """The strongest path from each seed to each name within ``max_hops``: seed, name, path, hops
+    and total_strength, a row for each pair; of equally strong ones the shortest, then the first.
+
+    Each round keeps one state for a pair, and only states that got better go on, so the work
+    grows with the pairs in reach and not with the paths between them. Strengths are at most 1,
+    so the strongest path never visits a name twice.
+    """
+    if max_hops < 0:
+        raise ValueError("max_hops must not be negative")
+    rank = F.struct((-F.col("total_strength")).alias("less"), "hops", "path")
+    best = seeds.select(F.col("name").alias("seed"), "name", F.array("name").alias("path"), F.lit(0).alias("hops"), F.lit(1.0).cast("double").alias("total_strength"), F.lit(True).alias("fresh")).distinct()
+    best = materialized(best, "strongest")
+    for hop in range(1, max_hops + 1):
+        step = adjacency.follow(best.filter("fresh").drop("fresh", "hops")).filter(~F.array_contains("path", F.col("target_entity")))
+        step = step.select("seed", F.col("target_entity").alias("name"), F.concat("path", F.array("target_entity")).alias("path"), F.lit(hop).alias("hops"), (F.col("total_strength") * F.col("strength")).alias("total_strength"))
+        step = step.filter(F.col("total_strength") >= min_strength).withColumn("fresh", F.lit(True))
+        both = best.withColumn("fresh", F.lit(False)).unionByName(step)
+        won = both.groupBy("seed", "name").agg(F.min(F.struct(rank.alias("rank"), "fresh")).alias("won"))
+        won = won.select("seed", "name", "won.rank.path", "won.rank.hops", (-F.col("won.rank.less")).alias("total_strength"), "won.fresh")
+        best = materialized(won, "strongest")
+    return best.filter("hops > 0").select("seed", "name", "path", "hops", "total_strength")

@@ -89,8 +89,13 @@ class TextIndex:
         Questions without a word that some text has get no rows. ``store``, if given, keeps the
         words of the questions and their bounds, which are used twice.
         """
-        store = store or (lambda _, build: build())
-        words = store("question-words", lambda: self._weighted(questions))
+        return self.top_weighted(self._weighted(questions), k, store)
+
+    def top_weighted(self, words: DataFrame, k: int = SETTINGS.max_results, store: Store | None = None) -> DataFrame:
+        """``top`` for questions given as words with weights of their own: query_id, term, weight,
+        all weights positive."""
+        store, given = store or (lambda _, build: build()), words
+        words = store("question-words", lambda: given)
         bounds = words.join(self.postings.select("term", "range", "most"), "term").groupBy("query_id", "range").agg(F.sum(F.col("weight") * F.col("most")).alias("bound"))
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "range"))
         bounds = store("question-bounds", lambda: bounds.withColumn("nth", nth))

@@ -81,6 +81,19 @@ _VIEWS = {
     "v_asked": f"""SELECT query_id, document_id || ':' || "order" AS section_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * {S.bm25_k1 + 1}) / (tf + {S.bm25_k1} * (1 - {S.bm25_b} + {S.bm25_b} * len / mean))) AS relevance_score
         FROM v_aword JOIN v_count USING (name) JOIN (SELECT name, count(*) AS df FROM v_count GROUP BY ALL) USING (name) JOIN v_length USING (document_id, "order"), v_size GROUP BY ALL""",
     "v_best": f"""SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(relevance_score, 9) DESC, section_id) AS INTEGER) AS place FROM v_asked QUALIFY place <= {S.max_results}""",
+    "v_spread0": "SELECT query_id, name, 1 / count(*) OVER (PARTITION BY query_id) AS mass FROM v_aword SEMI JOIN v_entity USING (name)",
+    "v_share": "SELECT source_entity, target_entity, strength / sum(strength) OVER (PARTITION BY source_entity) AS share FROM v_edge",
+    **{f"v_spread{k}": f"""SELECT query_id, name, sum(mass) AS mass FROM (SELECT query_id, name, {S.restart}::DOUBLE * mass AS mass FROM v_spread0
+        UNION ALL SELECT query_id, target_entity, {1 - S.restart}::DOUBLE * mass * share FROM v_spread{k - 1} JOIN v_share ON source_entity = name) GROUP BY ALL""" for k in range(1, S.spread_rounds + 1)},
+    "v_near": f"""SELECT query_id, document_id, "order", sum(mass * (tf * {S.bm25_k1 + 1}) / (tf + {S.bm25_k1} * (1 - {S.bm25_b} + {S.bm25_b} * len / mean))) AS score FROM v_spread{S.spread_rounds}
+        JOIN (SELECT document_id, "order", name, count(*) AS tf FROM v_token SEMI JOIN v_entity USING (name) GROUP BY ALL) USING (name) JOIN v_length USING (document_id, "order"), v_size GROUP BY ALL""",
+    "v_walked": f"""SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, document_id || ':' || "order") AS place FROM v_near QUALIFY place <= {S.max_results}""",
+    "v_list1": "SELECT query_id, split_part(section_id, ':', 1) AS document_id, min(place) AS place FROM v_best GROUP BY ALL",
+    "v_list2": "SELECT query_id, document_id, min(place) AS place FROM v_walked GROUP BY ALL",
+    "v_like": """SELECT query_id, CAST(v.vec_id AS VARCHAR) AS document_id, list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS similarity, v.vec_id
+        FROM v_list1 JOIN embeddings q ON CAST(q.vec_id AS VARCHAR) = document_id AND place = 1, embeddings v""",
+    "v_list3": f"SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS place FROM v_like QUALIFY place <= {S.max_results}",
+    "v_fused": f"""SELECT query_id, document_id, sum(1 / ({S.fusion} + place)) AS score FROM (SELECT * FROM v_list1 UNION ALL SELECT * FROM v_list2 UNION ALL SELECT * FROM v_list3) GROUP BY ALL""",
     "v_upload": f"""SELECT CASE WHEN source = 'src7' THEN '' ELSE 'file' || doc_id || {_pick((".pdf", ".txt", ".docx", ".PDF", ".exe"), "doc_id")} END AS filename, n_chars * 20000 AS file_size FROM documents""",
     "v_checked": rf"""SELECT *, CASE WHEN NOT regexp_matches(filename, '\.(pdf|txt|docx)$') THEN 'bad_type' WHEN file_size > {S.max_upload_bytes} THEN 'too_large' END AS reason FROM v_upload""",
     "v_toxic": "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS _id FROM labels WHERE toxic = 1",
@@ -189,6 +202,11 @@ _BODIES = {
     "search_sources": """SELECT document_id, title AS document_title, v_top._id AS section_id, section_type, content, round(relevance_score, 6) AS relevance_score, doi
         FROM v_top JOIN v_document d ON d._id = document_id""",
     "search_graph_paths": "SELECT path, round(total_strength, 6) AS total_strength FROM v_path",
+    "strongest_paths": f"""SELECT path[1] AS seed, path[-1] AS name, array_to_string(path, ' → ') AS path, CAST(len(path) - 1 AS INTEGER) AS hops, round(total_strength, 6) AS total_strength
+        FROM ({" UNION ALL ".join(f"SELECT * FROM v_walk{k}" for k in (1, 2, 3))}) QUALIFY row_number() OVER (PARTITION BY path[1], path[-1] ORDER BY total_strength DESC, len(path), path) = 1""",
+    "spread_entities": f"SELECT query_id, name, round(mass, 9) AS mass FROM v_spread{S.spread_rounds}",
+    "search_fused": f"""SELECT query_id, document_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, document_id) AS INTEGER) AS place
+        FROM v_fused QUALIFY place <= {S.max_results}""",
     "search_many": "SELECT query_id, section_id, round(relevance_score, 6) AS relevance_score, place FROM v_best",
     "graph_path_records": """SELECT array_to_string(path, ' → ') AS path, a.entity_type || '|' || b.entity_type || '|' || c.entity_type AS entity_types, r.relationship_type || '|' || s.relationship_type AS relationship_types,
         format('{:.4f}', r.strength) || '|' || format('{:.4f}', s.strength) AS strengths, round(total_strength, 6) AS total_strength FROM v_spoke2

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillgraph.config import SETTINGS
 from quillgraph.functions import evidence
 from quillgraph.functions.scalars import TOKEN, tokens
-from quillgraph.operators.graph import section_documents
+from quillgraph.operators.graph import Adjacency, section_documents
 from quillgraph.operators.setjoin import similar_sets
 from quillgraph.operators.text_index import TextIndex
 from quillgraph.schemas import DOCUMENT_STATUS
@@ -127,6 +127,10 @@ def stored_sections(sections: DataFrame, documents: DataFrame) -> DataFrame:
     return section_documents(sections, documents).sortWithinPartitions("_id")
 
 
+#: What graphs over given tables have built of several stored tables, by the tables' state.
+_BUILT: dict[tuple, dict] = {}
+
+
 class Graph:
     """The collections over one set of tables, or over other documents and sections than theirs.
 
@@ -138,6 +142,7 @@ class Graph:
     def __init__(self, spark: SparkSession, sf_dir: str, documents_: DataFrame | None = None, sections_: DataFrame | None = None):
         self.spark, own = spark, documents_ is None and sections_ is None
         self.state = file_state(spark, f"{sf_dir}/documents.parquet") if own else None
+        self._built = _BUILT.setdefault((spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), self.state), {}) if own else {}
         self.table = table(spark, sf_dir, "documents")
         self.documents = documents(spark, sf_dir) if documents_ is None else documents_
         self.sections = sections(spark, sf_dir) if sections_ is None else sections_
@@ -175,6 +180,13 @@ class Graph:
         """Strong relationships in both directions."""
         return self._stored("edges", lambda: edges(self.related))
 
+    @cached_property
+    def adjacency(self) -> Adjacency:
+        """The edges in blocks, each with its share of what leaves its source."""
+        if "adjacency" not in self._built:
+            self._built["adjacency"] = Adjacency.of(self.edges)
+        return self._built["adjacency"]
+
     @cached_property
     def index(self) -> TextIndex:
         """The inverted index of the sections."""

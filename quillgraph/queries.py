@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from quillgraph.config import SETTINGS
 from quillgraph.functions.scalars import TOKEN, arrow_path, display_megabytes, display_percent, iso_time
-from quillgraph.operators import graph, listing, mutations, retrieval, validation
+from quillgraph.operators import graph, listing, mutations, retrieval, spreading, validation
+from quillgraph.operators.vector_index import VectorIndex
 from quillgraph.plans import views as plans
 from quillgraph.plans.views import Graph, _pick
 from quillgraph.schemas import RELATIONSHIP_TYPE
-from quillgraph.sources.tables import as_json, conformed, materialized, table
+from quillgraph.sources.tables import as_json, conformed, file_state, kept, materialized, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -406,6 +407,14 @@ def graph_paths_3hop(spark, sf_dir):
     return _hop(spark, sf_dir, 3)
 
 
+@query
+def strongest_paths(spark, sf_dir):
+    """The strongest path of at most three hops between any two names."""
+    g = Graph(spark, sf_dir)
+    found = graph.strongest_paths(g.adjacency, graph.nodes(g.edges))
+    return _rounded(found.select("seed", "name", arrow_path(F.col("path")).alias("path"), "hops", "total_strength"), "total_strength")
+
+
 # Retrieval
 
 
@@ -428,6 +437,26 @@ def search_many(spark, sf_dir):
     return _rounded(found.select("query_id", F.col("_id").alias("section_id"), "relevance_score", "place"), "relevance_score")
 
 
+@query
+def spread_entities(spark, sf_dir):
+    """How near each entity is to what each user asks."""
+    g = Graph(spark, sf_dir)
+    found = spreading.spread(g.adjacency, spreading.named_entities(_talk(spark, sf_dir), g.entities))
+    return found.withColumn("mass", F.round("mass", 9))
+
+
+@query
+def search_fused(spark, sf_dir):
+    """The ten best documents for each thing that a user asks, by text, graph and vectors."""
+    g, asked = Graph(spark, sf_dir), _talk(spark, sf_dir)
+    store = lambda name, build: materialized(build(), name)
+    near = spreading.spread(g.adjacency, spreading.named_entities(asked, g.entities))
+    text = store("text-list", lambda: spreading.by_document(g.index.top(asked, store=store)))
+    walked = spreading.by_document(g.index.top_weighted(near.select("query_id", F.col("name").alias("term"), F.col("mass").alias("weight")), store=store))
+    seen = spreading.nearest_documents(text, table(spark, sf_dir, "embeddings"))
+    return spreading.fused([text, walked, seen]).withColumn("score", F.round("score", 9))
+
+
 @query
 def search_graph_paths(spark, sf_dir):
     g = Graph(spark, sf_dir)
@@ -480,3 +509,34 @@ def vector_topk(spark, sf_dir):
     """Every vector whose id is divisible by 100 against all."""
     vectors = table(spark, sf_dir, "embeddings")
     return _rounded(retrieval.vector_topk(vectors, vectors.filter("vec_id % 100 = 0")), "similarity")
+
+
+_VECTORS: dict[tuple, VectorIndex] = {}
+
+
+def _vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The index of all vectors, built once for as long as their files stay the same."""
+    state = file_state(spark, f"{sf_dir}/embeddings.parquet")
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), state)
+    if key not in _VECTORS:
+        _VECTORS[key] = VectorIndex.of(table(spark, sf_dir, "embeddings"), lambda name, build: kept(spark, state, name, build))
+    return _VECTORS[key]
+
+
+@query
+def vector_topk_indexed(spark, sf_dir):
+    """The same queries by the inverted file; ``vector_index_recall`` tells what that misses."""
+    found = _vector_index(spark, sf_dir).search(table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0"))
+    return _rounded(found.select("query_id", F.col("id").alias("vec_id"), "similarity"), "similarity")
+
+
+@query
+def vector_index_recall(spark, sf_dir):
+    """For each of these queries how many vectors the index read, of how many, and how many of the
+    true neighbours it found."""
+    vectors, index = table(spark, sf_dir, "embeddings"), _vector_index(spark, sf_dir)
+    queries = vectors.filter("vec_id % 100 = 0")
+    true = retrieval.vector_topk(vectors, queries).select("query_id", F.col("vec_id").alias("id"))
+    both = true.join(index.search(queries), ["query_id", "id"], "left")
+    rows = both.groupBy("query_id").agg(F.count("*").alias("n_true"), F.count("similarity").alias("n_found"), F.coalesce(F.max("n_read"), F.lit(0)).alias("n_read"))
+    return rows.withColumn("n_vectors", F.lit(vectors.count()))
