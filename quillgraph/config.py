@@ -27,6 +27,10 @@ class Settings:
     restart: float = 0.15
     spread_rounds: int = 2
     fusion: int = 60
+    answer_sentences: int = 3
+    answer_relevance: float = 0.7
+    alias_edits: int = 1
+    alias_times: int = 3
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
 

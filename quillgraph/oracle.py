@@ -94,6 +94,13 @@ _VIEWS = {
         FROM v_list1 JOIN embeddings q ON CAST(q.vec_id AS VARCHAR) = document_id AND place = 1, embeddings v""",
     "v_list3": f"SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS place FROM v_like QUALIFY place <= {S.max_results}",
     "v_fused": f"""SELECT query_id, document_id, sum(1 / ({S.fusion} + place)) AS score FROM (SELECT * FROM v_list1 UNION ALL SELECT * FROM v_list2 UNION ALL SELECT * FROM v_list3) GROUP BY ALL""",
+    "v_said": r"SELECT _id AS section_id, relevance_score, unnest(regexp_split_to_array(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS sentence, generate_subscripts(regexp_split_to_array(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) - 1 AS nth FROM v_top",
+    "v_sentence": r"""SELECT *, list_distinct(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+')) AS words, relevance_score / (SELECT max(relevance_score) FROM v_said WHERE regexp_matches(sentence, '[\p{L}\p{N}]'))
+        * len(list_intersect(list_distinct(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+')), (SELECT list(name) FROM v_term))) / greatest(1, (SELECT count(*) FROM v_term)) AS relevance FROM v_said WHERE regexp_matches(sentence, '[\p{L}\p{N}]')""",
+    "v_pick1": f"SELECT *, round({S.answer_relevance}::DOUBLE * relevance, 9) AS score FROM v_sentence ORDER BY score DESC, section_id, nth LIMIT 1",
+    **{f"v_pick{k}": f"""SELECT s.*, round({S.answer_relevance}::DOUBLE * s.relevance - {1 - S.answer_relevance}::DOUBLE * likeness, 9) AS score FROM (SELECT s.section_id, s.nth, max(len(list_intersect(s.words, p.words)) / (len(s.words) + len(p.words) - len(list_intersect(s.words, p.words)))) AS likeness
+        FROM v_sentence s, ({" UNION ALL ".join(f"SELECT * FROM v_pick{j}" for j in range(1, k))}) p GROUP BY ALL) JOIN v_sentence s USING (section_id, nth)
+        WHERE (section_id, nth) NOT IN ({" UNION ALL ".join(f"SELECT (section_id, nth) FROM v_pick{j}" for j in range(1, k))}) ORDER BY score DESC, section_id, nth LIMIT 1""" for k in range(2, S.answer_sentences + 1)},
     "v_upload": f"""SELECT CASE WHEN source = 'src7' THEN '' ELSE 'file' || doc_id || {_pick((".pdf", ".txt", ".docx", ".PDF", ".exe"), "doc_id")} END AS filename, n_chars * 20000 AS file_size FROM documents""",
     "v_checked": rf"""SELECT *, CASE WHEN NOT regexp_matches(filename, '\.(pdf|txt|docx)$') THEN 'bad_type' WHEN file_size > {S.max_upload_bytes} THEN 'too_large' END AS reason FROM v_upload""",
     "v_toxic": "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS _id FROM labels WHERE toxic = 1",
@@ -207,6 +214,7 @@ _BODIES = {
     "spread_entities": f"SELECT query_id, name, round(mass, 9) AS mass FROM v_spread{S.spread_rounds}",
     "search_fused": f"""SELECT query_id, document_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, document_id) AS INTEGER) AS place
         FROM v_fused QUALIFY place <= {S.max_results}""",
+    "search_answer_sentences": " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS place, section_id, CAST(nth AS INTEGER) AS nth, sentence, round(score, 6) AS score FROM v_pick{k}" for k in range(1, S.answer_sentences + 1)),
     "search_many": "SELECT query_id, section_id, round(relevance_score, 6) AS relevance_score, place FROM v_best",
     "graph_path_records": """SELECT array_to_string(path, ' → ') AS path, a.entity_type || '|' || b.entity_type || '|' || c.entity_type AS entity_types, r.relationship_type || '|' || s.relationship_type AS relationship_types,
         format('{:.4f}', r.strength) || '|' || format('{:.4f}', s.strength) AS strengths, round(total_strength, 6) AS total_strength FROM v_spoke2

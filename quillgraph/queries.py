@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.config import SETTINGS
 from quillgraph.functions.scalars import TOKEN, arrow_path, display_megabytes, display_percent, iso_time
-from quillgraph.operators import graph, listing, mutations, retrieval, spreading, validation
+from quillgraph.operators import aliases, answers, graph, listing, mutations, retrieval, spreading, validation
 from quillgraph.operators.vector_index import VectorIndex
 from quillgraph.plans import views as plans
 from quillgraph.plans.views import Graph, _pick
@@ -344,6 +344,13 @@ def resolve_aliases(spark, sf_dir):
     return plans.resolved(asked, g.entities).select("alias", "name", "entity_type")
 
 
+@query
+def corrected_aliases(spark, sf_dir):
+    """Rare long words of the texts that are one slip away from an entity that is far more common."""
+    g = Graph(spark, sf_dir)
+    return aliases.corrected(g.mentions.groupBy("name").agg(F.count("*").alias("n")))
+
+
 @query
 def entity_records(spark, sf_dir):
     g = Graph(spark, sf_dir)
@@ -498,6 +505,14 @@ def search_answer(spark, sf_dir):
     return _best(Graph(spark, sf_dir), 1).select(F.col("content").alias("answer"), F.col("_id").alias("section_id"))
 
 
+@query
+def search_answer_sentences(spark, sf_dir):
+    """An answer of three sentences from the best sections, none of which says what another did."""
+    g = Graph(spark, sf_dir)
+    found = answers.marginal_sentences(answers.sentences(_best(g)), _question(g))
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query
 def document_search(spark, sf_dir):
     g = Graph(spark, sf_dir)
