@@ -387,8 +387,10 @@ def redacted(docs: DataFrame, most_patterns: int = MOST_PATTERNS) -> DataFrame:
     rows = docs.withColumn("text", F.col("text").cast("string"))
     if patterns is None:
         whole = docs.select(F.struct(*names).alias("__doc"), "text")
-        found = _by_join(whole, trusted, ("__doc",))
-        rows = found.select("__doc.*", F.col("spans").alias("__spans")).withColumn("text", F.col("text").cast("string"))
+        found, free = _by_join(whole, trusted, ("__doc",)), "__spans"
+        while free in map(str.lower, names):
+            free += "_"
+        rows = found.select("__doc.*", F.col("spans").alias(free)).withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -236,9 +236,11 @@ def near_duplicates(prints: DataFrame, max_bits: int = 3, check_bits: int = 64)
 
 #: The near-duplicate stage: segments of a wide fingerprint over distinct words, and their bits.
 SEGMENTS, SEGMENT_BITS = 10, 30
-#: Of 64 bits over the shingles of two texts with a similarity of 0.8, nine or ten differ, in one
-#: case of a hundred thousand more than this. Of texts that share nothing half of the bits do.
-CHECK_BITS = 22
+#: Words of the second fingerprint, over the shingles. Of the 64 bits of its first word, nine or ten
+#: differ between texts with a similarity of 0.8, in one case of a hundred thousand more than
+#: CHECK_BITS; of all 1,024 some 155 do, and seldom more than WIDE_BITS, four standard deviations
+#: above that, if the sets aren't small. Of texts that share nothing half of the bits do.
+CHECK_WORDS, CHECK_BITS, WIDE_BITS, SMALL_SET = 16, 22, 201, 40
 #: Rounds of links to one member of each key before the pairs left are held against each other in
 #: blocks of at most so many texts and shingles.
 STAR_ROUNDS, BLOCK_ROWS, BLOCK_SHINGLES = 2, 256, 1 << 21
@@ -276,37 +278,72 @@ def word_segments(words: list[bytes], segments: int = SEGMENTS, bits: int = SEGM
 
 def _prints(rows: DataFrame, words: int, segments: int, bits: int) -> DataFrame:
     """doc_id and text hash of each row; identity (two hashes) and size of its shingle set, the
-    segments of its fingerprint and a second fingerprint over the shingles."""
+    segments of its fingerprint and a second, wide fingerprint over the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             cut = [words_of(t) for t in batch.column(2).to_pylist()]
             sets = [shingle_hashes(w, words) for w in cut]
             same = np.array([[xxhash.xxh64_intdigest(h.tobytes(), seed) for seed in (0, 1)] for h in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            check = np.array([np.packbits(_majority(h, 1), bitorder="little").view(np.int64)[0] for h in sets], np.int64)
-            arrays = [pa.array(same[:, 0].copy()), pa.array(same[:, 1].copy()), pa.array([len(h) for h in sets], pa.int64()), pa.array(check), pa.array([word_segments(w, segments, bits) for w in cut], pa.list_(pa.int64()))]
+            check = [np.packbits(_majority(h, CHECK_WORDS), bitorder="little").view(np.int64) for h in sets]
+            arrays = [pa.array(same[:, 0].copy()), pa.array(same[:, 1].copy()), pa.array([len(h) for h in sets], pa.int64()), pa.array(check, pa.list_(pa.int64())), pa.array([word_segments(w, segments, bits) for w in cut], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "hash", "id_a", "id_b", "size", "check", "segments"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, hash long, id_a long, id_b long, size long, check long, segments array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, hash long, id_a long, id_b long, size long, check array<long>, segments array<long>")
 
 
-#: Marks keys of whole segments, which hold no other value than theirs.
-_WHOLE = 1 << 55
+def _whole(nodes: DataFrame) -> DataFrame:
+    """Every node (with size, check and label) under each of its whole segments, ``value``."""
+    cut = nodes.select("node", "size", "check", "label", F.posexplode("segments").alias("segment", "bits"))
+    value = F.expr("shiftleft(cast(segment as bigint), 56)").bitwiseOR(F.col("bits"))
+    return cut.select(value.alias("value"), "node", "size", "check", "label")
 
 
-def _keyed(nodes: DataFrame, bits: int) -> DataFrame:
-    """Every node under its whole segments, and under their values as they are and with each set
-    bit struck out; ``value`` tells a node's whole segment.
+def _neighbours(cut: DataFrame, bits: int) -> DataFrame:
+    """Pairs of whole segments (small, large, by their numbers of texts, and that of the large
+    one) that differ in a bit, or in one bit each from what both are without it, and that hold
+    texts of different labels.
 
-    Of two segments that differ in one bit, one holds 0 there and stands under its own value,
-    and the other one with its 1 struck out gives that value too.
+    ``cut``: texts under their whole segments. Each distinct segment stands under its own value
+    and under it with each set bit struck out. Of two that differ in one bit, one holds 0 there
+    and stands under its own value, and the other one with its 1 struck out gives that value too.
+    A crowd of texts under one segment is one row here.
     """
-    cut = nodes.select("node", "size", "check", F.posexplode("segments").alias("segment", "value"))
-    cut = cut.select("node", "size", "check", F.expr("shiftleft(cast(segment as bigint), 56)").bitwiseOR(F.col("value")).alias("value"))
-    struck = cut.withColumn("bit", F.explode(F.sequence(F.lit(-2), F.lit(bits - 1)))).filter("bit < 0 or (shiftright(value, bit) & 1) = 1")
-    key = F.expr(f"case bit when -2 then value | {_WHOLE}L when -1 then value else value & ~shiftleft(1L, bit) end")
-    return struck.select(key.alias("key"), "value", "node", "size", "check")
+    held = stored(cut.groupBy("value").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")), "dedup-segments")
+    struck = held.withColumn("bit", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1)))).filter("bit < 0 or (shiftright(value, bit) & 1) = 1")
+    keyed = struck.select(F.expr("if(bit < 0, value, value & ~shiftleft(1L, bit))").alias("key"), "value", "n", "x", "y")
+    several = keyed.groupBy("key").agg(F.min("value").alias("v"), F.max("value").alias("w"), F.min("x").alias("x"), F.max("y").alias("y"))
+    several = stored(several.filter("v != w and x != y").select("key"), "dedup-keys")
+    shared = stored(keyed.join(hinted(several), "key"), "dedup-variants")
+    # A key has at most one value for each bit and its own.
+    order = (F.struct("l.n", "l.value") < F.struct("r.n", "r.value")) & (F.least("l.x", "r.x") != F.greatest("l.y", "r.y"))
+    pairs = shared.alias("l").join(shared.alias("r"), (F.col("l.key") == F.col("r.key")) & order)
+    out = stored(pairs.select(F.col("l.value").alias("small"), F.col("r.value").alias("large"), F.col("r.n").alias("n")).distinct(), "dedup-neighbours")
+    discard(held, several, shared)
+    return out
+
+
+def _likely(nodes: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """Pairs (left and right: structs of node and label) of texts in neighbouring segments that
+    have no whole segment in common, lie in different groups and are alike by size and second
+    fingerprint. Large segments are met in blocks."""
+    cut = _whole(nodes)
+    near = _neighbours(cut.select("value", "label"), bits)
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    asked = stored(near.select("small", "large", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")), "dedup-neighbours")
+    wanted = stored(near.select("large", blocks.alias("blocks")).distinct(), "dedup-neighbours")
+    of = nodes.select("node", "segments")
+    small = cut.select(F.col("value").alias("small"), "node", "size", "check", "label").join(hinted(asked), "small")
+    large = cut.select(F.col("value").alias("large"), "node", "size", "check", "label").join(hinted(wanted), "large").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    met = small.alias("l").join(large.alias("r"), (F.col("l.large") == F.col("r.large")) & (F.col("l.block") == F.col("r.block")) & _in_reach(similarity))
+    ends = [F.struct(F.col(f"{s}.node").alias("node"), F.col(f"{s}.label").alias("label")) for s in ("l", "r")]
+    pairs = stored(met.select(F.least(*ends).alias("left"), F.greatest(*ends).alias("right")).distinct(), "dedup-pairs")
+    side = lambda s: of.select(F.col("node").alias(f"{s}_node"), F.col("segments").alias(f"{s}_segments"))
+    both = pairs.select("left", "right", F.col("left.node").alias("l_node"), F.col("right.node").alias("r_node")).join(side("l"), "l_node").join(side("r"), "r_node")
+    out = stored(both.filter(~F.exists(F.zip_with("l_segments", "r_segments", lambda a, b: a == b), lambda x: x)).select("left", "right"), "dedup-pairs")
+    discard(near, asked, wanted, pairs)
+    return out
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, repeats: bool) -> DataFrame:
@@ -325,41 +362,42 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, repeats: bool) -> Data
 
 
 def _in_reach(similarity: float) -> Column:
-    """What two texts of that similarity fulfil by the sizes of their sets and by fingerprint.
-
-    Texts with the same whole segment meet under that alone: where the first of them by hash is
-    the centre of another key, it has been the centre there too, in this round or before.
-    """
+    """What two texts of different groups and that similarity fulfil by the sizes of their sets and
+    by fingerprint."""
     fits = F.least("l.size", "r.size") >= similarity * F.greatest("l.size", "r.size") - 1e-9
-    apart = (F.col("l.value") != F.col("r.value")) | (F.col("l.key").bitwiseAND(F.lit(_WHOLE)) != 0)
-    return apart & fits & (F.bit_count(F.col("l.check").bitwiseXOR(F.col("r.check"))) <= CHECK_BITS) & (F.col("l.label") != F.col("r.label"))
+    apart = [F.bit_count(F.get("l.check", F.lit(k)).bitwiseXOR(F.get("r.check", F.lit(k)))) for k in range(CHECK_WORDS)]
+    wide = (F.least("l.size", "r.size") < SMALL_SET) | (sum(apart[1:], apart[0]) <= WIDE_BITS)
+    return (F.col("l.label") != F.col("r.label")) & fits & (apart[0] <= CHECK_BITS) & wide
 
 
 def _holding(pairs: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole shingle sets are that similar, stored."""
+    """The labels (a, b) of the pairs (left and right: structs of node and label) whose whole
+    shingle sets are that similar, stored."""
     likely = stored(pairs.distinct(), "dedup-likely")
-    sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    both = likely.join(side("a"), "a").join(side("b"), "b")
-    found = stored(both.filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b"), "dedup-links")
+    sets = sets_of(likely.select(F.explode(F.array("left.node", "right.node")).alias("node")).distinct())
+    side = lambda s: sets.select(F.col("node").alias(f"{s}_node"), F.col("shingles").alias(f"{s}_set"))
+    shared = F.size(F.array_intersect("left_set", "right_set"))
+    both = likely.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("left", "right") for c in ("node", "label")]).join(side("left"), "left_node").join(side("right"), "right_node")
+    held = both.filter(shared >= similarity * (F.size("left_set") + F.size("right_set") - shared) - 1e-9)
+    found = stored(held.select(F.col("left_label").alias("a"), F.col("right_label").alias("b")).distinct(), "dedup-links")
     discard(likely, sets)
     return found
 
 
 def _met_in_blocks(members: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """Links within crowded keys: members are dealt into blocks, each pair of blocks is a task, and
-    what it returns is a spanning forest of the links it finds on whole sets, never the pairs."""
+    """Links (of labels) within crowded keys: members are dealt into blocks, each pair of blocks is a
+    task, and what it returns is a spanning forest of the links it finds on whole sets, never the
+    pairs."""
     total = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_SHINGLES)
     blocks = stored(members.groupBy("key").agg(F.ceil(total).cast("int").alias("blocks")), "dedup-blocks")
     sets = sets_of(members.select("node").distinct())
     dealt = members.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "value", "node", "label", "size", "check").join(sets, "node")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "size", "check").join(sets, "node")
 
     def meet(table: pa.Table) -> pa.Table:
         col = lambda c: table.column(c).to_numpy()
-        node, own, size, check = col("node"), col("own"), col("size"), col("check").astype(np.int64).view(np.uint64)
-        value = col("value") if not col("key")[0] & _WHOLE else node
+        node, own, size = col("node"), col("own"), col("size")
+        check = np.ascontiguousarray(table.column("check").combine_chunks().flatten().to_numpy()).view(np.uint64).reshape(-1, CHECK_WORDS)
         sets = [np.asarray(x.values, np.int64) for x in table.column("shingles")]
         group = {x: x for x in col("label").tolist()}
 
@@ -370,16 +408,16 @@ def _met_in_blocks(members: DataFrame, sets_of, similarity: float) -> DataFrame:
 
         label, out, apart = col("label").tolist(), [], len(set(own.tolist())) > 1
         for a in range(len(node)):
-            near = np.bitwise_count(check[a] ^ check) <= CHECK_BITS
+            bits = np.bitwise_count(check[a] ^ check)
+            near = (bits[:, 0] <= CHECK_BITS) & ((np.minimum(size[a], size) < SMALL_SET) | (bits.sum(1, dtype=np.int64) <= WIDE_BITS))
             near &= np.minimum(size[a], size) >= similarity * np.maximum(size[a], size) - 1e-9
-            near &= value != value[a]
             near &= (own > own[a]) if apart else (np.arange(len(node)) > a)
             for b in np.flatnonzero(near).tolist():
                 if root(label[a]) == root(label[b]):
                     continue
                 both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                 if both >= similarity * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
-                    out.append((int(node[a]), int(node[b])))
+                    out.append((label[a], label[b]))
                     group[root(label[a])] = root(label[b])
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
@@ -388,46 +426,74 @@ def _met_in_blocks(members: DataFrame, sets_of, similarity: float) -> DataFrame:
     return found
 
 
-def similar_links(nodes: DataFrame, sets_of, similarity: float, bits: int) -> DataFrame:
-    """Links (a, b) between texts whose closure is that of all candidate pairs with at least that
-    Jaccard similarity. Candidates share a key, one segment that differs in a bit at most.
-
-    First every member of a key is held against one other, which joins large groups of copies;
-    pairs that links found before join already need no test; what is left of crowded keys after
-    some rounds is compared in blocks. No candidate is dropped and every link is verified.
-    """
-    keyed = _keyed(nodes, bits)
-    several = stored(keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x != y").select("key"), "dedup-keys")
+def _members(cut: DataFrame) -> DataFrame:
+    """Members (key, node, size, check, label) of the segments that several texts share, stored;
+    of segments with the same members one."""
+    keyed = cut.withColumnRenamed("value", "key")
+    several = stored(keyed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key"), "dedup-keys")
     held = stored(keyed.join(hinted(several), "key"), "dedup-members")
-    # Keys with the same members say the same.
     alike = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in (0, 1)]
-    whole_first = F.min(F.struct(F.col("key").bitwiseAND(F.lit(_WHOLE)) == 0, "key")).alias("best")
-    one = stored(held.groupBy("key").agg(F.count("*").alias("n"), *alike).groupBy("n", "s0", "s1").agg(whole_first).select("best.key"), "dedup-keys")
-    members = stored(held.join(hinted(one), "key").withColumn("label", F.col("node")), "dedup-members")
+    one = stored(held.groupBy("key").agg(F.count("*").alias("n"), *alike).groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key"), "dedup-keys")
+    members = stored(held.join(hinted(one), "key"), "dedup-members")
     discard(several, held, one)
-    ends = (F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-    found = []
-    for _ in range(STAR_ROUNDS):
-        first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "value", "size", "check", "label")).alias("c")
-        centre = stored(members.groupBy("key").agg(first).select("key", "c.node", "c.value", "c.size", "c.check", "c.label"), "dedup-centres")
-        pairs = members.alias("l").join(centre.alias("r"), (F.col("l.key") == F.col("r.key")) & _in_reach(similarity)).select(*ends)
-        found.append(_holding(pairs, sets_of, similarity))
-        roots = components(reduce(DataFrame.union, found))
+    return members
+
+
+def _relabelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the root of each label in its place."""
+    step = hinted(roots.select(F.col("node").alias("label"), "root"))
+    return rows.join(step, "label", "left").withColumn("label", F.coalesce("root", "label")).select(*rows.columns)
+
+
+def _stars(members: DataFrame, maps: list[DataFrame], sets_of, similarity: float, rounds: int) -> DataFrame:
+    """Holds every member of a key against one of them, some rounds; what labels become by each
+    round is added to ``maps``. Members of the keys that are still open come back."""
+    for _ in range(rounds):
+        if members.isEmpty():
+            break
+        first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "check", "label")).alias("c")
+        centre = stored(members.groupBy("key").agg(first).select("key", "c.node", "c.size", "c.check", "c.label"), "dedup-centres")
+        ends = [F.struct(F.col(f"{s}.node").alias("node"), F.col(f"{s}.label").alias("label")) for s in ("l", "r")]
+        pairs = members.alias("l").join(centre.alias("r"), (F.col("l.key") == F.col("r.key")) & _in_reach(similarity)).select(F.least(*ends).alias("left"), F.greatest(*ends).alias("right"))
+        links = _holding(pairs, sets_of, similarity)
+        roots = components(links)
+        maps.append(roots)
         # The centres have been held against all others of their keys.
-        left = members.join(centre.select("key", "node"), ["key", "node"], "left_anti").drop("label")
-        left = left.join(hinted(roots.select("node", F.col("root").alias("label"))), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        left = stored(left.select("key", "value", "node", "size", "check", "label"), "dedup-members")
+        left = stored(_relabelled(members.join(centre.select("key", "node"), ["key", "node"], "left_anti"), roots), "dedup-members")
         open_ = stored(left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key"), "dedup-keys")
-        discard(members, centre, roots)
+        discard(members, centre, links)
         members = stored(left.join(hinted(open_), "key"), "dedup-members")
         discard(left, open_)
-        if members.isEmpty():
-            break
-    else:
-        found.append(_met_in_blocks(members, sets_of, similarity))
-    links = stored(reduce(DataFrame.union, found).distinct(), "dedup-links")
-    discard(members, *found)
-    return links
+    return members
+
+
+def similar_roots(nodes: DataFrame, sets_of, similarity: float, bits: int) -> DataFrame:
+    """``node, root`` for every text with another in its component of candidate pairs of at least
+    that Jaccard similarity. Candidates share a key, one segment that differs in a bit at most.
+
+    Whole segments come first. Of each, every member is held against one other, which joins large
+    groups of copies, and what is left of crowded ones after some rounds is compared in blocks;
+    then no pair that shares a whole segment is open. Then come segments struck by one bit: these
+    are paired by value, so a crowd under a segment counts once, and only pairs of values with
+    texts of different groups are looked into. No candidate is dropped, every link is verified,
+    and pairs that links found before join need no test. Each round links groups found before, so
+    components are taken of ever smaller graphs.
+    """
+    maps: list[DataFrame] = []
+    start = nodes.withColumn("label", F.col("node"))
+    members = _stars(_members(_whole(start)), maps, sets_of, similarity, STAR_ROUNDS)
+    if not members.isEmpty():
+        links = _met_in_blocks(members, sets_of, similarity)
+        maps.append(components(links))
+        discard(links)
+    joined = stored(reduce(_relabelled, maps, start), "dedup-nodes")
+    pairs = _likely(joined, bits, similarity)
+    links = _holding(pairs, sets_of, similarity)
+    last = components(links)
+    moved = stored(_relabelled(joined.select("node", "label"), last).filter("node != label"), "dedup-moved")
+    roots = stored(moved.select("node", F.col("label").alias("root")).union(moved.select("label", "label").distinct()), "roots")
+    discard(members, joined, pairs, links, last, moved, *maps)
+    return roots
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = SEGMENTS, segment_bits: int = SEGMENT_BITS) -> DataFrame:
@@ -442,8 +508,8 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segme
 
     ``docs`` is read several times and never written; small tables of numbers are.
     """
-    rows = docs.withColumn(_HASH, F.xxhash64(F.col("text").cast("string")))
-    narrow = rows.select("doc_id", _HASH, F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias(_HASH), F.struct(*docs.columns).alias("__row"))
+    narrow = rows.select("doc_id", _HASH, F.col("__row.text").cast("string").alias("text"))
     prints = stored(_prints(narrow, words, segments, segment_bits), "dedup-prints")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     like = F.first(F.struct("size", "check", "segments")).alias("like")
@@ -458,20 +524,18 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segme
         discard(wanted)
         return found
 
-    links = similar_links(classes.select("node", "size", "check", "segments"), sets_of, similarity, segment_bits)
-    roots = components(links)
+    roots = similar_roots(classes.select("node", "size", "check", "segments"), sets_of, similarity, segment_bits)
     placed = stored(classes.select("node", "id_a", "id_b", "first", "n").join(hinted(roots), "node", "left").filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "node")), "dedup-placed")
     kept = placed.groupBy("root").agg(F.min("first").alias("keep"))
     groups = stored(placed.join(kept, "root").select("id_a", "id_b", F.col("keep.doc_id").alias("keep_id"), F.col("keep.hash").alias("keep_hash")), "dedup-groups")
     gone = prints.join(hinted(groups), ["id_a", "id_b"]).filter(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash"))))
     removed = stored(gone.select("doc_id", "hash").distinct(), "dedup-removed")
-    discard(prints, classes, links, roots, placed, groups)
+    discard(prints, classes, roots, placed, groups)
     named = lambda t: hinted(t.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__of")))
     at = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(_HASH) == F.col("__of"))
     out = rows.join(named(removed), at, "left_anti")
     if repeats:
         again = named(repeated)
-        once = out.join(again, at, "left_semi").select("doc_id", _HASH, F.struct(*docs.columns).alias("__row"))
-        once = once.groupBy("doc_id", _HASH).agg(F.first("__row").alias("__row")).select("__row.*")
-        return out.join(again, at, "left_anti").drop(_HASH).unionByName(once)
-    return out.drop(_HASH)
+        once = out.join(again, at, "left_semi").groupBy("doc_id", _HASH).agg(F.first("__row").alias("__row"))
+        return out.join(again, at, "left_anti").select("__row.*").unionByName(once.select("__row.*"))
+    return out.select("__row.*")
