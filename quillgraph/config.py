@@ -31,6 +31,11 @@ class Settings:
     answer_relevance: float = 0.7
     alias_edits: int = 1
     alias_times: int = 3
+    term_words: int = 3
+    term_letters: int = 3
+    term_likelihood: float = 10.83
+    term_value: float = 5.0
+    sketch_bits: int = 12
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
 

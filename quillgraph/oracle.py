@@ -28,6 +28,12 @@ _CUED = ", ".join(f"CASE WHEN list_has_any(words, {_list(words)}) THEN 1 ELSE 0
 _MOST = f"greatest({', '.join(f'cue{k}' for k in range(len(CUES)))})"
 _KIND = f"CASE {' '.join(f"WHEN {_MOST} > 0 AND cue{k} = {_MOST} THEN '{kind}'" for k, kind in enumerate(CUES))} WHEN contains(source_entity, target_entity) THEN 'contains' WHEN contains(target_entity, source_entity) THEN 'part_of' ELSE 'associated_with' END"
 
+
+
+def _sum_log(*cells: str) -> str:
+    return " + ".join(f"(CASE WHEN {c} > 0 THEN ({c}) * ln({c}) ELSE 0 END)" for c in cells)
+
+
 _VIEWS = {
     "v_document": f"""SELECT CAST(doc_id AS VARCHAR) AS _id, 'Document ' || doc_id AS title, '10.5555/' || substr(md5(text), 1, 16) AS doi,
         CAST(2000 + doc_id % 25 AS INTEGER) AS year, split_part(text, chr(10), 1) AS abstract, {_pick(DOCUMENT_STATUS, "doc_id")} AS status,
@@ -101,6 +107,15 @@ _VIEWS = {
     **{f"v_pick{k}": f"""SELECT s.*, round({S.answer_relevance}::DOUBLE * s.relevance - {1 - S.answer_relevance}::DOUBLE * likeness, 9) AS score FROM (SELECT s.section_id, s.nth, max(len(list_intersect(s.words, p.words)) / (len(s.words) + len(p.words) - len(list_intersect(s.words, p.words)))) AS likeness
         FROM v_sentence s, ({" UNION ALL ".join(f"SELECT * FROM v_pick{j}" for j in range(1, k))}) p GROUP BY ALL) JOIN v_sentence s USING (section_id, nth)
         WHERE (section_id, nth) NOT IN ({" UNION ALL ".join(f"SELECT (section_id, nth) FROM v_pick{j}" for j in range(1, k))}) ORDER BY score DESC, section_id, nth LIMIT 1""" for k in range(2, S.answer_sentences + 1)},
+    "v_words": f"SELECT document_id, {_TOKENS} AS words FROM v_section",
+    "v_run": f"""SELECT document_id, unnest(list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i : i + n - 1], ' '))) AS gram, n FROM v_words, range(1, {S.term_words + 1}) r(n) WHERE len(words) >= n""",
+    "v_runs": f"""SELECT gram, n, count(*) AS times, count(DISTINCT document_id) AS frequency FROM v_run GROUP BY ALL HAVING count(DISTINCT document_id) >= {S.entity_documents}""",
+    "v_split": f"""SELECT g.gram, n, times, frequency, array_to_string(string_split(gram, ' ')[1:k], ' ') AS a, array_to_string(string_split(gram, ' ')[k + 1:], ' ') AS b
+        FROM v_runs g, range(1, {S.term_words}) r(k) WHERE n > 1 AND k < n AND len(list_filter(string_split(gram, ' '), lambda w: length(w) < {S.term_letters})) = 0""",
+    "v_cell": "SELECT s.gram, s.n, s.times, s.frequency, s.times::DOUBLE AS k, a.times::DOUBLE AS x, b.times::DOUBLE AS y, (SELECT sum(len) FROM v_length)::DOUBLE AS t FROM v_split s JOIN v_runs a ON a.gram = s.a JOIN v_runs b ON b.gram = s.b",
+    "v_firm": f"""SELECT gram, n, times, frequency, min(CASE WHEN k * t > x * y THEN 2 * ({_sum_log("k", "x - k", "y - k", "greatest(t - x - y + k, 0)")} - ({_sum_log("x", "t - x", "y", "t - y")}) + {_sum_log("t")}) ELSE 0 END) AS likelihood
+        FROM v_cell GROUP BY ALL HAVING likelihood >= {S.term_likelihood}""",
+    "v_around": """SELECT part AS gram, avg(times) AS around FROM (SELECT DISTINCT gram, times, unnest([array_to_string(string_split(gram, ' ')[1:2], ' '), array_to_string(string_split(gram, ' ')[2:3], ' ')]) AS part FROM v_firm WHERE n = 3) GROUP BY part""",
     "v_upload": f"""SELECT CASE WHEN source = 'src7' THEN '' ELSE 'file' || doc_id || {_pick((".pdf", ".txt", ".docx", ".PDF", ".exe"), "doc_id")} END AS filename, n_chars * 20000 AS file_size FROM documents""",
     "v_checked": rf"""SELECT *, CASE WHEN NOT regexp_matches(filename, '\.(pdf|txt|docx)$') THEN 'bad_type' WHEN file_size > {S.max_upload_bytes} THEN 'too_large' END AS reason FROM v_upload""",
     "v_toxic": "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS _id FROM labels WHERE toxic = 1",
@@ -215,6 +230,8 @@ _BODIES = {
     "search_fused": f"""SELECT query_id, document_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, document_id) AS INTEGER) AS place
         FROM v_fused QUALIFY place <= {S.max_results}""",
     "search_answer_sentences": " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS place, section_id, CAST(nth AS INTEGER) AS nth, sentence, round(score, 6) AS score FROM v_pick{k}" for k in range(1, S.answer_sentences + 1)),
+    "extract_terms": f"""SELECT gram AS term, CAST(n AS INTEGER) AS n_words, frequency, times, round(likelihood, 2) AS likelihood, round(log2(n) * (times - coalesce(around, 0)), 4) AS value
+        FROM v_firm LEFT JOIN v_around USING (gram) WHERE log2(n) * (times - coalesce(around, 0)) >= {S.term_value}""",
     "search_many": "SELECT query_id, section_id, round(relevance_score, 6) AS relevance_score, place FROM v_best",
     "graph_path_records": """SELECT array_to_string(path, ' → ') AS path, a.entity_type || '|' || b.entity_type || '|' || c.entity_type AS entity_types, r.relationship_type || '|' || s.relationship_type AS relationship_types,
         format('{:.4f}', r.strength) || '|' || format('{:.4f}', s.strength) AS strengths, round(total_strength, 6) AS total_strength FROM v_spoke2

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.config import SETTINGS
 from quillgraph.functions.scalars import TOKEN, arrow_path, display_megabytes, display_percent, iso_time
-from quillgraph.operators import aliases, answers, graph, listing, mutations, retrieval, spreading, validation
+from quillgraph.operators import aliases, answers, graph, listing, mutations, retrieval, sketches, spreading, terms, validation
 from quillgraph.operators.vector_index import VectorIndex
 from quillgraph.plans import views as plans
 from quillgraph.plans.views import Graph, _pick
@@ -351,6 +351,27 @@ def corrected_aliases(spark, sf_dir):
     return aliases.corrected(g.mentions.groupBy("name").agg(F.count("*").alias("n")))
 
 
+@query
+def extract_terms(spark, sf_dir):
+    """Terms of two and three words that belong together."""
+    g = Graph(spark, sf_dir)
+    counts = g._stored("run-counts", lambda: terms.run_counts(g.sections))
+    total = g.index.about.select((F.col("n") * F.col("mean")).alias("words")).first().words
+    found = terms.terms(counts, round(total))
+    return found.withColumns({"likelihood": F.round("likelihood", 2), "value": F.round("value", 4)})
+
+
+@query
+def entity_frequency_sketched(spark, sf_dir):
+    """Frequencies from the sketches of four batches of documents, merged one after another."""
+    g = Graph(spark, sf_dir)
+    batch = lambda k: sketches.batch_sketches(g.mentions.filter(F.pmod(F.col("document_id").cast("long"), F.lit(4)) == k))
+    held = batch(0)
+    for k in (1, 2, 3):
+        held = sketches.merged(held, batch(k))
+    return sketches.frequencies(held)
+
+
 @query
 def entity_records(spark, sf_dir):
     g = Graph(spark, sf_dir)
