@@ -295,9 +295,9 @@ def _prints(rows: DataFrame, words: int, segments: int, bits: int) -> DataFrame:
 
 def _whole(nodes: DataFrame) -> DataFrame:
     """Every node (with size, check and label) under each of its whole segments, ``value``."""
-    cut = nodes.select("node", "size", "check", "label", F.posexplode("segments").alias("segment", "bits"))
+    cut = nodes.select("node", "size", "check", "label", "segments", F.posexplode("segments").alias("segment", "bits"))
     value = F.expr("shiftleft(cast(segment as bigint), 56)").bitwiseOR(F.col("bits"))
-    return cut.select(value.alias("value"), "node", "size", "check", "label")
+    return cut.select(value.alias("value"), "node", "size", "check", "label", "segments")
 
 
 def _neighbours(cut: DataFrame, bits: int) -> DataFrame:
@@ -333,16 +333,18 @@ def _likely(nodes: DataFrame, bits: int, similarity: float) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     asked = stored(near.select("small", "large", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")), "dedup-neighbours")
     wanted = stored(near.select("large", blocks.alias("blocks")).distinct(), "dedup-neighbours")
-    of = nodes.select("node", "segments")
-    small = cut.select(F.col("value").alias("small"), "node", "size", "check", "label").join(hinted(asked), "small")
-    large = cut.select(F.col("value").alias("large"), "node", "size", "check", "label").join(hinted(wanted), "large").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    met = small.alias("l").join(large.alias("r"), (F.col("l.large") == F.col("r.large")) & (F.col("l.block") == F.col("r.block")) & _in_reach(similarity))
+    small = cut.select(F.col("value").alias("small"), "node", "size", "check", "label", "segments").join(hinted(asked), "small")
+    large = cut.select(F.col("value").alias("large"), "node", "size", "check", "label", "segments").join(hinted(wanted), "large").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    # A pair that meets in several segments counts in the first; one with a whole segment in common
+    # has been tested.
+    here = F.shiftright("l.small", 56).cast("int")
+    meets = lambda x, y: (F.bit_count(x.bitwiseXOR(y)) == 1) | ((F.bit_count(x.bitwiseXOR(y)) == 2) & (F.bit_count(x) == F.bit_count(y)))
+    both = lambda f: F.zip_with("l.segments", "r.segments", f)
+    once = ~F.exists(both(lambda x, y: x == y), lambda x: x) & ~F.exists(F.slice(both(meets), F.lit(1), here), lambda x: x)
+    met = small.alias("l").join(large.alias("r"), (F.col("l.large") == F.col("r.large")) & (F.col("l.block") == F.col("r.block")) & _in_reach(similarity) & once)
     ends = [F.struct(F.col(f"{s}.node").alias("node"), F.col(f"{s}.label").alias("label")) for s in ("l", "r")]
-    pairs = stored(met.select(F.least(*ends).alias("left"), F.greatest(*ends).alias("right")).distinct(), "dedup-pairs")
-    side = lambda s: of.select(F.col("node").alias(f"{s}_node"), F.col("segments").alias(f"{s}_segments"))
-    both = pairs.select("left", "right", F.col("left.node").alias("l_node"), F.col("right.node").alias("r_node")).join(side("l"), "l_node").join(side("r"), "r_node")
-    out = stored(both.filter(~F.exists(F.zip_with("l_segments", "r_segments", lambda a, b: a == b), lambda x: x)).select("left", "right"), "dedup-pairs")
-    discard(near, asked, wanted, pairs)
+    out = stored(met.select(F.least(*ends).alias("left"), F.greatest(*ends).alias("right")).distinct(), "dedup-pairs")
+    discard(near, asked, wanted)
     return out
 
 
@@ -429,7 +431,7 @@ def _met_in_blocks(members: DataFrame, sets_of, similarity: float) -> DataFrame:
 def _members(cut: DataFrame) -> DataFrame:
     """Members (key, node, size, check, label) of the segments that several texts share, stored;
     of segments with the same members one."""
-    keyed = cut.withColumnRenamed("value", "key")
+    keyed = cut.withColumnRenamed("value", "key").drop("segments")
     several = stored(keyed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key"), "dedup-keys")
     held = stored(keyed.join(hinted(several), "key"), "dedup-members")
     alike = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in (0, 1)]
