@@ -66,3 +66,20 @@ def test_relationships_equal_all_pairs(spark):
     found = {(r.source_entity, r.target_entity, r.n_together, r.n_either) for r in g.relationships.collect()}
     assert found == {(a, b, n, x + y - n) for a, b, x, y, n, _ in brute(rows, SETTINGS.relationship_floor)}
     assert sum(n / e >= 0.5 for *_, n, e in found) > 1000
+
+
+def test_what_is_written_follows_the_postings(spark, monkeypatch):
+    """Most pairs of sets meet somewhere and hardly any are alike: none of them is written."""
+    rnd, written = random.Random(5), []
+    rows = [(f"s{k:03}", e, 1) for e in range(60) for k in rnd.sample(range(100), 20)]
+    kept = setjoin.materialized
+
+    def counted(df, name):
+        out = kept(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(setjoin, "materialized", counted)
+    found = setjoin.similar_sets(spark.createDataFrame(rows, "name string, e int, mark int"), 0.3, element=("e",), sums=("mark",))
+    assert {tuple(r) for r in found.select("a", "b", "n_a", "n_b", "n_together", "mark").collect()} == brute(rows, 0.3)
+    assert sum(written) < len(rows)
