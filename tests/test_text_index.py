@@ -94,3 +94,20 @@ def test_vectors_of_several_widths(spark):
     before = keyed(retrieval.vector_topk(plain, plain.filter(asked), 5))
     after = keyed(retrieval.vector_topk(mixed, mixed.filter(asked), 5))
     assert len(before) == 15 and after == before | {(99, 99, 1.0)}
+
+
+def test_few_words_leave_the_postings_in_place(spark):
+    """Texts are shuffled once to be indexed, and no posting is to score one question."""
+    rows = [(f"{k}:1", " ".join(f"w{(k * j) % 97}" for j in range(20))) for k in range(300)]
+    texts, made = spark.createDataFrame(rows, "_id string, content string"), {}
+
+    def noted(name, build):
+        made[name] = build()
+        return store(name, lambda: made[name])
+
+    index = text_index.TextIndex.of(texts, noted)
+    assert made["section-index-postings"]._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    found = index.all_scores(spark.createDataFrame([(1, "w5 w7")], "query_id int, query string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(term" not in plan
+    assert found.count() == sum(bool({"w5", "w7"} & set(text.split())) for _, text in rows)
