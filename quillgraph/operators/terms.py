@@ -10,6 +10,10 @@ from quillgraph.functions.scalars import tokens
 from quillgraph.sources.tables import materialized
 
 
+#: Sections whose runs of words are counted in one task, on average.
+SECTION_BLOCK = 8192
+
+
 def runs(words: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` words of an array, each as one string with blanks between."""
     of = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
@@ -18,8 +22,11 @@ def runs(words: Column, longest: int) -> Column:
 
 def run_counts(sections: DataFrame, longest: int = SETTINGS.term_words, documents: int = SETTINGS.entity_documents) -> DataFrame:
     """gram, times and frequency (documents) of all runs of words in enough documents. A run of
-    words is counted by document first, and every part of a run that stays, stays too."""
-    cut = sections.select("document_id", tokens(F.col("content")).alias("words"))
+    words is counted by document first, where the documents' sections are, and every part of a run
+    that stays, stays too."""
+    tasks = max(1, -(-sections.count() // SECTION_BLOCK))
+    cut = sections.select("document_id", "content").repartition(tasks, "document_id")
+    cut = cut.select("document_id", tokens(F.col("content")).alias("words"))
     each = cut.select("document_id", F.explode(runs(F.col("words"), longest)).alias("gram"))
     by_document = each.groupBy("gram", "document_id").agg(F.count("*").alias("times"))
     counts = by_document.groupBy("gram").agg(F.sum("times").alias("times"), F.count("*").alias("frequency"))

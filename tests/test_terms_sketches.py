@@ -93,3 +93,13 @@ def test_sketched_query_is_near_the_counts(spark):
 def test_timer(spark):
     row = retrieval.timed(lambda: spark.range(3).withColumn("x", F.col("id") * 2)).collect()
     assert [r.x for r in sorted(row)] == [0, 2, 4] and len({r.processing_time for r in row}) == 1 and row[0].processing_time > 0
+
+
+def test_runs_are_shuffled_once(spark, monkeypatch):
+    """What is counted by document stays where the document's sections are."""
+    monkeypatch.setattr(terms, "SECTION_BLOCK", 4, raising=False)
+    sections = spark.createDataFrame([(str(k % 7), "one two three") for k in range(35)], "document_id string, content string")
+    counts = terms.run_counts(sections)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(gram") == 1
+    assert {(r.gram, r.times, r.frequency) for r in counts.collect()} == {(g, 35, 7) for g in ("one", "two", "three", "one two", "two three", "one two three")}
