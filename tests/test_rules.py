@@ -193,3 +193,13 @@ def test_display(spark):
         scalars.arrow_path(F.array(F.lit("a"), F.lit("b"))).alias("p"), scalars.display_percent(F.lit(0.12345)).alias("q"), scalars.display_megabytes(F.lit(1_572_864)).alias("m"), scalars.iso_time(now()).alias("t")
     ).first()
     assert tuple(row) == ("a → b", 12.3, 1.5, "2023-11-14T22:13:20.000000")
+
+
+def test_cues_are_found_once_a_section(spark, small):
+    """The words of a section are cut and searched for cues before a row is made of each name."""
+    plan = views.mentions(views.sections(spark, small))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate posexplode")]
+    assert "array_intersect" not in above and "arrays_overlap" not in above and plan.count("regexp_extract_all") == 1
+    lines = spark.createDataFrame([("1", 1, "Measured with spectrometers, spectrometers and standards"), ("1", 2, "short"), ("1", 3, "standards it uses")], "document_id string, order int, content string")
+    found = sorted(tuple(r) for r in views.mentions(lines).collect())
+    assert found == [("1", 1, 2, 0, "measured"), ("1", 1, 2, 1, "spectrometers"), ("1", 1, 2, 2, "standards"), ("1", 3, 1, 0, "standards")]
