@@ -10,24 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.sources.tables import spread
+from quillgraph.sources.tables import modest_batches, spread
 
 #: One document in five is held out of every fit.
 FOLDS = 5
 
 
-#: Rows and bytes of an Arrow batch. Spark's own 10,000 rows are too many for whole texts.
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
-
-
-def modest_batches(spark: SparkSession) -> None:
-    """Bound what Python workers and the JVM hold of texts at a time. A setting of the user's
-    own is left alone."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table; a small one is dealt out to all cores."""
     modest_batches(spark)

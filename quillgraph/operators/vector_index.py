@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from quillgraph.config import SETTINGS
 from quillgraph.operators.retrieval import vector_topk
+from quillgraph.sources.tables import modest_batches
 
 Store = Callable[[str, Callable[[], DataFrame]], DataFrame]
 
 #: Lists at most, vectors of a block, and queries that are compared with a block at a time.
 MOST_LISTS, BLOCK, QUERY_BLOCK = 4096, 1024, 1024
+#: Similarities that are held at a time, and bytes of packed queries in a batch, about.
+HELD, BATCH_BYTES = 1 << 20, 4 << 20
 #: Vectors for each list that centres are fitted on, at most, and turns of k-means.
 SAMPLE, TURNS = 256, 8
 #: Queries whose true neighbours tell how many lists to read, and the share of these to cover.
@@ -44,9 +47,14 @@ def _usable(vectors: DataFrame, key: str, field: str) -> DataFrame:
 
 
 def _nearest(batch: pa.RecordBatch, width: int, centres: np.ndarray, n: int) -> np.ndarray:
-    """The n nearest centres of each vector of a batch, nearest first."""
-    near = _units(batch.column("v"), width) @ centres.T
-    return np.argsort(-near, axis=1, kind="stable")[:, :n]
+    """The n nearest centres of each vector of a batch, nearest first. What is held besides the
+    result grows neither with the batch nor with the number of centres."""
+    units, out = _units(batch.column("v"), width), np.zeros((batch.num_rows, min(n, len(centres))), np.int32)
+    rows = max(1, HELD // max(1, len(centres)))
+    for at in range(0, batch.num_rows, rows):
+        near = units[at : at + rows] @ centres.T
+        out[at : at + rows] = near.argmax(1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
+    return out
 
 
 def _fitted(sample: DataFrame, width: int, n: int) -> np.ndarray:
@@ -90,6 +98,7 @@ class VectorIndex:
     def of(cls, vectors: DataFrame, store: Store, key: str = "vec_id", field: str = "embedding", lists: int | None = None, k: int = SETTINGS.vector_candidates) -> VectorIndex:
         """Index every vector that has a direction. ``lists``: about four square roots of the
         number of vectors unless given."""
+        modest_batches(vectors.sparkSession)
         rows = store("index-vectors", lambda: _usable(vectors, key, field))
         common = rows.groupBy("width").count().orderBy(F.desc("count"), "width").first()
         width, total = common or (1, 0)
@@ -143,11 +152,17 @@ class VectorIndex:
                 for at in range(0, whole.num_rows, QUERY_BLOCK):
                     batch = whole.slice(at, QUERY_BLOCK)
                     ids, units, near = batch.column("id").to_numpy(), _units(batch.column("v"), width), _nearest(batch, width, centres, n)
-                    rows = []
-                    for k in np.unique(near).tolist():
-                        who = np.flatnonzero((near == k).any(1))
-                        rows.append((k, ids[who].astype("<i8").tobytes(), units[who].astype("<f8").tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["list", "asked", "asked_vectors"])
+                    # Each query stands once in a row of ``near``, so lists come as runs of this order.
+                    order = np.argsort(near, axis=None, kind="stable")
+                    starts = np.flatnonzero(np.diff(near.ravel()[order], prepend=-1))
+                    rows, size = [], 0
+                    for run_, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+                        who = order[run_:stop] // near.shape[1]
+                        rows.append((int(near.ravel()[order[run_]]), ids[who].astype("<i8").tobytes(), units[who].astype("<f8").tobytes()))
+                        size += len(rows[-1][2])
+                        if size >= BATCH_BYTES or stop == len(order):
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["list", "asked", "asked_vectors"])
+                            rows, size = [], 0
 
         rows = _usable(queries, key, field).filter(F.col("width") == width)
         return rows.mapInArrow(run, "list int, asked binary, asked_vectors binary")
@@ -157,6 +172,8 @@ class VectorIndex:
         smaller id, and n_read, how many vectors it was compared with. Queries of another width
         than the lists' are compared with all vectors of theirs."""
         width = self.width
+        # Rows of queries and vectors that meet are a megabyte each.
+        modest_batches(queries.sparkSession)
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -56,3 +56,17 @@ def test_odd_vectors(spark):
     assert found == {(0, 0, 1.0), (0, 5, 1.0), (0, 10, 1.0), (60, 60, 1.0), (60, 61, 1.0)}
     empty = VectorIndex.of(table.filter("false"), store)
     assert empty.search(table, 3).count() == 0
+
+
+def test_batches_stay_small(spark, monkeypatch):
+    """What is packed for the lists leaves in small batches, and nothing is lost by that."""
+    monkeypatch.setattr(vector_index, "HELD", 64)
+    monkeypatch.setattr(vector_index, "BATCH_BYTES", 4096)
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rng.normal(size=(400, 8)))], "vec_id long, embedding array<float>")
+    index = VectorIndex.of(table, store, lists=30, k=5)
+    exact = {(r.query_id, r.vec_id) for r in retrieval.vector_topk(table, table, 5).collect()}
+    assert {(r.query_id, r.id) for r in index.search(table, 5, probes=30).collect()} == exact
+    seen = index.probed(table, probes=30).mapInArrow(lambda batches: (vector_index.pa.RecordBatch.from_pydict({"n": [sum(map(len, b.column("asked_vectors").to_pylist()))]}) for b in batches), "n long")
+    assert sum(r.n for r in index.probed(table, probes=30).select(F.length("asked_vectors").alias("n")).collect()) == 400 * 30 * 64
+    assert seen.agg(F.sum("n")).first()[0] == 400 * 30 * 64 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
