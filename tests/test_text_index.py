@@ -111,3 +111,26 @@ def test_few_words_leave_the_postings_in_place(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(term" not in plan
     assert found.count() == sum(bool({"w5", "w7"} & set(text.split())) for _, text in rows)
+
+
+def test_many_questions_meet_texts_in_blocks(spark, graph, fine, monkeypatch):
+    """No row for a word of a question in a text is shuffled, and the results are those of bounds."""
+    sections = graph.sections.select("_id", "content").cache()
+    index = text_index.TextIndex.of(sections, store)
+    asked = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").filter("role = 'user' and conv_id < 20").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+    keyed = lambda df: sorted((r.query_id, r.place, r._id, round(r.relevance_score, 8)) for r in df.collect())
+    monkeypatch.setattr(text_index, "FEW", 1 << 40)
+    want = keyed(index.top(asked))
+    monkeypatch.setattr(text_index, "FEW", 0)
+    for name, value in (("QUESTION_BLOCK", 7), ("MET_RANGES", 50), ("AT_A_TIME", 5)):
+        monkeypatch.setattr(text_index, name, value)
+    found = index.top(asked)
+    assert keyed(found) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "inline(" not in plan
+    odd = spark.createDataFrame([("none", "qqqqzzzz"), ("null", None)], "query_id string, query string")
+    assert index.top(odd).count() == 0
+    assert text_index.TextIndex.of(sections.filter("false"), store).top(asked).count() == 0
+    # Of copies with one score those of the least ids stay.
+    same = text_index.TextIndex.of(spark.createDataFrame([(f"c{i:02d}", "alpha beta") for i in range(30)], "_id string, content string"), store)
+    assert [r._id for r in same.top(spark.createDataFrame([(1, "alpha")], "query_id int, query string"), 3).orderBy("place").collect()] == ["c00", "c01", "c02"]
