@@ -244,6 +244,8 @@ CHECK_WORDS, CHECK_BITS, WIDE_BITS, SMALL_SET = 16, 22, 201, 40
 #: Rounds of links to one member of each key before the pairs left are held against each other in
 #: blocks of at most so many texts and shingles.
 STAR_ROUNDS, BLOCK_ROWS, BLOCK_SHINGLES = 2, 256, 1 << 21
+#: Pairs for each text of a segment and its neighbours beyond which these meet in blocks.
+CROWDED_PAIRS = 16
 _GOLDEN, _MIX = 0x9E3779B97F4A7C15, np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _BITS_OF_BYTE = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float32)
 _HASH = "__simhash_text"
@@ -301,8 +303,8 @@ def _whole(nodes: DataFrame) -> DataFrame:
 
 
 def _neighbours(cut: DataFrame, bits: int) -> DataFrame:
-    """Pairs of whole segments (small, large, by their numbers of texts, and that of the large
-    one) that differ in a bit, or in one bit each from what both are without it, and that hold
+    """Pairs of whole segments (small, large, by their numbers of texts, and these, n_small and
+    n_large) that differ in a bit, or in one bit each from what both are without it, and that hold
     texts of different labels.
 
     ``cut``: texts under their whole segments. Each distinct segment stands under its own value
@@ -319,18 +321,23 @@ def _neighbours(cut: DataFrame, bits: int) -> DataFrame:
     # A key has at most one value for each bit and its own.
     order = (F.struct("l.n", "l.value") < F.struct("r.n", "r.value")) & (F.least("l.x", "r.x") != F.greatest("l.y", "r.y"))
     pairs = shared.alias("l").join(shared.alias("r"), (F.col("l.key") == F.col("r.key")) & order)
-    out = stored(pairs.select(F.col("l.value").alias("small"), F.col("r.value").alias("large"), F.col("r.n").alias("n")).distinct(), "dedup-neighbours")
+    out = stored(pairs.select(F.col("l.value").alias("small"), F.col("r.value").alias("large"), F.col("l.n").alias("n_small"), F.col("r.n").alias("n_large")).distinct(), "dedup-neighbours")
     discard(held, several, shared)
     return out
 
 
-def _likely(nodes: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """Pairs (left and right: structs of node and label) of texts in neighbouring segments that
-    have no whole segment in common, lie in different groups and are alike by size and second
-    fingerprint. Large segments are met in blocks."""
-    cut = _whole(nodes)
-    near = _neighbours(cut.select("value", "label"), bits)
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+def _crowded(near: DataFrame) -> DataFrame:
+    """The large segments (``large``) that have far more pairs of texts with their neighbours than
+    texts, stored."""
+    of = near.groupBy("large").agg(F.sum(F.col("n_small") * F.col("n_large")).alias("pairs"), (F.sum("n_small") + F.max("n_large")).alias("texts"))
+    return stored(of.filter(F.col("pairs") > CROWDED_PAIRS * F.col("texts")).select("large"), "dedup-crowded")
+
+
+def _likely(cut: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (left and right: structs of node and label) of texts in neighbouring segments
+    (``near``) that have no whole segment in common, lie in different groups and are alike by size
+    and second fingerprint. Large segments are met in blocks."""
+    blocks = F.ceil(F.col("n_large") / BLOCK_ROWS).cast("int")
     asked = stored(near.select("small", "large", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")), "dedup-neighbours")
     wanted = stored(near.select("large", blocks.alias("blocks")).distinct(), "dedup-neighbours")
     small = cut.select(F.col("value").alias("small"), "node", "size", "check", "label", "segments").join(hinted(asked), "small")
@@ -344,7 +351,7 @@ def _likely(nodes: DataFrame, bits: int, similarity: float) -> DataFrame:
     met = small.alias("l").join(large.alias("r"), (F.col("l.large") == F.col("r.large")) & (F.col("l.block") == F.col("r.block")) & _in_reach(similarity) & once)
     ends = [F.struct(F.col(f"{s}.node").alias("node"), F.col(f"{s}.label").alias("label")) for s in ("l", "r")]
     out = stored(met.select(F.least(*ends).alias("left"), F.greatest(*ends).alias("right")).distinct(), "dedup-pairs")
-    discard(near, asked, wanted)
+    discard(asked, wanted)
     return out
 
 
@@ -386,20 +393,23 @@ def _holding(pairs: DataFrame, sets_of, similarity: float) -> DataFrame:
     return found
 
 
-def _met_in_blocks(members: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """Links (of labels) within crowded keys: members are dealt into blocks, each pair of blocks is a
-    task, and what it returns is a spanning forest of the links it finds on whole sets, never the
-    pairs."""
-    total = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_SHINGLES)
-    blocks = stored(members.groupBy("key").agg(F.ceil(total).cast("int").alias("blocks")), "dedup-blocks")
-    sets = sets_of(members.select("node").distinct())
-    dealt = members.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "size", "check").join(sets, "node")
+def _meeting(similarity: float):
+    """A function of the rows of one pair of blocks (key, i, j, own, node, label, size, check,
+    shingles and, of neighbouring segments, segments): a spanning forest of the links of their
+    labels, found on whole sets, never the pairs. Rows of one block meet each other, rows of two
+    blocks those of the other one."""
+
+    def once(mine: np.ndarray, others: np.ndarray, here: int) -> np.ndarray:
+        """What ``_likely`` asks for: no whole segment in common, none met in before this one."""
+        apart = np.bitwise_count(mine ^ others)
+        meets = (apart == 1) | ((apart == 2) & (np.bitwise_count(mine) == np.bitwise_count(others)))
+        return ~(apart == 0).any(1) & ~meets[:, :here].any(1)
 
     def meet(table: pa.Table) -> pa.Table:
         col = lambda c: table.column(c).to_numpy()
-        node, own, size = col("node"), col("own"), col("size")
-        check = np.ascontiguousarray(table.column("check").combine_chunks().flatten().to_numpy()).view(np.uint64).reshape(-1, CHECK_WORDS)
+        wide = lambda c: np.ascontiguousarray(table.column(c).combine_chunks().flatten().to_numpy()).view(np.uint64).reshape(len(table), -1)
+        own, size, check = col("own"), col("size"), wide("check")
+        segments = wide("segments") if "segments" in table.column_names else None
         sets = [np.asarray(x.values, np.int64) for x in table.column("shingles")]
         group = {x: x for x in col("label").tolist()}
 
@@ -408,13 +418,17 @@ def _met_in_blocks(members: DataFrame, sets_of, similarity: float) -> DataFrame:
                 group[x] = x = group[group[x]]
             return x
 
-        label, out, apart = col("label").tolist(), [], len(set(own.tolist())) > 1
-        for a in range(len(node)):
+        label, out = col("label").tolist(), []
+        apart, here = table.column("i")[0].as_py() != table.column("j")[0].as_py(), table.column("key")[0].as_py() >> 56
+        for a in range(len(label)):
             bits = np.bitwise_count(check[a] ^ check)
             near = (bits[:, 0] <= CHECK_BITS) & ((np.minimum(size[a], size) < SMALL_SET) | (bits.sum(1, dtype=np.int64) <= WIDE_BITS))
             near &= np.minimum(size[a], size) >= similarity * np.maximum(size[a], size) - 1e-9
-            near &= (own > own[a]) if apart else (np.arange(len(node)) > a)
-            for b in np.flatnonzero(near).tolist():
+            near &= (own > own[a]) if apart else (np.arange(len(label)) > a)
+            found = np.flatnonzero(near)
+            if segments is not None and len(found):
+                found = found[once(segments[a], segments[found], here)]
+            for b in found.tolist():
                 if root(label[a]) == root(label[b]):
                     continue
                 both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
@@ -423,11 +437,47 @@ def _met_in_blocks(members: DataFrame, sets_of, similarity: float) -> DataFrame:
                     group[root(label[a])] = root(label[b])
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    found = stored(dealt.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long"), "dedup-links")
+    return meet
+
+
+def _blocks() -> Column:
+    return F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+
+
+def _met_in_blocks(members: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """Links (of labels) within crowded keys: members are dealt into blocks, each pair of blocks is a
+    task that returns a forest of the links it finds."""
+    blocks = stored(members.groupBy("key").agg(_blocks()), "dedup-blocks")
+    sets = sets_of(members.select("node").distinct())
+    dealt = members.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "size", "check").join(sets, "node")
+    found = stored(dealt.groupBy("key", "i", "j").applyInArrow(_meeting(similarity), "a long, b long"), "dedup-links")
     discard(blocks, sets)
     return found
 
 
+def _met_across(cut: DataFrame, near: DataFrame, crowded: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """Links (of labels) between the texts of crowded segments and those of their neighbours: the
+    texts of either side are dealt into blocks, each block of one side and of the other is a task
+    that returns a forest of the links it finds. So a text is read as often as the other side has
+    blocks, and the pairs are written nowhere."""
+    rows = lambda to, side: cut.join(hinted(to), "value").select("key", F.lit(side).alias("own"), "node", "label", "size", "check", "segments")
+    asked = stored(near.join(hinted(crowded), "large").select(F.col("small").alias("value"), F.col("large").alias("key")), "dedup-neighbours")
+    wanted = crowded.select(F.col("large").alias("value"), F.col("large").alias("key"))
+    members = stored(rows(asked, 0).unionByName(rows(wanted, 1)), "dedup-members")
+    blocks = members.groupBy("key", "own").agg(_blocks())
+    here, there = blocks.select("key", "own", "blocks"), blocks.select("key", (1 - F.col("own")).alias("own"), F.col("blocks").alias("others"))
+    blocks = stored(here.join(there, ["key", "own"]), "dedup-blocks")
+    sets = sets_of(members.select("node").distinct())
+    dealt = members.join(blocks, ["key", "own"]).withColumn("at", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("to", F.explode(F.expr("sequence(0, others - 1)")))
+    # Blocks of the second side have numbers below 0.
+    i, j = (F.when(F.col("own") == own, F.col(near)).otherwise(F.col(far)) for own, near, far in ((0, "at", "to"), (1, "at", "to")))
+    dealt = dealt.select("key", i.alias("i"), (-1 - j).alias("j"), "own", "node", "label", "size", "check", "segments").join(sets, "node")
+    found = stored(dealt.groupBy("key", "i", "j").applyInArrow(_meeting(similarity), "a long, b long"), "dedup-links")
+    discard(asked, members, blocks, sets)
+    return found
+
+
 def _members(cut: DataFrame) -> DataFrame:
     """Members (key, node, size, check, label) of the segments that several texts share, stored;
     of segments with the same members one."""
@@ -477,7 +527,8 @@ def similar_roots(nodes: DataFrame, sets_of, similarity: float, bits: int) -> Da
     groups of copies, and what is left of crowded ones after some rounds is compared in blocks;
     then no pair that shares a whole segment is open. Then come segments struck by one bit: these
     are paired by value, so a crowd under a segment counts once, and only pairs of values with
-    texts of different groups are looked into. No candidate is dropped, every link is verified,
+    texts of different groups are looked into: of crowded values in blocks, too, of the others pair
+    by pair, at most ``CROWDED_PAIRS`` for each text of a value and its neighbours. No candidate is dropped, every link is verified,
     and pairs that links found before join need no test. Each round links groups found before, so
     components are taken of ever smaller graphs.
     """
@@ -489,12 +540,19 @@ def similar_roots(nodes: DataFrame, sets_of, similarity: float, bits: int) -> Da
         maps.append(components(links))
         discard(links)
     joined = stored(reduce(_relabelled, maps, start), "dedup-nodes")
-    pairs = _likely(joined, bits, similarity)
+    near = _neighbours(_whole(joined).select("value", "label"), bits)
+    crowded = _crowded(near)
+    if not crowded.isEmpty():
+        links = _met_across(_whole(joined), near, crowded, sets_of, similarity)
+        maps.append(components(links))
+        before, joined = joined, stored(_relabelled(joined, maps[-1]), "dedup-nodes")
+        discard(before, links)
+    pairs = _likely(_whole(joined), near.join(hinted(crowded), "large", "left_anti"), similarity)
     links = _holding(pairs, sets_of, similarity)
     last = components(links)
     moved = stored(_relabelled(joined.select("node", "label"), last).filter("node != label"), "dedup-moved")
     roots = stored(moved.select("node", F.col("label").alias("root")).union(moved.select("label", "label").distinct()), "roots")
-    discard(members, joined, pairs, links, last, moved, *maps)
+    discard(members, joined, near, crowded, pairs, links, last, moved, *maps)
     return roots
 
 

@@ -193,3 +193,28 @@ def test_crowd_at_the_edge_of_similarity(spark, monkeypatch):
         by_id[k] = " ".join(words)
     table = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
     assert {r.doc_id for r in simhash.deduplicated(table).collect()} == _kept_by_brute_force(by_id)
+
+
+def test_crowded_neighbours_meet_in_blocks(spark, monkeypatch):
+    """Texts on both sides of 0.8, all their segments taken as crowded: no pair of them is written,
+    and the links are those of all pairs."""
+    rng = np.random.default_rng(5)
+    base, by_id = _prose(rng, 300), {}
+    for k in range(120):
+        words = list(base)
+        for at in rng.choice(300, int(rng.integers(3, 6)), replace=False):
+            words[at] = f"own{k}x{at}"
+        by_id[k] = " ".join(words)
+    table = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
+    written, stored = [], simhash.stored
+
+    def counted(df, name, *more):
+        out = stored(df, name, *more)
+        written.extend([out.count()] if name == "dedup-pairs" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    monkeypatch.setattr(simhash, "CROWDED_PAIRS", 0, raising=False)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
+    assert {r.doc_id for r in simhash.deduplicated(table).collect()} == _kept_by_brute_force(by_id)
+    assert written == [0]
