@@ -60,7 +60,12 @@ def best_fit(lengths: Counter, capacity: int, open_bins: Plan | None = None) ->
                 insort(free, rest)
             room[rest][tuple(sorted(old + (length,) * each, reverse=True))] += used
             left -= each * used
-    return sum(room.values(), Counter())
+    out = Counter()
+    for bins in room.values():  # added in place: a sum of counters copies all bins for each
+        for b, n in bins.items():
+            if n > 0:
+                out[b] += n
+    return out
 
 
 def fitness(plan: Plan, capacity: int) -> tuple[int, float]:

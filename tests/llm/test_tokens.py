@@ -206,3 +206,23 @@ def test_plans_keep_every_length(lengths, seed):
                 held[k] += n
         assert held == lengths
     assert sum(plans[4].values()) <= sum(first.values())
+
+
+def test_best_fit_gathers_its_bins_in_one_go(monkeypatch):
+    """Hundreds of kinds of bins are not copied once for each room that bins have left."""
+    copies = []
+
+    class Counted(Counter):
+        def __add__(self, other):
+            copies.append(len(self))
+            return Counter.__add__(self, other)
+
+    monkeypatch.setattr(packing, "Counter", Counted)
+    monkeypatch.setattr(packing, "defaultdict", lambda kind: defaultdict(Counted))
+    lengths = Counter({k: 3 for k in range(400, 1000)})
+    plan = packing.best_fit(lengths, 1000)
+    held = Counter()
+    for b, n in plan.items():
+        for k in b:
+            held[k] += n
+    assert held == lengths and all(sum(b) <= 1000 for b in plan) and not copies
