@@ -70,3 +70,18 @@ def test_batches_stay_small(spark, monkeypatch):
     seen = index.probed(table, probes=30).mapInArrow(lambda batches: (vector_index.pa.RecordBatch.from_pydict({"n": [sum(map(len, b.column("asked_vectors").to_pylist()))]}) for b in batches), "n long")
     assert sum(r.n for r in index.probed(table, probes=30).select(F.length("asked_vectors").alias("n")).collect()) == 400 * 30 * 64
     assert seen.agg(F.sum("n")).first()[0] == 400 * 30 * 64 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+
+
+def test_few_similarities_are_sorted(monkeypatch):
+    """The k best of each row as by a sort of all, with ties, gaps and few columns, from a sort of few."""
+    rng = np.random.default_rng(2)
+    near = np.round(rng.random((20, 3000)), 3)
+    near[3, :40], near[4], near[5, 7] = np.nan, np.nan, 2
+    keys = rng.permutation(3000)
+    whole = [np.lexsort((keys, -np.round(row, 9)))[:10].tolist() for row in near]
+    sizes, sort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda by: sizes.append(len(by[0])) or sort(by))
+    assert [order.tolist() for order in retrieval._nearest(near, keys, 10)] == whole
+    assert sorted(sizes)[-2] < 100
+    assert [order.tolist() for order in retrieval._nearest(near[:, :3], keys[:3], 10)] == [sort((keys[:3], -np.round(row, 9))).tolist() for row in near[:, :3]]
+    assert [order.tolist() for order in retrieval._nearest(near[:2, :0], keys[:0], 10)] == [[], []]
