@@ -9,6 +9,7 @@ import pytest
 
 from quillgraph.config import SETTINGS
 from quillgraph.operators import setjoin
+from quillgraph.plans import views
 from quillgraph.plans.views import Graph
 
 
@@ -83,3 +84,27 @@ def test_what_is_written_follows_the_postings(spark, monkeypatch):
     found = setjoin.similar_sets(spark.createDataFrame(rows, "name string, e int, mark int"), 0.3, element=("e",), sums=("mark",))
     assert {tuple(r) for r in found.select("a", "b", "n_a", "n_b", "n_together", "mark").collect()} == brute(rows, 0.3)
     assert sum(written) < len(rows)
+
+
+def test_relationships_read_mentions_once_and_bound_the_counting_tasks(spark, monkeypatch):
+    """Nothing of the mentions' size is written, and lists go to as many tasks as postings ask for."""
+    rows, written = made(3), []
+    kept = setjoin.materialized
+    mentions = spark.createDataFrame([(n, "d", e, 1 << e % 8, 0) for n, e, _ in rows], "name string, document_id string, order int, cues int, place int")
+    sizes = mentions.groupBy("name").count()
+    entities = sizes.filter("name != 'half'").select("name", sizes["count"].alias("n_sections"))
+
+    def counted(df, name):
+        out = kept(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(setjoin, "materialized", counted)
+    monkeypatch.setattr(views, "materialized", counted)
+    monkeypatch.setattr(setjoin, "TASK_POSTINGS", 10)
+    found = views.relationships(mentions, entities)
+    total = sum(n != "half" for n, *_ in rows)
+    assert f", {-(-total // 10)}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert sum(written) <= entities.count()
+    wanted = {(a, b, n, x + y - n) for a, b, x, y, n, _ in brute([r for r in rows if r[0] != "half"], SETTINGS.relationship_floor)}
+    assert {(r.source_entity, r.target_entity, r.n_together, r.n_either) for r in found.collect()} == wanted
