@@ -26,6 +26,8 @@ _GAPS = ("  ", " \n", "\n ", "\n\n")
 #: Stands before the first chunk of a line, which has no blank before it.
 _HEAD = "\0"
 CACHE_ENTRIES = 300_000
+#: Words that are encoded in one string; the library takes longer a word for longer strings.
+WORDS_TOGETHER = 256
 LONGEST_CACHED = 64
 Ids = bytes
 
@@ -107,9 +109,11 @@ class ChunkEncoder:
         """Packed ids of prepared texts; None for one with a chunk that has no ids of its own."""
         chunks = pc.split_pattern(pa.array(ready, pa.large_string()), " ")
         coded = chunks.flatten().dictionary_encode()
-        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        distinct, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         known = self.known
-        fresh = [c for c in distinct if c not in known]
+        found = list(map(known.get, distinct))
+        missed = [k for k, f in enumerate(found) if f is None]
+        fresh = [distinct[k] for k in missed]
         if self.blanks_count:
             heads = [c[1:] for c in fresh if c[:1] == _HEAD]
             self._learn([c for c in fresh if c[:1] != _HEAD and c != "\n"], " ", "")
@@ -122,9 +126,10 @@ class ChunkEncoder:
             if "" in fresh:
                 known[""] = b""
             self._learn([c for c in fresh if c], "", "")
-        found = [known[c] for c in distinct]
+        for k, c in zip(missed, fresh):
+            found[k] = known[c]
         unsure = None
-        if None in found:
+        if any(found[k] is None for k in missed):
             unsure = np.array([f is None for f in found])
             found = [f or b"" for f in found]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
@@ -140,13 +145,19 @@ class ChunkEncoder:
             hit = np.concatenate([[0], np.cumsum(unsure[which])])[chunks.offsets.to_numpy()]
             for k in np.flatnonzero(hit[1:] > hit[:-1]):
                 out[k] = None
-        for c in distinct:
+        for c in fresh:
             if len(c) > LONGEST_CACHED:
                 known.pop(c, None)
                 known.pop(c.rstrip(string.punctuation), None)
-        for cache, most in ((known, CACHE_ENTRIES), (self.marks, 10_000)):
-            if len(cache) > most:
-                cache.clear()
+        if len(known) > CACHE_ENTRIES:
+            # What was known before this batch and came again is likely to come once more.
+            new = set(missed)
+            again = {c: f for k, (c, f) in enumerate(zip(distinct, found)) if k not in new}
+            known.clear()
+            if len(again) <= CACHE_ENTRIES // 2:
+                known.update(again)
+        if len(self.marks) > 10_000:
+            self.marks.clear()
         return out
 
 
@@ -181,8 +192,8 @@ def library_encoder(path: str, plain: bool = False) -> ChunkEncoder:
 
     def encode_words(words: list[str], between: str) -> list[Ids] | None:
         out: list[Ids] = []
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+        for at in range(0, len(words), WORDS_TOGETHER):
+            part = words[at : at + WORDS_TOGETHER]
             lead = between if between == " " and byte_level else ""
             ids = np.array(model.encode_batch_fast([lead + between.join(part)], add_special_tokens=False)[0].ids, np.uint32)
             if byte_level and between == "\n":

@@ -226,3 +226,22 @@ def test_best_fit_gathers_its_bins_in_one_go(monkeypatch):
         for k in b:
             held[k] += n
     assert held == lengths and all(sum(b) <= 1000 for b in plan) and not copies
+
+
+def test_chunks_that_come_again_outlive_a_full_cache(monkeypatch):
+    """A full cache drops what came once; what came again is not encoded anew, and ids stay right."""
+    from quillgraph.llm import token_cache
+
+    asked = []
+
+    def encode_many(strings):
+        asked.extend(strings)
+        return [[sum(map(ord, s))] for s in strings]
+
+    monkeypatch.setattr(token_cache, "CACHE_ENTRIES", 6)
+    coder = token_cache.ChunkEncoder(encode_many, False)
+    wanted = lambda text: token_cache.pack([sum(map(ord, w)) for w in text.split(" ")])
+    for text in ("der hund", "der hund a b c d e", "der hund f"):
+        assert coder.encode([text]) == [wanted(text)]
+    assert asked.count("der") == asked.count("hund") == 1
+    assert len(coder.known) <= 6
