@@ -75,5 +75,6 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def hinted(table: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A stored table whose rows are a few numbers, so that their number bounds its bytes: to be
-    broadcast if it has at most ``most`` of them; a larger one is left to a join that shuffles."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+    broadcast if it has at most ``most`` of them; a larger one, however well its file is packed, is
+    joined by a shuffle, and so is what it meets."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table.hint("merge")

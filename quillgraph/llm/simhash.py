@@ -149,12 +149,14 @@ def links(nodes: DataFrame, max_bits: int = 3, check_bits: int = 64) -> DataFram
     segment_of = F.lit([64 + k for k, m in enumerate(whole) for _ in range(m.bit_count())] + [64 + k for k in range(len(whole))])
     hot = spread.filter(F.element_at(segment_of, F.col("tag") + 1) == F.col("segment"))
     hot = hot.select("tag", F.col("fp").bitwiseAND(F.element_at(mask, F.col("tag") + 1)).alias("part"), "n")
-    hot = stored(hot.groupBy("tag", "part").agg(F.ceil((F.sum("n") + HOT_SEGMENT) / BLOCK).cast("int").alias("blocks")), "hot-segments")
+    hot = hinted(stored(hot.groupBy("tag", "part").agg(F.ceil((F.sum("n") + HOT_SEGMENT) / BLOCK).cast("int").alias("blocks")), "hot-segments"))
 
+    # Spark sizes variants as if explode made no rows, a seventieth of what they are, and would
+    # broadcast them through the driver.
     cold = variants.join(hot, ["tag", "part"], "left_anti")
     ordered = (F.col("l.tag") < 64) | (F.struct("l.fp", "l.check_fp") < F.struct("r.fp", "r.check_fp"))
     sides = (F.col("l.tag") == F.col("r.tag")) & (F.col("l.part") == F.col("r.part"))
-    found = cold.filter("side != 1").alias("l").join(cold.filter("side != 0").alias("r"), sides & ordered & _near(max_bits, check_bits))
+    found = cold.filter("side != 1").alias("l").join(cold.filter("side != 0").alias("r").hint("merge"), sides & ordered & _near(max_bits, check_bits))
     found = found.select(F.struct("l.fp", "l.check_fp").alias("a"), F.struct("r.fp", "r.check_fp").alias("b"))
 
     # Blocks of hot keys: a left row meets all right blocks, and the other way round.

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -76,6 +77,18 @@ def test_links_of_planted_neighbours(spark, max_bits):
     assert found == {k: least[w] for k, w in enumerate(where)}
 
 
+def test_variants_are_never_broadcast(spark):
+    """Spark sizes them as if explode made no rows: they would all go through the driver."""
+    nodes = spark.range(500).select(F.xxhash64("id").alias("fp"), F.lit(0).cast("long").alias("check_fp"))
+    plan = simhash.links(simhash.stored(nodes, "nodes"))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin(\(\w+=\w+\))? \[tag#\d+, part#\d+L\], \[tag#\d+, part#\d+L\], Inner", plan)
+    # What is broadcast are crowded keys alone.
+    assert not re.search(r"BroadcastHashJoin [^\n]*BuildLeft", plan)
+    assert len(re.findall("BroadcastHashJoin", plan)) == len(re.findall(r"BroadcastHashJoin \[tag#\d+, part#\d+L\], \[tag#\d+, part#\d+L\], (?:LeftAnti|Inner), BuildRight", plan))
+    several = simhash.hinted(simhash.stored(nodes, "nodes"), most=10)
+    assert "SortMergeJoin" in nodes.join(several, "fp")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hard_rows(hard, nothing):
     prints = simhash.fingerprints(hard, 3)
     found = simhash.near_duplicates(prints).collect()
