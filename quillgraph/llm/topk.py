@@ -281,7 +281,7 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "ve
     placed = stored(_placed(points, width, centres), "vector-clusters")
     sizes = placed.groupBy("width", "cluster").agg(F.max("apart").alias("radius"), F.ceil(F.count("*") / F.when(F.col("width") == width, size).otherwise(F.greatest(F.lit(LEAF), F.lit(SHARD_NUMBERS) / F.greatest(F.lit(1), F.col("width"))))).cast("int").alias("parts"))
     clusters = stored(sizes, "vector-cluster-sizes")
-    questions = rows.filter(F.col("id") % every == 0).join(points.select("v", "point"), "v").select("id", "point", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x).alias("own"))
+    questions = rows.filter(F.col("id") % every == 0).join(points.select("v", "point").hint("merge"), "v").select("id", "point", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x).alias("own"))
     questions = stored(questions, "vector-questions")
     asked = questions.select("point").distinct().withColumn("asked", F.lit(True))
     dealt = placed.join(clusters, ["width", "cluster"]).withColumn("part", F.expr("cast(pmod(xxhash64(point), parts) as int)")).join(asked, "point", "left")
@@ -294,7 +294,9 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "ve
     rare = home.filter(F.col("width") != width).withColumnRenamed("part", "own").join(clusters.select("width", "cluster", "parts"), ["width", "cluster"])
     rare = rare.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).filter("part != own").select(*_SHARD, "point", "v", "scores")
     sent = _sent(home.filter(F.col("width") == width), width, centres, radius, parts).unionByName(_sent_one(rare))
-    more = _answered(sent.join(trees, _SHARD), k + 1)
+    # Spark can't know how many queries a row of bytes holds, nor how well vectors are packed in
+    # files; it would broadcast either side of such a join through the driver.
+    more = _answered(sent.join(trees.hint("merge"), _SHARD), k + 1)
     first = home.select("point", F.explode(F.arrays_zip("scores", "names")).alias("e")).select("point", "e.scores", "e.names").toDF("point", "score", "name").filter(F.col("name") != _LAST)
     order = Window.partitionBy("point").orderBy(F.desc("score"), "name")
     best = first.unionByName(more).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)

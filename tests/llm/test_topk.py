@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 
 import duckdb
@@ -50,6 +51,24 @@ def test_hard_vectors(spark, monkeypatch, numbers):
     assert topk.top_products(table.filter("false")).count() == 0
 
 
+def test_vectors_are_never_broadcast(spark, monkeypatch):
+    """Neither trees nor the queries sent to them go through the driver, nor what questions are
+    looked up in."""
+    monkeypatch.setattr(topk, "SHARD_NUMBERS", 256)
+    rng, plans = np.random.default_rng(6), {}
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    stored, answered = topk.stored, topk._answered
+    monkeypatch.setattr(topk, "stored", lambda df, name, *a: plans.setdefault(name, plan_of(df)) and stored(df, name, *a))
+    monkeypatch.setattr(topk, "_answered", lambda sent, k: plans.setdefault("sent", plan_of(sent)) and answered(sent, k))
+    rows = float32([(k, rng.normal(size=6).tolist()) for k in range(300)])
+    found = topk.top_products(spark.createDataFrame([(*r, 0, 0, 0) for r in rows], SCHEMA))
+    assert rows_of(found) == brute(rows)
+    for name in ("sent", "vector-questions"):
+        assert "SortMergeJoin" in plans[name]
+    assert not re.search(r"BroadcastHashJoin \[width#\d+, cluster#\d+, part#\d+\]", plans["sent"])
+    assert "BroadcastHashJoin" not in plans["vector-questions"]
+
+
 def test_large_numbers_are_exact():
     rng = np.random.default_rng(2)
     v = rng.integers(-(1 << 29), 1 << 29, (200, 4))
