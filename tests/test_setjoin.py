@@ -108,3 +108,26 @@ def test_relationships_read_mentions_once_and_bound_the_counting_tasks(spark, mo
     assert sum(written) <= entities.count()
     wanted = {(a, b, n, x + y - n) for a, b, x, y, n, _ in brute([r for r in rows if r[0] != "half"], SETTINGS.relationship_floor)}
     assert {(r.source_entity, r.target_entity, r.n_together, r.n_either) for r in found.collect()} == wanted
+
+
+def test_pairs_of_repeated_and_missing_ids(spark, tmp_path):
+    """Sections of documents with one id count once, and those of documents without an id meet
+    nothing; no pair at the floor is lost and no strength is above 1."""
+    texts = {k: f"alphabet betaword\ngammawo{k % 2}a betaword example" for k in range(12)} | {20: "alphabet betaword deltaword", 21: "deltaword omegaword\nalphabet"}
+    docs = [(k, t) for k, t in texts.items() for _ in range(1 + k % 3)] + [(20, "omegaword significant deltaword")] + [(None, "alphabet omegaword"), (None, "deltaword gammawo1a")]
+    spark.createDataFrame([(*d, len(d[1])) for d in docs], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    g = Graph(spark, str(tmp_path))
+    held, where = set(), defaultdict(set)
+    for d, t in docs:
+        for order, line in enumerate(t.split("\n")):
+            held |= {(w, (d, order), 0) for w in line.split() if len(w) >= SETTINGS.entity_letters}
+    for name, (d, _), _ in held:
+        where[name].add(d)
+    names = {n for n, ids in where.items() if len(ids - {None}) >= SETTINGS.entity_documents}
+    size = {n: sum(w == n for w, *_ in held) for n in names}
+    assert {(r.name, r.frequency, r.n_sections) for r in g.entities.collect()} == {(n, len(where[n] - {None}), size[n]) for n in names}
+    together = {(a, b): n for a, b, _, _, n, _ in brute([r for r in held if r[0] in names and r[1][0] is not None], 1e-9)}
+    wanted = {(a, b, n, size[a] + size[b] - n) for (a, b), n in together.items() if n / (size[a] + size[b] - n) >= SETTINGS.relationship_floor}
+    found = g.relationships.collect()
+    assert len(wanted) > 1 and {(r.source_entity, r.target_entity, r.n_together, r.n_either) for r in found} == wanted
+    assert all(0 < r.strength <= 1 for r in found)
