@@ -113,7 +113,7 @@ def test_relationships_read_mentions_once_and_bound_the_counting_tasks(spark, mo
 def test_pairs_of_repeated_and_missing_ids(spark, tmp_path):
     """Sections of documents with one id count once, and those of documents without an id meet
     nothing; no pair at the floor is lost and no strength is above 1."""
-    texts = {k: f"alphabet betaword\ngammawo{k % 2}a betaword example" for k in range(12)} | {20: "alphabet betaword deltaword", 21: "deltaword omegaword\nalphabet"}
+    texts = {k: f"alphabet betaword\ngammawo{k % 2}a betaword examples" for k in range(12)} | {20: "alphabet betaword deltaword", 21: "deltaword omegaword\nalphabet"}
     docs = [(k, t) for k, t in texts.items() for _ in range(1 + k % 3)] + [(20, "omegaword significant deltaword")] + [(None, "alphabet omegaword"), (None, "deltaword gammawo1a")]
     spark.createDataFrame([(*d, len(d[1])) for d in docs], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     g = Graph(spark, str(tmp_path))
