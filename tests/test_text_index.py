@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +137,38 @@ def test_many_questions_meet_texts_in_blocks(spark, graph, fine, monkeypatch):
     # Of copies with one score those of the least ids stay.
     same = text_index.TextIndex.of(spark.createDataFrame([(f"c{i:02d}", "alpha beta") for i in range(30)], "_id string, content string"), store)
     assert [r._id for r in same.top(spark.createDataFrame([(1, "alpha")], "query_id int, query string"), 3).orderBy("place").collect()] == ["c00", "c01", "c02"]
+
+
+def test_many_questions_are_shuffled_to_few_blocks(spark, graph, fine, monkeypatch):
+    """A question goes to a few blocks of ranges and not to each eight ranges, a range to one block of
+    questions, in one row with each text, term and length once."""
+    monkeypatch.setattr(text_index, "FEW", 0)
+    sections = graph.sections.select("_id", "content").cache()
+    index = text_index.TextIndex.of(sections, store)
+    asked = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").filter("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+    plan = index.top(asked)._jdf.queryExecution().analyzed().toString()
+    copies = [int(x) + 1 for x in re.findall(r"explode\(sequence\(0, (\d+)", plan)]
+    ranges, cores = index.about.first().ranges, spark.sparkContext.defaultParallelism
+    assert ranges > 200 and sorted(copies) == [1, max(-(-ranges // 128), 2 * cores)]
+    packed, held = index.packed, index.postings
+    assert packed.count() == packed.select("range").distinct().count() == held.select("range").distinct().count()
+    assert packed.select(F.explode("names")).distinct().count() == packed.agg(F.sum(F.size("names"))).first()[0] == held.select(F.explode("entries._id")).distinct().count()
+    size = packed.agg(F.sum(F.octet_length("at") + F.octet_length("tf"))).first()[0]
+    assert size < 3 * held.agg(F.sum("n")).first()[0]
+
+
+def test_best_scores_equal_sorting_them_all():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 9, 160, 161, 5000):
+        for scores in (rng.integers(0, 40, n) / 8, np.where(rng.random(n) < 0.01, rng.random(n), 0), rng.random(n), np.zeros(n), 1 + rng.random(n) * 1e-10):
+            for k in (1, 10):
+                want = [p for p in np.lexsort((np.arange(n), -np.round(scores, 9))) if scores[p] > 0][:k]
+                assert text_index._best(scores.astype(float), k).tolist() == want
+
+
+def test_vectors_meet_in_few_blocks(spark, monkeypatch):
+    """Vectors aren't shuffled once for each few hundred queries, nor in double precision."""
+    vectors = spark.range(20_000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.sin(k + F.col("id")).cast("float")).alias("embedding"))
+    plan = retrieval.vector_topk(vectors, vectors, 5)._jdf.queryExecution().analyzed().toString()
+    copies = sorted(int(x) + 1 for x in re.findall(r"explode\(sequence\(0, (\d+)", plan))
+    assert copies == [2, max(3, spark.sparkContext.defaultParallelism)] and "array<double>" not in plan
